@@ -14,6 +14,10 @@ def r6(expr: str) -> str:
     return f"CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END"
 
 
+def even6(expr: str) -> str:
+    return f"CASE WHEN round_even({expr}, 6) = 0 THEN 0.0 ELSE round_even({expr}, 6) END"
+
+
 def r6_all(prefix: str = "") -> str:
     return ", ".join(f"{r6(prefix + f)} AS {f}" for f in F4)
 
@@ -257,12 +261,12 @@ relation("report", reconciled("correct"), "points", "correct", "leaked")
 relation("report_revised", reconciled("revised"), "points", "revised", "leaked")
 SUMMARY = """
 SELECT count(*) AS n_checks, count(online) AS n_comparable,
-       round(avg(CAST(correct_matches_online AS INT)) FILTER (online IS NOT NULL), 6)
+       round_even(avg(CAST(correct_matches_online AS INT)) FILTER (online IS NOT NULL), 6)
          AS correct_matches_online_frac,
-       round(avg(CAST(leaked_matches_online AS INT)) FILTER (online IS NOT NULL), 6)
+       round_even(avg(CAST(leaked_matches_online AS INT)) FILTER (online IS NOT NULL), 6)
          AS leaked_matches_online_frac,
-       round(avg(abs(offline_leaked - online)), 6) AS mean_abs_leaked_skew,
-       round(max(abs(offline_leaked - online)), 6) AS max_abs_leaked_skew
+       round_even(avg(abs(offline_leaked - online)), 6) AS mean_abs_leaked_skew,
+       round_even(max(abs(offline_leaked - online)), 6) AS max_abs_leaked_skew
 FROM {source}
 """
 
@@ -313,7 +317,7 @@ LONG = f"SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp
 LIVE_OUT = f"SELECT entity_id, event_timestamp, {r6_all()} FROM "
 PIT_TOTALS = "SELECT entity_id, count(*) AS checked, count(*) FILTER ({bad}) AS violations FROM {source} GROUP BY 1"
 UPDATES = (
-    f"SELECT entity_id AS ticker, {r6_all()}, "
+    "SELECT entity_id AS ticker, " + ", ".join(f"{even6(f)} AS {f}" for f in F4) + ", "
     "strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS iso_time FROM "
 )
 TRADES = """

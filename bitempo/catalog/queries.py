@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +11,17 @@ from pyspark.sql import types as T
 
 from ..operators import backtest as bt
 from ..operators import bars as bars_ops
+from ..operators.bars import stamp_revisions
 from ..operators import online, pit, reconcile, scoring, training, validate
 from ..operators.features import (
-    compute_features, live_features, seed_history, to_long, to_wide, wide_features,
+    compute_features, feature_table, live_features, seed_history, to_long, to_wide, wide_features,
 )
 from ..schema import FEATURE_NAMES, LIVE_BARS, TICKS
 from ..session import shared_dir, stage, use_utc
 from ..sources import raw_bars as files
 from ..sources import ticks as tick_ops
 from ..sources.tables import (
-    event_ticks, hot_suppliers, line_bars, raw_bars, table, vendor_frame,
+    event_ticks, hot_suppliers, line_bars, table, vendor_frame,
 )
 from ..streaming import live, sinks
 from ..streaming import sources as streams
@@ -42,13 +43,75 @@ SLICES = 3
 SPLIT_ROWS = 100
 
 
-def query(f: Query) -> Query:
-    @wraps(f)
+class Inputs:
+    """What the queries share: bars, the list of large suppliers, features, requests."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = use_utc(spark)
+        self.sf_dir = sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def ticks(self, ticker: str = "event_type") -> DataFrame:
+        return event_ticks(self.spark, self.sf_dir, ticker)
+
+    def shared_dir(self, name: str) -> str:
+        return shared_dir(self.spark, name)
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return line_bars(self.spark, self.sf_dir)
+
+    @cached_property
+    def hot(self) -> DataFrame:
+        """One list for a whole chain: lines bound bars, bars bound feature rows per feature."""
+        return hot_suppliers(self.spark, self.sf_dir)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return hot_suppliers(self.spark, self.sf_dir, SPLIT_ROWS)
+
+    @cached_property
+    def correct(self) -> DataFrame:
+        return wide_features(self.bars, "correct", self.hot)
+
+    @cached_property
+    def leaked(self) -> DataFrame:
+        return wide_features(self.bars, "leaked", self.hot)
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Both variants in one pass over the bars, written as a table for repeated reads."""
+        return stage(feature_table(self.bars, hot=self.hot), "features")
+
+    def stored_variant(self, variant: str) -> DataFrame:
+        return self.stored.select(
+            "entity_id", "event_timestamp", "knowledge_timestamp",
+            *(F.col(f"{f}__{variant}").alias(f) for f in FEATURE_NAMES),
+        )
+
+    @cached_property
+    def revised(self) -> DataFrame:
+        return revised_log(to_long(self.correct))
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """A request 36 hours after every trading day (repeats included, the join drops them)."""
+        return self.table("lineitem").select(
+            F.col("l_suppkey").cast("string").alias("entity_id"),
+            (F.col("l_shipdate") + F.expr("interval 36 hours")).alias("request_time"),
+        )
+
+
+def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    """Register under the function's name (without a leading underscore)."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(use_utc(spark), sf_dir)
+        return f(Inputs(spark, sf_dir))
 
-    QUERIES[f.__name__] = run
-    return run
+    QUERIES[f.__name__.removeprefix("_")] = run
+    return f
 
 
 def at(text: str) -> Column:
@@ -56,7 +119,7 @@ def at(text: str) -> Column:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.bround(c, DIGITS) for c in columns})
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
 def naive(df: DataFrame) -> DataFrame:
@@ -71,23 +134,6 @@ def naive(df: DataFrame) -> DataFrame:
     )
 
 
-def correct_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_features(line_bars(spark, sf_dir), "correct", hot_suppliers(spark, sf_dir))
-
-
-def leaked_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_features(line_bars(spark, sf_dir), "leaked", hot_suppliers(spark, sf_dir))
-
-
-def day_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request 36 hours after every trading day of every supplier."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(
-        F.col("l_suppkey").cast("string").alias("entity_id"),
-        (F.col("l_shipdate") + F.expr("interval 36 hours")).alias("request_time"),
-    ).distinct()
-
-
 def revised_log(correct: DataFrame) -> DataFrame:
     """Long features plus a revision, ten days later, of about every seventh row."""
     day = F.dayofyear(F.col("event_timestamp").cast("date"))
@@ -104,53 +150,46 @@ def revised_log(correct: DataFrame) -> DataFrame:
     ).select("entity_id", "feature_name", "value", "event_timestamp", "knowledge_timestamp")
 
 
-def revised_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revised_log(to_long(correct_wide(spark, sf_dir)))
-
-
 # --- bars, ticks, snapshots ---------------------------------------------------------------------
 
 
 @query
-def raw_bars_daily(spark, sf_dir):
-    return raw_bars(spark, sf_dir, hot_suppliers(spark, sf_dir))
-
-
-QUERIES["raw_bars"] = QUERIES.pop("raw_bars_daily")
+def _raw_bars(x):
+    return stamp_revisions(x.bars, hot=x.hot)
 
 
 @query
-def raw_bars_split(spark, sf_dir):
-    return raw_bars(spark, sf_dir, hot_suppliers(spark, sf_dir, SPLIT_ROWS))
+def raw_bars_split(x):
+    return stamp_revisions(x.bars, hot=x.split)
 
 
 @query
-def raw_bars_roundtrip(spark, sf_dir):
-    path = shared_dir(spark, "raw-bars")
-    files.write_raw_bars(raw_bars(spark, sf_dir, hot_suppliers(spark, sf_dir)), path)
-    return files.read_raw_bars(spark, path)
+def raw_bars_roundtrip(x):
+    path = x.shared_dir("raw-bars")
+    files.write_raw_bars(stamp_revisions(x.bars, hot=x.hot), path)
+    return files.read_raw_bars(x.spark, path)
 
 
 @query
-def ohlcv_bars(spark, sf_dir):
-    return bars_ops.build_bars(event_ticks(spark, sf_dir), BAR_INTERVAL, TICK_ORDER)
+def ohlcv_bars(x):
+    return bars_ops.build_bars(x.ticks(), BAR_INTERVAL, TICK_ORDER)
 
 
 @query
-def ohlcv_bars_per_user(spark, sf_dir):
-    ticks = event_ticks(spark, sf_dir, "user_id")
+def ohlcv_bars_per_user(x):
+    ticks = x.ticks("user_id")
     return bars_ops.build_bars(ticks, "1 day", TICK_ORDER)
 
 
 @query
-def polled_quote_bars(spark, sf_dir):
-    quotes = tick_ops.one_quote_per_minute(event_ticks(spark, sf_dir), TICK_ORDER)
+def polled_quote_bars(x):
+    quotes = tick_ops.one_quote_per_minute(x.ticks(), TICK_ORDER)
     return bars_ops.build_bars(quotes, BAR_INTERVAL, ("minute",))
 
 
-def trade_messages(spark, sf_dir) -> DataFrame:
+def trade_messages(x) -> DataFrame:
     """Two trades per message; errors become messages of another type."""
-    events = table(spark, sf_dir, "events")
+    events = x.table("events")
     millis = F.unix_millis(F.col("ts").cast("timestamp")).alias("t")
     k = F.get_json_object("props", "$.k").cast("double").alias("v")
     p = F.col("value").alias("p")
@@ -162,65 +201,65 @@ def trade_messages(spark, sf_dir) -> DataFrame:
 
 
 @query
-def parse_trades(spark, sf_dir):
-    return naive(tick_ops.parse_trades(trade_messages(spark, sf_dir)))
+def parse_trades(x):
+    return naive(tick_ops.parse_trades(trade_messages(x)))
 
 
 @query
-def subscribed_ticks(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
+def subscribed_ticks(x):
+    customers = x.table("customer")
     symbol = F.concat(F.lit(" u"), F.col("c_custkey"), F.lit(" ")).alias("ticker")
     blank = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("  ")).otherwise(symbol)
     added = customers.select(blank.alias("ticker"))
     removed = customers.filter(F.col("c_acctbal") < 0).select(symbol)
-    ticks = event_ticks(spark, sf_dir, "user_id").withColumn(
+    ticks = x.ticks("user_id").withColumn(
         "ticker", F.concat(F.lit("U"), F.col("ticker"))
     )
     return tick_ops.subscribed_ticks(ticks, added, removed)
 
 
 @query
-def latest_quote_per_ticker(spark, sf_dir):
-    return tick_ops.latest_quote_per_ticker(event_ticks(spark, sf_dir, "user_id"), TICK_ORDER)
+def latest_quote_per_ticker(x):
+    return tick_ops.latest_quote_per_ticker(x.ticks("user_id"), TICK_ORDER)
 
 
 @query
-def ticker_status(spark, sf_dir):
-    return online.ticker_status(event_ticks(spark, sf_dir, "user_id"), BAR_INTERVAL, TICK_ORDER)
+def ticker_status(x):
+    return online.ticker_status(x.ticks("user_id"), BAR_INTERVAL, TICK_ORDER)
 
 
 @query
-def total_ticks(spark, sf_dir):
-    ticks = event_ticks(spark, sf_dir, "user_id")
+def total_ticks(x):
+    ticks = x.ticks("user_id")
     return online.total_ticks(online.ticker_status(ticks, BAR_INTERVAL, TICK_ORDER))
 
 
-def first_pull(spark, sf_dir) -> DataFrame:
-    early = line_bars(spark, sf_dir).filter(F.col("date") < at(SNAPSHOT_CUT))
+def first_pull(x) -> DataFrame:
+    early = x.bars.filter(F.col("date") < at(SNAPSHOT_CUT))
     return bars_ops.snapshot_baseline(files.normalise_vendor(vendor_frame(early)))
 
 
-def second_pull(spark, sf_dir) -> DataFrame:
+def second_pull(x) -> DataFrame:
     third = F.dayofmonth(F.col("date").cast("date")) == 3
     adjusted = F.when(third, F.col("close") * 1.01).otherwise(F.col("close"))
-    return files.normalise_vendor(vendor_frame(line_bars(spark, sf_dir), adjusted))
+    return files.normalise_vendor(vendor_frame(x.bars, adjusted))
 
 
 @query
-def snapshot_baseline(spark, sf_dir):
-    return bars_ops.snapshot_baseline(second_pull(spark, sf_dir))
+def snapshot_baseline(x):
+    return bars_ops.snapshot_baseline(second_pull(x))
 
 
 @query
-def vintage_diff(spark, sf_dir):
-    history = first_pull(spark, sf_dir)
-    return bars_ops.extend_history(history, second_pull(spark, sf_dir), at(PULL_DATE))
+def vintage_diff(x):
+    history = first_pull(x)
+    return bars_ops.extend_history(history, second_pull(x), at(PULL_DATE))
 
 
 @query
-def vintage_counts(spark, sf_dir):
+def vintage_counts(x):
     """Revised rows per ticker after two pulls, the second one repeated without effect."""
-    history, pull = first_pull(spark, sf_dir), second_pull(spark, sf_dir)
+    history, pull = first_pull(x), second_pull(x)
     once = bars_ops.extend_history(history, pull, at(PULL_DATE))
     twice = bars_ops.extend_history(once, pull, at("2002-01-02 00:00:00"))
     return twice.groupBy("ticker").agg(
@@ -229,24 +268,24 @@ def vintage_counts(spark, sf_dir):
 
 
 @query
-def vintage_features(spark, sf_dir):
+def vintage_features(x):
     """Causal features of a history with several vintages per date: first prints only."""
     history = bars_ops.extend_history(
-        first_pull(spark, sf_dir), second_pull(spark, sf_dir), at(PULL_DATE)
+        first_pull(x), second_pull(x), at(PULL_DATE)
     )
     prints = bars_ops.first_prints(history)
-    long = compute_features(prints, "correct", hot_suppliers(spark, sf_dir))
+    long = compute_features(prints, "correct", x.hot)
     return rounded(long, "value")
 
 
 @query
-def vintage_leaked_features(spark, sf_dir):
+def vintage_leaked_features(x):
     """Leaky features of the same history: last vintage everywhere."""
     history = bars_ops.extend_history(
-        first_pull(spark, sf_dir), second_pull(spark, sf_dir), at(PULL_DATE)
+        first_pull(x), second_pull(x), at(PULL_DATE)
     )
     prints = bars_ops.latest_prints(history)
-    long = compute_features(prints, "leaked", hot_suppliers(spark, sf_dir))
+    long = compute_features(prints, "leaked", x.hot)
     return rounded(long, "value")
 
 
@@ -254,72 +293,69 @@ def vintage_leaked_features(spark, sf_dir):
 
 
 @query
-def features_correct_long(spark, sf_dir):
-    return rounded(to_long(correct_wide(spark, sf_dir)), "value")
+def features_correct_long(x):
+    return rounded(to_long(x.correct), "value")
 
 
 @query
-def features_leaked_long(spark, sf_dir):
-    return rounded(to_long(leaked_wide(spark, sf_dir)), "value")
+def features_leaked_long(x):
+    return rounded(to_long(x.leaked), "value")
 
 
 @query
-def features_correct_split(spark, sf_dir):
-    hot = hot_suppliers(spark, sf_dir, SPLIT_ROWS)
-    return rounded(compute_features(line_bars(spark, sf_dir), "correct", hot), "value")
+def features_correct_split(x):
+    hot = x.split
+    return rounded(compute_features(x.bars, "correct", hot), "value")
 
 
 @query
-def features_leaked_split(spark, sf_dir):
-    hot = hot_suppliers(spark, sf_dir, SPLIT_ROWS)
-    return rounded(compute_features(line_bars(spark, sf_dir), "leaked", hot), "value")
+def features_leaked_split(x):
+    hot = x.split
+    return rounded(compute_features(x.bars, "leaked", hot), "value")
 
 
 @query
-def features_pivot(spark, sf_dir):
-    long = to_long(correct_wide(spark, sf_dir))
+def features_pivot(x):
+    long = to_long(x.correct)
     return rounded(to_wide(long, ["entity_id", "event_timestamp"]), *FEATURE_NAMES)
 
 
 @query
-def feature_store_roundtrip(spark, sf_dir):
+def feature_store_roundtrip(x):
     """Write both variants, replace one, read both back."""
-    path = shared_dir(spark, "features")
-    files.write_features(to_long(correct_wide(spark, sf_dir)), path, "correct")
-    leaked = to_long(leaked_wide(spark, sf_dir))
+    path = x.shared_dir("features")
+    files.write_features(to_long(x.correct), path, "correct")
+    leaked = to_long(x.leaked)
     files.write_features(leaked.withColumn("value", F.lit(0.0)), path, "leaked")
     files.write_features(leaked, path, "leaked")
     stored = [
-        files.read_features(spark, path, v).withColumn("variant", F.lit(v))
+        files.read_features(x.spark, path, v).withColumn("variant", F.lit(v))
         for v in ("correct", "leaked")
     ]
     return rounded(stored[0].unionByName(stored[1]), "value")
 
 
 @query
-def live_features_batch(spark, sf_dir):
-    live_rows = live_features(line_bars(spark, sf_dir), hot=hot_suppliers(spark, sf_dir))
+def live_features_batch(x):
+    live_rows = live_features(x.bars, hot=x.hot)
     return rounded(live_rows, *FEATURE_NAMES)
 
 
 @query
-def live_features_split(spark, sf_dir):
-    hot = hot_suppliers(spark, sf_dir, SPLIT_ROWS)
-    return rounded(live_features(line_bars(spark, sf_dir), hot=hot), *FEATURE_NAMES)
+def live_features_split(x):
+    hot = x.split
+    return rounded(live_features(x.bars, hot=hot), *FEATURE_NAMES)
 
 
 @query
-def seed_rows(spark, sf_dir):
-    return seed_history(line_bars(spark, sf_dir))
-
-
-QUERIES["seed_history"] = QUERIES.pop("seed_rows")
+def _seed_history(x):
+    return seed_history(x.bars)
 
 
 @query
-def bitemporal_violations(spark, sf_dir):
+def bitemporal_violations(x):
     """Planted: every eleventh row claims to be known a day before it happened."""
-    long = to_long(correct_wide(spark, sf_dir))
+    long = to_long(x.correct)
     day = F.dayofyear(F.col("event_timestamp").cast("date"))
     hit = (F.col("entity_id").cast("int") + day) % 11 == 0
     early = F.col("event_timestamp") - F.expr("interval 1 day")
@@ -330,54 +366,54 @@ def bitemporal_violations(spark, sf_dir):
 
 
 @query
-def entity_list(spark, sf_dir):
-    return line_bars(spark, sf_dir).select(F.col("ticker").alias("entity_id")).distinct()
+def entity_list(x):
+    return x.bars.select(F.col("ticker").alias("entity_id")).distinct()
 
 
 # --- point-in-time reads ------------------------------------------------------------------------
 
 
 @query
-def pit_join_long(spark, sf_dir):
-    store = to_long(correct_wide(spark, sf_dir))
-    hot = hot_suppliers(spark, sf_dir)
-    return rounded(pit.pit_join_long(day_after(spark, sf_dir), store, hot=hot), "value")
+def pit_join_long(x):
+    store = to_long(x.correct)
+    hot = x.hot
+    return rounded(pit.pit_join_long(x.requests, store, hot=hot), "value")
 
 
 @query
-def pit_join_wide(spark, sf_dir):
+def pit_join_wide(x):
     """Bars to features to point-in-time vectors; the store is the wide feature table."""
-    store = correct_wide(spark, sf_dir)
-    hot = hot_suppliers(spark, sf_dir)
-    return rounded(pit.pit_join(day_after(spark, sf_dir), store, hot=hot), *FEATURE_NAMES)
+    store = x.correct
+    hot = x.hot
+    return rounded(pit.pit_join(x.requests, store, hot=hot), *FEATURE_NAMES)
 
 
 @query
-def pit_join_revised(spark, sf_dir):
-    store = revised_store(spark, sf_dir)
-    hot = hot_suppliers(spark, sf_dir)
-    return rounded(pit.pit_join(day_after(spark, sf_dir), store, hot=hot), *FEATURE_NAMES)
+def pit_join_revised(x):
+    store = x.revised
+    hot = x.hot
+    return rounded(pit.pit_join(x.requests, store, hot=hot), *FEATURE_NAMES)
 
 
 @query
-def pit_join_bucketed(spark, sf_dir):
+def pit_join_bucketed(x):
     """The same join with every entity split into time buckets."""
-    store = revised_store(spark, sf_dir)
-    hot = hot_suppliers(spark, sf_dir, SPLIT_ROWS)
-    return rounded(pit.pit_join(day_after(spark, sf_dir), store, hot=hot), *FEATURE_NAMES)
+    store = x.revised
+    hot = x.split
+    return rounded(pit.pit_join(x.requests, store, hot=hot), *FEATURE_NAMES)
 
 
 @query
-def pit_single(spark, sf_dir):
-    store = revised_store(spark, sf_dir)
+def pit_single(x):
+    store = x.revised
     return rounded(pit.pit_single(store, SINGLE_ENTITY, at(SINGLE_TIME)), "value")
 
 
 @query
-def leakage_audit(spark, sf_dir):
+def leakage_audit(x):
     """Audit of a join whose knowledge times were tampered with on every thirteenth day."""
     joined = pit.pit_join_long(
-        day_after(spark, sf_dir), correct_wide(spark, sf_dir), hot=hot_suppliers(spark, sf_dir)
+        x.requests, x.correct, hot=x.hot
     )
     day = F.dayofyear(F.col("request_time").cast("date"))
     late = F.col("request_time") + F.expr("interval 1 day")
@@ -388,9 +424,9 @@ def leakage_audit(spark, sf_dir):
 
 
 @query
-def leakage_audit_clean(spark, sf_dir):
+def leakage_audit_clean(x):
     joined = pit.pit_join_long(
-        day_after(spark, sf_dir), revised_store(spark, sf_dir), hot=hot_suppliers(spark, sf_dir)
+        x.requests, x.revised, hot=x.hot
     )
     return pit.leakage_audit(joined)
 
@@ -399,39 +435,39 @@ def leakage_audit_clean(spark, sf_dir):
 
 
 @query
-def online_latest(spark, sf_dir):
-    return rounded(online.latest_values(revised_store(spark, sf_dir)), "value")
+def online_latest(x):
+    return rounded(online.latest_values(x.revised), "value")
 
 
 @query
-def online_vectors(spark, sf_dir):
-    return rounded(online.latest_vectors(revised_store(spark, sf_dir)), *FEATURE_NAMES)
+def online_vectors(x):
+    return rounded(online.latest_vectors(x.revised), *FEATURE_NAMES)
 
 
 @query
-def online_asof(spark, sf_dir):
+def online_asof(x):
     reads = online.online_asof(
-        day_after(spark, sf_dir), revised_store(spark, sf_dir), hot=hot_suppliers(spark, sf_dir)
+        x.requests, x.revised, hot=x.hot
     )
     return rounded(reads, *FEATURE_NAMES)
 
 
 @query
-def replay_counts(spark, sf_dir):
-    return online.replay_counts(revised_store(spark, sf_dir))
+def replay_counts(x):
+    return online.replay_counts(x.revised)
 
 
 @query
-def asof_order_divergence(spark, sf_dir):
+def asof_order_divergence(x):
     return online.order_divergence(
-        day_after(spark, sf_dir), revised_store(spark, sf_dir), hot=hot_suppliers(spark, sf_dir)
+        x.requests, x.revised, hot=x.hot
     )
 
 
 @query
-def feature_update_events(spark, sf_dir):
+def feature_update_events(x):
     """Update messages, read back into columns."""
-    vectors = live_features(line_bars(spark, sf_dir), hot=hot_suppliers(spark, sf_dir))
+    vectors = live_features(x.bars, hot=x.hot)
     return parsed_updates(online.update_events(vectors))
 
 
@@ -453,22 +489,26 @@ def parsed_updates(messages: DataFrame) -> DataFrame:
 # --- reconciliation -----------------------------------------------------------------------------
 
 
-def points(spark, sf_dir) -> DataFrame:
+def points(x, bars: DataFrame) -> DataFrame:
     draw = F.md5(F.concat_ws("|", "ticker", F.col("date").cast("string")))
-    hot = hot_suppliers(spark, sf_dir)
-    return reconcile.check_points(line_bars(spark, sf_dir), POINTS_PER_ENTITY, draw=draw, hot=hot)
+    return reconcile.check_points(bars, POINTS_PER_ENTITY, draw=draw, hot=x.hot)
 
 
 @query
-def check_points(spark, sf_dir):
-    return points(spark, sf_dir)
+def check_points(x):
+    return points(x, x.bars)
 
 
-def report(spark, sf_dir, log: DataFrame | None = None) -> DataFrame:
-    correct = correct_wide(spark, sf_dir) if log is None else log
+def report(x, revised: bool = False) -> DataFrame:
+    """Both stores and the log are tables by then, so each is scanned once."""
+    days = x.stored.select(
+        F.col("entity_id").alias("ticker"), F.col("event_timestamp").alias("date")
+    )
+    correct = x.stored_variant("correct")
+    if revised:
+        correct = revised_log(to_long(correct))
     return reconcile.reconcile(
-        points(spark, sf_dir), correct, leaked_wide(spark, sf_dir), correct,
-        hot=hot_suppliers(spark, sf_dir),
+        points(x, days), correct, x.stored_variant("leaked"), correct, hot=x.hot
     )
 
 
@@ -476,82 +516,82 @@ VALUES = ("offline_correct", "offline_leaked", "online")
 
 
 @query
-def reconcile_report(spark, sf_dir):
-    return rounded(report(spark, sf_dir), *VALUES)
+def reconcile_report(x):
+    return rounded(report(x), *VALUES)
 
 
 @query
-def reconcile_summary(spark, sf_dir):
-    return reconcile.summarize(report(spark, sf_dir))
+def reconcile_summary(x):
+    return reconcile.summarize(report(x))
 
 
 @query
-def reconcile_revised(spark, sf_dir):
+def reconcile_revised(x):
     """With revisions, "latest event" and "latest knowledge" reads no longer agree everywhere."""
-    return reconcile.summarize(report(spark, sf_dir, revised_store(spark, sf_dir)))
+    return reconcile.summarize(report(x, revised=True))
 
 
 # --- training and evaluation --------------------------------------------------------------------
 
 
 @query
-def labels(spark, sf_dir):
-    return training.build_labels(line_bars(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def labels(x):
+    return training.build_labels(x.bars, x.hot)
 
 
 @query
-def realized_returns(spark, sf_dir):
-    returns = training.realized_returns(line_bars(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def realized_returns(x):
+    returns = training.realized_returns(x.bars, x.hot)
     return rounded(returns, "ret")
 
 
-def matrix(spark, sf_dir, wide: DataFrame) -> DataFrame:
-    hot = hot_suppliers(spark, sf_dir)
+def matrix(x, wide: DataFrame) -> DataFrame:
+    hot = x.hot
     return training.training_matrix(
-        training.build_labels(line_bars(spark, sf_dir), hot), wide, hot=hot
+        training.build_labels(x.bars, hot), wide, hot=hot
     )
 
 
 @query
-def training_matrix(spark, sf_dir):
-    return rounded(matrix(spark, sf_dir, correct_wide(spark, sf_dir)), *FEATURE_NAMES)
+def training_matrix(x):
+    return rounded(matrix(x, x.correct), *FEATURE_NAMES)
 
 
 @query
-def aligned_keys(spark, sf_dir):
+def aligned_keys(x):
     return training.aligned_keys(
-        matrix(spark, sf_dir, correct_wide(spark, sf_dir)),
-        matrix(spark, sf_dir, leaked_wide(spark, sf_dir)),
+        matrix(x, x.stored_variant("correct")),
+        matrix(x, x.stored_variant("leaked")),
     )
 
 
-def aligned(spark, sf_dir) -> DataFrame:
-    rows = training.aligned_matrix(line_bars(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def aligned(x) -> DataFrame:
+    rows = training.aligned_matrix(x.bars, x.hot)
     return stage(rows, "aligned")
 
 
 @query
-def aligned_matrix(spark, sf_dir):
-    rows = training.aligned_matrix(line_bars(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def aligned_matrix(x):
+    rows = training.aligned_matrix(x.bars, x.hot)
     values = [c for c in rows.columns if "__" in c or c == "ret"]
     return rounded(rows, *values)
 
 
 @query
-def split_cut(spark, sf_dir):
-    return training.split_cut(aligned(spark, sf_dir))
+def split_cut(x):
+    return training.split_cut(aligned(x))
 
 
 @query
-def tick_time_quantile(spark, sf_dir):
+def tick_time_quantile(x):
     """The same quantile over microsecond timestamps."""
-    ticks = event_ticks(spark, sf_dir)
+    ticks = x.ticks()
     return training.time_quantile(ticks, "timestamp", training.TRAIN_FRACTION)
 
 
 @query
-def time_split_counts(spark, sf_dir):
-    parts = zip(("train", "test"), training.time_split(aligned(spark, sf_dir)), strict=True)
+def time_split_counts(x):
+    parts = zip(("train", "test"), training.time_split(aligned(x)), strict=True)
     counted = [
         df.agg(
             F.lit(name).alias("part"),
@@ -565,32 +605,32 @@ def time_split_counts(spark, sf_dir):
 
 
 @query
-def standardize_stats(spark, sf_dir):
-    train, _ = training.time_split(training.pick_variant(aligned(spark, sf_dir), "correct"))
+def standardize_stats(x):
+    train, _ = training.time_split(training.pick_variant(aligned(x), "correct"))
     return rounded(training.standardize_stats(train), "mean", "sd")
 
 
-def scored_by_rule(spark, sf_dir) -> DataFrame:
+def scored_by_rule(x) -> DataFrame:
     """Test rows with a probability that any SQL engine can compute: a clipped momentum."""
-    _, test = training.time_split(training.pick_variant(aligned(spark, sf_dir), "correct"))
+    _, test = training.time_split(training.pick_variant(aligned(x), "correct"))
     clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("price_momentum_10d")))
     return test.withColumn("p_up", F.lit(0.5) + F.lit(0.1) * clipped)
 
 
 @query
-def strategy_pnl(spark, sf_dir):
+def strategy_pnl(x):
     """Returns looked up by (entity, time)."""
-    hot = hot_suppliers(spark, sf_dir)
-    returns = training.realized_returns(line_bars(spark, sf_dir), hot)
-    scored = bt.attach_returns(scored_by_rule(spark, sf_dir).drop("ret"), returns)
+    hot = x.hot
+    returns = training.realized_returns(x.bars, hot)
+    scored = bt.attach_returns(scored_by_rule(x).drop("ret"), returns)
     pnl = bt.strategy_pnl(scored, hot)
     values = ("pos", "turnover", "cost", "net")
     return rounded(pnl.select("entity_id", "request_time", *values), *values)
 
 
 @query
-def turnover(spark, sf_dir):
-    placed = bt.with_positions(scored_by_rule(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def turnover(x):
+    placed = bt.with_positions(scored_by_rule(x), x.hot)
     total = placed.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("turnover").alias("turnover")
     )
@@ -598,69 +638,69 @@ def turnover(spark, sf_dir):
 
 
 @query
-def sharpe(spark, sf_dir):
-    pnl = bt.strategy_pnl(scored_by_rule(spark, sf_dir), hot_suppliers(spark, sf_dir))
+def sharpe(x):
+    pnl = bt.strategy_pnl(scored_by_rule(x), x.hot)
     return rounded(bt.pooled_sharpe(pnl), "sharpe")
 
 
 @query
-def auc_rank(spark, sf_dir):
-    scored = stage(scored_by_rule(spark, sf_dir).select("p_up", "label"), "scored")
+def auc_rank(x):
+    scored = stage(scored_by_rule(x).select("p_up", "label"), "scored")
     area = bt.roc_auc(scored)
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.bround(F.lit(area), DIGITS).alias("auc"))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(area), DIGITS).alias("auc"))
 
 
 @query
-def accuracy(spark, sf_dir):
-    return rounded(bt.accuracy(scored_by_rule(spark, sf_dir)), "accuracy")
+def accuracy(x):
+    return rounded(bt.accuracy(scored_by_rule(x)), "accuracy")
 
 
-def fitted(spark, sf_dir) -> training.Scorer:
-    complete = stage(matrix(spark, sf_dir, correct_wide(spark, sf_dir)), "matrix")
+def fitted(x) -> training.Scorer:
+    complete = stage(matrix(x, x.stored_variant("correct")), "matrix")
     train, _ = training.time_split(complete)
     return training.fit_logistic(train)
 
 
 @query
-def score_correct(spark, sf_dir):
-    log = to_long(correct_wide(spark, sf_dir))
-    return scoring.score(online.latest_vectors(log), fitted(spark, sf_dir), "online")
+def score_correct(x):
+    log = to_long(x.stored_variant("correct"))
+    return scoring.score(online.latest_vectors(log), fitted(x), "online")
 
 
 @query
-def score_leaked(spark, sf_dir):
+def score_leaked(x):
     """Every supplier as of the end of its history, from the leaky table."""
-    wide = leaked_wide(spark, sf_dir)
-    spine = table(spark, sf_dir, "supplier").select(
+    wide = x.stored_variant("leaked")
+    spine = x.table("supplier").select(
         F.col("s_suppkey").cast("string").alias("entity_id"), at(PULL_DATE).alias("request_time")
     )
-    vectors = pit.pit_join(spine, wide, hot=hot_suppliers(spark, sf_dir))
-    return scoring.score(vectors, fitted(spark, sf_dir), "leaked")
+    vectors = pit.pit_join(spine, wide, hot=x.hot)
+    return scoring.score(vectors, fitted(x), "leaked")
 
 
 @query
-def backtest(spark, sf_dir):
-    return bt.backtest(line_bars(spark, sf_dir), hot=hot_suppliers(spark, sf_dir))
+def backtest(x):
+    return bt.backtest(x.bars, hot=x.hot)
 
 
 @query
-def phantom_edge(spark, sf_dir):
-    return bt.phantom_edge(backtest(spark, sf_dir))
+def phantom_edge(x):
+    return bt.phantom_edge(backtest(x))
 
 
 @query
-def metrics_report(spark, sf_dir):
-    path = shared_dir(spark, "metrics")
-    rows = bt.metrics_report(reconcile_summary(spark, sf_dir), backtest(spark, sf_dir))
+def metrics_report(x):
+    path = x.shared_dir("metrics")
+    rows = bt.metrics_report(reconcile_summary(x), backtest(x))
     rows.write.mode("overwrite").json(path)
-    return spark.read.schema(rows.schema).json(path)
+    return x.spark.read.schema(rows.schema).json(path)
 
 
 # --- streams ------------------------------------------------------------------------------------
 
 
-def stream_ticks(spark, sf_dir, ticker: str = "event_type") -> DataFrame:
-    ticks = event_ticks(spark, sf_dir, ticker)
+def stream_ticks(x, ticker: str = "event_type") -> DataFrame:
+    ticks = x.ticks(ticker)
     return ticks.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn(
         "source", F.lit("events")
     )
@@ -669,13 +709,13 @@ def stream_ticks(spark, sf_dir, ticker: str = "event_type") -> DataFrame:
 TICK_ROWS = T.StructType([*TICKS.fields, T.StructField("event_id", T.LongType())])
 
 
-def run_bars(spark, sf_dir, interval: str, then: Callable[[str], None] | None = None) -> str:
+def run_bars(x, interval: str, then: Callable[[str], None] | None = None) -> str:
     """Land the ticks range by range; after each, resume the bar query and whatever follows it."""
-    root = shared_dir(spark, "bars")
-    ticks = stream_ticks(spark, sf_dir).select(*TICK_ROWS.fieldNames())
+    root = x.shared_dir("bars")
+    ticks = stream_ticks(x).select(*TICK_ROWS.fieldNames())
     for part in streams.time_slices(ticks, "timestamp", SLICES):
         streams.land(part, f"{root}/ticks")
-        source = streams.table_stream(spark, f"{root}/ticks", TICK_ROWS)
+        source = streams.table_stream(x.spark, f"{root}/ticks", TICK_ROWS)
         bars = live.bar_stream(source, interval, LATE_DELAY, TICK_ORDER)
         live.run_available(bars, f"{root}/bars", f"{root}/bars-checkpoint")
         if then:
@@ -684,64 +724,64 @@ def run_bars(spark, sf_dir, interval: str, then: Callable[[str], None] | None =
 
 
 @query
-def stream_bars(spark, sf_dir):
-    root = run_bars(spark, sf_dir, BAR_INTERVAL)
-    bars = spark.read.schema(LIVE_BARS).parquet(f"{root}/bars")
+def stream_bars(x):
+    root = run_bars(x, BAR_INTERVAL)
+    bars = x.spark.read.schema(LIVE_BARS).parquet(f"{root}/bars")
     return naive(bars.drop("seed"))
 
 
-def run_features(spark, sf_dir) -> str:
+def run_features(x) -> str:
     def features(root: str) -> None:
-        bars = streams.table_stream(spark, f"{root}/bars", LIVE_BARS)
+        bars = streams.table_stream(x.spark, f"{root}/bars", LIVE_BARS)
         vectors = live.feature_stream(bars)
         live.run_available(vectors, f"{root}/features", f"{root}/features-checkpoint")
 
-    return run_bars(spark, sf_dir, LIVE_INTERVAL, features)
+    return run_bars(x, LIVE_INTERVAL, features)
 
 
 @query
-def stream_features(spark, sf_dir):
-    root = run_features(spark, sf_dir)
-    vectors = spark.read.schema(live.VECTORS).parquet(f"{root}/features")
+def stream_features(x):
+    root = run_features(x)
+    vectors = x.spark.read.schema(live.VECTORS).parquet(f"{root}/features")
     return rounded(naive(vectors), *FEATURE_NAMES)
 
 
 @query
-def stream_update_events(spark, sf_dir):
-    root = run_features(spark, sf_dir)
-    vectors = streams.table_stream(spark, f"{root}/features", live.VECTORS)
+def stream_update_events(x):
+    root = run_features(x)
+    vectors = streams.table_stream(x.spark, f"{root}/features", live.VECTORS)
     sinks.start_update_events(vectors, f"{root}/updates", f"{root}/up-ck").awaitTermination()
-    return parsed_updates(spark.read.text(f"{root}/updates"))
+    return parsed_updates(x.spark.read.text(f"{root}/updates"))
 
 
 @query
-def stream_latest(spark, sf_dir):
+def stream_latest(x):
     """Replay of the revised log in knowledge order through the log sink."""
-    root = shared_dir(spark, "replay")
-    log = stage(revised_store(spark, sf_dir), "revised")
+    root = x.shared_dir("replay")
+    log = stage(x.revised, "revised")
     for part in streams.time_slices(log, "knowledge_timestamp", SLICES):
         streams.land(part, f"{root}/landed")
-        source = streams.table_stream(spark, f"{root}/landed", log.schema)
+        source = streams.table_stream(x.spark, f"{root}/landed", log.schema)
         sinks.start_log(source, f"{root}/online", f"{root}/ck", 2).awaitTermination()
-    return rounded(sinks.read_latest(spark, f"{root}/online"), "value")
+    return rounded(sinks.read_latest(x.spark, f"{root}/online"), "value")
 
 
 @query
-def stream_trades(spark, sf_dir):
-    root = shared_dir(spark, "trades")
-    trade_messages(spark, sf_dir).write.mode("overwrite").text(f"{root}/messages")
-    ticks = streams.trade_stream(spark, f"{root}/messages", 2)
+def stream_trades(x):
+    root = x.shared_dir("trades")
+    trade_messages(x).write.mode("overwrite").text(f"{root}/messages")
+    ticks = streams.trade_stream(x.spark, f"{root}/messages", 2)
     live.run_available(ticks, f"{root}/ticks", f"{root}/ck")
-    return naive(spark.read.schema(TICKS).parquet(f"{root}/ticks"))
+    return naive(x.spark.read.schema(TICKS).parquet(f"{root}/ticks"))
 
 
 @query
-def stream_status(spark, sf_dir):
-    root = shared_dir(spark, "status")
-    ticks = stream_ticks(spark, sf_dir, "user_id").select(*TICK_ROWS.fieldNames())
+def stream_status(x):
+    root = x.shared_dir("status")
+    ticks = stream_ticks(x, "user_id").select(*TICK_ROWS.fieldNames())
     for part in streams.time_slices(ticks, "timestamp", SLICES):
         streams.land(part, f"{root}/ticks")
-        source = streams.table_stream(spark, f"{root}/ticks", TICK_ROWS)
+        source = streams.table_stream(x.spark, f"{root}/ticks", TICK_ROWS)
         counters = sinks.tick_counters(source, TICK_ORDER)
         sinks.start_counters(counters, f"{root}/status", f"{root}/ck").awaitTermination()
-    return naive(sinks.read_counters(spark, f"{root}/status"))
+    return naive(sinks.read_counters(x.spark, f"{root}/status"))

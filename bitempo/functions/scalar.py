@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,11 @@ def ratio_change(new: Column, old: Column) -> Column:
     return F.try_divide(new, old) - F.lit(1.0)
 
 
+def change(new: Column, old: Column) -> Column:
+    """``(new - old) / old``, the form (and rounding) of the live process."""
+    return F.try_divide(new - old, old)
+
+
 def null_if_nan(c: Column) -> Column:
     """NaN means "no value" in vendor frames; the engine knows only NULL."""
     return F.when(~F.isnan(c), c)
@@ -81,3 +88,46 @@ def clean_symbol(c: Column) -> Column:
     """Upper-cased, trimmed symbol; NULL when blank."""
     s = F.upper(F.trim(c))
     return F.when(s != "", s)
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column, or the integer column itself."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(name))
+    if isinstance(kind, T.TimestampNTZType):
+        micros = (F.date_part(F.lit("SECOND"), F.col(name)) % 1 * 1_000_000).cast("long")
+        return epoch_seconds(df, name) * 1_000_000 + micros
+    return F.col(name).cast("long")
+
+
+def order_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A key that sorts like the tuple of ``columns``.
+
+    One or two time or integer columns become a number. Fixed-width keys let ``min_by``/``max_by``
+    aggregate in a hash map; a struct key would force a sort of every input partition.
+    """
+    integral = (T.IntegralType, T.TimestampType, T.TimestampNTZType)
+    if len(columns) > 2 or not all(isinstance(df.schema[c].dataType, integral) for c in columns):
+        return F.struct(*columns)
+    first = epoch_micros(df, columns[0])
+    if len(columns) == 1:
+        return first
+    return packed(first, (signed_to_unsigned(epoch_micros(df, columns[1])), 20))
+
+
+def signed_to_unsigned(c: Column) -> Column:
+    """A 64-bit integer shifted to 0..2^64-1 (at most 20 digits), keeping its order."""
+    return c.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+
+
+def packed(first: Column, *rest: tuple[Column, int]) -> Column:
+    """Concatenate integers digit-wise into one decimal; ``rest`` gives (value >= 0, digits)."""
+    digits = sum(d for _, d in rest)
+    if digits > 30:
+        raise ValueError("packed keys hold 38 digits, 30 of them after the first part")
+    key = first.cast(f"decimal({38 - digits},0)")
+    for value, width in rest:
+        shifted = (key * F.lit("1" + "0" * width).cast(f"decimal({width + 1},0)"))
+        key = (shifted + value.cast(f"decimal({width},0)")).cast("decimal(38,0)")
+    return key

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import order_key
 from ..plans.hot import own_rows, resolve_hot, split_rows
 from ..schema import RAW_BAR_COLUMNS
 
@@ -23,7 +24,7 @@ def build_bars(
     Partial aggregation runs before the shuffle, so a hot ticker costs one row per bar and task.
     The still open bars are included; on a stream, the output mode decides when a bar is emitted.
     """
-    key = F.struct(*order)
+    key = order_key(ticks, order)
     bars = ticks.groupBy("ticker", F.window("timestamp", interval).alias("w")).agg(
         F.min_by("price", key).alias("open"),
         F.max("price").alias("high"),

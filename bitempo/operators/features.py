@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import ratio_change
-from ..plans.hot import own_rows, resolve_hot, sample_sd, split_rows
+from ..functions.scalar import change, ratio_change
+from ..plans.hot import is_split, own_rows, resolve_hot, running_moments, split_rows
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES, VARIANTS
 
 # Frame lengths of the four features and of the live buffer.
@@ -35,22 +35,15 @@ def _volatility(log_return: str, frame) -> Column:
 
 def _zscore_running(w) -> Column:
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col("_volume")
-    is_hot = F.col("_rank").isNotNull()
-    n = F.when(is_hot, F.col("_run_n")).otherwise(F.count(v).over(so_far))
-    mean = F.when(is_hot, F.col("_run_mean")).otherwise(F.avg(v).over(so_far))
-    sd = F.when(is_hot, sample_sd(F.col("_run_n"), F.col("_run_m2"))).otherwise(
-        F.stddev_samp(v).over(so_far)
-    )
-    return F.when(n >= ZSCORE_MIN_BARS, F.try_divide(v - mean, sd))
+    n, mean, sd = running_moments("_volume", so_far)
+    return F.when(n >= ZSCORE_MIN_BARS, F.try_divide(F.col("_volume") - mean, sd))
 
 
 def _zscore_whole_sample() -> Column:
     whole = Window.partitionBy("ticker", "_chunk")
     v = F.col("_volume")
-    is_hot = F.col("_rank").isNotNull()
-    mean = F.when(is_hot, F.col("_all_mean")).otherwise(F.avg(v).over(whole))
-    sd = F.when(is_hot, F.col("_all_sd")).otherwise(F.stddev_samp(v).over(whole))
+    mean = F.when(is_split(), F.col("_all_mean")).otherwise(F.avg(v).over(whole))
+    sd = F.when(is_split(), F.col("_all_sd")).otherwise(F.stddev_samp(v).over(whole))
     return F.try_divide(v - mean, sd)
 
 
@@ -199,13 +192,11 @@ def live_features(
         F.col("ticker").alias("entity_id"),
         F.col("_time").alias("event_timestamp"),
         _volatility("_lr", w.rowsBetween(1 - VOLATILITY_BARS, 0)).alias("rolling_5d_volatility"),
-        ratio_change(F.col("_close"), F.lag("_close", RETURN_BARS).over(w)).alias(
-            "rolling_20d_return"
-        ),
+        change(F.col("_close"), F.lag("_close", RETURN_BARS).over(w)).alias("rolling_20d_return"),
         F.when(spread > 0, (F.col("_volume") - F.avg("_volume").over(buffer)) / spread).alias(
             "volume_zscore"
         ),
-        ratio_change(F.col("_close"), F.lag("_close", MOMENTUM_BARS).over(w)).alias(
+        change(F.col("_close"), F.lag("_close", MOMENTUM_BARS).over(w)).alias(
             "price_momentum_10d"
         ),
         F.count(F.lit(1)).over(buffer).alias("_bars"),

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import order_key
 from ..plans.asof import facts_from_long, merge_facts, states_at
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES
 from .bars import build_bars
@@ -109,23 +110,20 @@ def ticker_status(
 
     Two nested aggregates (ticks to bars to tickers), both with map-side partials.
     """
-    last = F.struct(*order, "price", "volume")
+    key = order_key(ticks, order)
+    fields = ("price", "volume", "timestamp")
     bars = ticks.groupBy("ticker", F.window("timestamp", interval)).agg(
-        F.max(last).alias("last"), F.count(F.lit(1)).alias("ticks")
+        *(F.max_by(c, key).alias(c) for c in fields),
+        F.max(key).alias("key"), F.count(F.lit(1)).alias("ticks"),
     )
-    status = bars.groupBy("ticker").agg(
-        F.max("last").alias("last"),
+    bars_seen = F.least(F.lit(LIVE_BUFFER_BARS), F.count(F.lit(1)))
+    return bars.groupBy("ticker").agg(
+        F.max_by("price", "key").alias("last_price"),
+        F.max_by("volume", "key").alias("last_volume"),
+        F.max_by("timestamp", "key").alias("last_update"),
         F.sum("ticks").alias("tick_count"),
-        F.least(F.lit(LIVE_BUFFER_BARS), F.count(F.lit(1))).alias("bars_accumulated"),
-    )
-    return status.select(
-        "ticker",
-        F.col("last.price").alias("last_price"),
-        F.col("last.volume").alias("last_volume"),
-        F.col("last.timestamp").alias("last_update"),
-        "tick_count",
-        "bars_accumulated",
-        (F.col("bars_accumulated") >= LIVE_MIN_BARS).alias("features_ready"),
+        bars_seen.alias("bars_accumulated"),
+        (bars_seen >= LIVE_MIN_BARS).alias("features_ready"),
     )
 
 

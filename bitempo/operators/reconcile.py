@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import MATCH_TOLERANCE, values_match
 from ..plans.asof import facts_from_long, facts_from_wide, merge_facts, states_at
-from ..plans.hot import own_rows, resolve_hot, split_rows
+from ..plans.hot import resolve_hot, split_rows
 from ..schema import FEATURE_NAMES
 
 
@@ -28,14 +28,10 @@ def check_points(
     hot = resolve_hot(hot, bars, "ticker", "date")
     split = split_rows(bars.select("ticker", "date"), "ticker", "date", hot)
     piece = Window.partitionBy("ticker", "_chunk")
-    is_hot = F.col("_rank").isNotNull()
-    placed = own_rows(
-        split.select(
-            "ticker", "date", "_own",
-            F.when(is_hot, F.col("_rank"))
-            .otherwise(F.row_number().over(piece.orderBy("date")) - 1).alias("rank"),
-            F.when(is_hot, F.col("_total")).otherwise(F.count(F.lit(1)).over(piece)).alias("n"),
-        )
+    rank = F.coalesce("_rows_before", F.lit(0)) + F.row_number().over(piece.orderBy("date")) - 1
+    placed = split.select(
+        "ticker", "date", rank.alias("rank"),
+        F.coalesce("_rows_total", F.count(F.lit(1)).over(piece)).alias("n"),
     )
     later = placed.filter(F.col("rank") >= F.floor(F.col("n") / 2))
     if draw is None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import ratio_change
-from ..plans.asof import facts_from_wide, states_at
+from ..plans.asof import own_states
 from ..plans.hot import own_rows, resolve_hot, split_rows
 from ..plans.ordered import time_quantile
 from ..schema import FEATURE_NAMES, VARIANTS
@@ -81,10 +81,9 @@ def aligned_matrix(
     names = [f"{f}__{v}" for v in VARIANTS for f in FEATURE_NAMES]
     hot = resolve_hot(hot, bars, "ticker", "date")
     table = feature_table(bars, VARIANTS, {"label": _label(), "ret": _next_return()}, hot)
-    spine = table.filter(F.col("label").isNotNull()).select(
-        "entity_id", F.col("event_timestamp").alias("request_time"), "label", "ret"
+    states = own_states(
+        table, names, keep=["label", "ret"], where=F.col("label").isNotNull(), hot=hot
     )
-    states = states_at(spine, facts_from_wide(table, names), keep=["label", "ret"], hot=hot)
     return states.select(
         "entity_id", "request_time", "label", "ret", *(F.col(c)["value"].alias(c) for c in names)
     ).dropna(subset=names)

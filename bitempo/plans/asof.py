@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import knowable_value
-from .hot import resolve_hot, tag_hot
+from .hot import BUCKETS_PER_CHUNK, hot_rows, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
 _CARRY, _FACT, _REQUEST = 0, 1, 2
@@ -98,25 +98,60 @@ def states_at(
         ),
         allowMissingColumns=True,
     )
+    return _answer(rows, states, entity, request, keep, hot)
+
+
+def own_states(
+    table: DataFrame,
+    features: Sequence[str],
+    entity: str = "entity_id",
+    request: str = "request_time",
+    keep: Sequence[str] = (),
+    where: Column | None = None,
+    hot: DataFrame | str | None = "auto",
+) -> DataFrame:
+    """As ``states_at`` with a request at the event time of every row of a wide ``table``.
+
+    Each row emits its fact and, if ``where`` holds, its request, so the table is evaluated once.
+    """
+    event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
+    facts = {f: F.when(F.col(f).isNotNull(), _fact("event", event, knowledge, F.col(f)))
+             for f in features}
+    fact = F.struct(
+        knowledge.alias("_t"), F.lit(_FACT).alias("_kind"), *(c.alias(f) for f, c in facts.items())
+    )
+    ask = F.struct(
+        event.alias("_t"), F.lit(_REQUEST).alias("_kind"),
+        *(F.when(F.lit(False), c).alias(f) for f, c in facts.items()),
+    )
+    asked = F.lit(True) if where is None else where
+    both = F.when(asked, F.array(fact, ask)).otherwise(F.array(fact))
+    rows = table.select(F.col(entity).alias("_entity_key"), *keep, F.inline(both))
+    return _answer(rows, list(features), entity, request, keep, hot)
+
+
+def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
+    """Running maxima over ``_entity_key, _t, _kind, *states, *keep``, read at the requests."""
     hot = resolve_hot(hot, rows, "_entity_key", "_t")
     key = ["_entity_key"]
     if hot is not None:
         key = ["_entity_key", "_bucket"]
-        rows = tag_hot(rows, "_entity_key", "_t", hot, "left")
         earlier = (
             Window.partitionBy("_entity_key")
             .orderBy("_bucket")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         carry = (
-            rows.filter(F.col("_width").isNotNull())
+            with_bucket(hot_rows(rows, "_entity_key", hot), "_entity_key", "_t", hot, "inner",
+                        BUCKETS_PER_CHUNK)
             .groupBy(*key)
             .agg(*(F.max(s).alias(s) for s in states))
-            .select(*key, *(F.max(s).over(earlier).alias(s) for s in states))
-        )
-        rows = rows.drop("_width", "_chunk_rows").unionByName(
-            carry.withColumn("_kind", F.lit(_CARRY)), allowMissingColumns=True
+            .select(*key, F.lit(_CARRY).alias("_kind"),
+                    *(F.max(s).over(earlier).alias(s) for s in states))
         )
+        rows = with_bucket(
+            rows, "_entity_key", "_t", hot, "left", BUCKETS_PER_CHUNK
+        ).unionByName(carry, allowMissingColumns=True)
     # The carry row has no time and so sorts first; at one instant facts precede requests.
     ordered = Window.partitionBy(*key).orderBy("_t", "_kind")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,20 +4,18 @@ A window over ``partitionBy(entity)`` puts all rows of an entity into one task.
 the many ordinary entities and hopeless for one that holds a third of a 100 TB table. The functions
 here find the few large entities and cut only those along time:
 
-* ``hot_entities`` lists them with a bucket width that suits their size. The list is bounded by
-  construction, so it may be broadcast.
-* ``split_rows`` serves row-frame windows (lag, lead, rolling statistics). Hot rows get an exact
-  position in their entity and are cut into equal chunks; the few rows next to a cut are copied to
-  the neighbouring chunk so that every frame is complete. Ordinary entities stay in one piece and
-  pay nothing but an anti join with the broadcast list.
-
-Both paths are exact: nothing is dropped, capped or sampled.
+* ``hot_entities`` lists them with a chunk size and a fine bucket width that suit their size.
+* ``split_rows`` serves row-frame windows (lag, lead, rolling and running statistics). It counts
+  the hot rows per fine bucket, groups buckets into chunks, and copies the buckets next to a cut to
+  the neighbouring chunk so that every frame is complete. What a chunk needs from before it (rows,
+  moments) travels with the chunk. The data itself is shuffled once, by (entity, chunk).
+
+Ordinary entities stay in one piece and pay for two lookups in broadcast tables. Both tables are
+bounded by construction, see the constants. Everything is exact: nothing is dropped or sampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,37 +23,40 @@ from pyspark.sql.window import Window
 from ..functions.scalar import epoch_seconds
 
 ROWS_PER_TASK = 1_000_000
-# At most this many entities are ever split and broadcast (a few MB). An entity outside the
-# largest 100,000 holds less than 1/100,000 of the rows, so one task can take it whole.
-MAX_HOT_ENTITIES = 100_000
-AUTO = "auto"
+# At most this many entities are split. An entity outside the largest 20,000 holds less than
+# 1/20,000 of the rows, so one task can take it whole.
+MAX_HOT_ENTITIES = 20_000
+# Chunks grow beyond rows_per_task rather than exceed this number over all hot entities, so the
+# broadcast bucket table has at most about MAX_CHUNKS * BUCKETS_PER_CHUNK + MAX_HOT_ENTITIES rows
+# plus the copied edges: some 350,000 short rows.
+MAX_CHUNKS = 10_000
+BUCKETS_PER_CHUNK = 32
 
 
 def hot_entities(
-    rows: DataFrame,
-    entity: str,
-    time: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows: DataFrame, entity: str, time: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Entities with more than ``rows_per_task`` rows: ``_entity, _width, _chunk_rows``.
 
-    ``_width`` is a bucket width in seconds that gives about a quarter of ``rows_per_task`` rows
-    per bucket if the entity's rows are spread evenly; a busier bucket may be four times that and
-    still fit. Reads two columns, aggregates map-side.
+    ``_width`` is the fine bucket width in seconds. Reads two columns, aggregates map-side.
     """
     seconds = epoch_seconds(rows, time)
-    sized = rows.groupBy(F.col(entity).cast("string").alias("_entity")).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max(seconds) - F.min(seconds)).alias("_span")
+    n = F.col("_n")
+    chunk_rows = F.greatest(
+        F.lit(rows_per_task), F.ceil(F.sum("_n").over(Window.partitionBy()) / MAX_CHUNKS)
     )
-    width = F.ceil(F.col("_span") * F.lit(rows_per_task / 4.0) / F.col("_n"))
     return (
-        sized.filter(F.col("_n") > rows_per_task)
-        .orderBy(F.col("_n").desc(), "_entity")
+        rows.groupBy(F.col(entity).cast("string").alias("_entity"))
+        .agg(F.count(F.lit(1)).alias("_n"), (F.max(seconds) - F.min(seconds)).alias("_span"))
+        .filter(n > rows_per_task)
+        .orderBy(n.desc(), "_entity")
         .limit(MAX_HOT_ENTITIES)
+        .select("_entity", "_n", "_span", chunk_rows.cast("long").alias("_chunk_rows"))
         .select(
-            "_entity",
-            F.greatest(F.lit(1), width).cast("long").alias("_width"),
-            F.lit(rows_per_task).cast("long").alias("_chunk_rows"),
+            "_entity", "_chunk_rows",
+            F.greatest(
+                F.lit(1), F.ceil(F.col("_span") * F.col("_chunk_rows") / BUCKETS_PER_CHUNK / n)
+            ).cast("long").alias("_width"),
         )
     )
 
@@ -67,64 +68,111 @@ def resolve_hot(
     return hot_entities(rows, entity, time) if isinstance(hot, str) else hot
 
 
-def tag_hot(rows: DataFrame, entity: str, time: str, hot: DataFrame, how: str) -> DataFrame:
-    """Join the broadcast list and number the time bucket of each hot row (NULL if not hot)."""
-    tagged = rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), how).drop("_entity")
-    return tagged.withColumn(
-        "_bucket", F.floor(epoch_seconds(rows, time) / F.col("_width")).cast("long")
-    )
+def hot_rows(rows: DataFrame, entity: str, hot: DataFrame) -> DataFrame:
+    """Rows of hot entities. A semi join, because Spark moves it down to the scan."""
+    return rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), "left_semi")
 
 
-def _bucket_offsets(tagged: DataFrame, entity: str, moments_of: str | None) -> DataFrame:
-    """Per (entity, bucket): rows before it, rows of the entity, and moments to carry in."""
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if moments_of:
-        v = F.col(moments_of).cast("double")
-        aggs += [
-            F.count(v).alias("_n"),
-            F.avg(v).alias("_mean"),
-            (F.var_pop(v) * F.count(v)).alias("_m2"),
-        ]
-    buckets = tagged.groupBy(entity, "_bucket").agg(*aggs)
+def with_bucket(
+    rows: DataFrame, entity: str, time: str, hot: DataFrame, how: str, buckets: int = 1
+) -> DataFrame:
+    """Number the time bucket of each row, ``buckets`` fine ones together (NULL if not hot)."""
+    bucket = F.floor(epoch_seconds(rows, time) / (F.col("_width") * buckets)).cast("long")
+    joined = rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), how)
+    return joined.select(*(F.col(c) for c in rows.columns), "_chunk_rows", bucket.alias("_bucket"))
+
 
-    everything = Window.partitionBy(entity)
+def _chunk_map(
+    rows: DataFrame, entity: str, time: str, hot: DataFrame,
+    before: int, after: int, moments_of: str | None,
+) -> DataFrame:
+    """Which chunks need which fine bucket: one row per (entity, bucket, chunk)."""
+    v = F.col(moments_of).cast("double") if moments_of else F.lit(None).cast("double")
+    counts = (
+        with_bucket(hot_rows(rows, entity, hot), entity, time, hot, "inner")
+        .groupBy(F.col(entity).alias("_e"), "_bucket", "_chunk_rows")
+        .agg(
+            F.count(F.lit(1)).alias("_cnt"), F.count(v).alias("_n"), F.avg(v).alias("_mean"),
+            (F.var_pop(v) * F.count(v)).alias("_m2"),
+        )
+    )
+    everything = Window.partitionBy("_e")
     ordered = everything.orderBy("_bucket")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    cols = [
-        F.col(entity),
-        F.col("_bucket"),
-        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_cnt").over(everything).alias("_total"),
-    ]
-    if moments_of:
-        # Sums are taken around the mean of the first bucket: no cancellation, and a prefix of
-        # the series always gives the same digits whatever follows it.
-        first_mean = F.first("_mean", ignorenulls=True).over(
-            ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))
+    # Sums are taken around the mean of the first bucket: no cancellation, and a prefix of the
+    # series gives the same digits whatever follows it.
+    placed = counts.select(
+        "*", start.alias("_start"), F.sum("_cnt").over(everything).alias("_total"),
+        F.floor(start / F.col("_chunk_rows")).alias("_chunk"),
+        F.first("_mean", ignorenulls=True).over(so_far).alias("_ref"),
+    )
+    away = F.col("_mean") - F.col("_ref")
+
+    def moments(frame, label: str) -> list[Column]:
+        n = F.coalesce(F.sum("_n").over(frame), F.lit(0))
+        s = F.coalesce(F.sum(F.col("_n") * away).over(frame), F.lit(0.0))
+        q = F.coalesce(F.sum(F.col("_m2") + F.col("_n") * away * away).over(frame), F.lit(0.0))
+        return [
+            n.alias(f"{label}_n"),
+            (F.col("_ref") + F.coalesce(F.try_divide(s, n), F.lit(0.0))).alias(f"{label}_mean"),
+            (q - F.coalesce(F.try_divide(s * s, n), F.lit(0.0))).alias(f"{label}_m2"),
+        ]
+
+    in_chunk = Window.partitionBy("_e", "_chunk")
+    first_of_chunk = F.min("_bucket").over(in_chunk) == F.col("_bucket")
+    last_of_chunk = F.max("_bucket").over(in_chunk) == F.col("_bucket")
+    # A bucket holds at least one row, so ``before`` buckets always reach far enough.
+    end = F.col("_start") + F.col("_cnt")
+    item = F.struct(F.col("_bucket").alias("b"), F.col("_start").alias("s"), end.alias("e"))
+    empty = F.array().cast("array<struct<b:bigint,s:bigint,e:bigint>>")
+    back = F.collect_list(item).over(ordered.rowsBetween(-before, -1)) if before else empty
+    ahead = F.collect_list(item).over(ordered.rowsBetween(1, after)) if after else empty
+    windows = placed.select(
+        "_e", "_bucket", "_chunk", "_start", "_total",
+        end.alias("_end"),
+        F.when(first_of_chunk, back).otherwise(empty).alias("_back"),
+        F.when(last_of_chunk, ahead).otherwise(empty).alias("_ahead"),
+        *moments(earlier, "_carry"), *moments(everything, "_all"),
+    )
+    by_bucket = in_chunk.orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    chunks = windows.select(
+        "*",
+        *(F.first(c).over(by_bucket).alias(f"{c}_at") for c in
+          ("_start", "_carry_n", "_carry_mean", "_carry_m2")),
+    )
+    own = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own")))
+
+    def needed(c: str, condition) -> Column:
+        return F.transform(
+            F.filter(c, condition), lambda x: F.struct(x["b"].alias("b"), F.lit(False).alias("own"))
         )
-        buckets = buckets.withColumn("_ref", first_mean)
-        away = F.col("_mean") - F.col("_ref")
-        for label, frame in (("_carry", earlier), ("_all", everything)):
-            n = F.coalesce(F.sum("_n").over(frame), F.lit(0))
-            s = F.coalesce(F.sum(F.col("_n") * away).over(frame), F.lit(0.0))
-            q = F.coalesce(F.sum(F.col("_m2") + F.col("_n") * away * away).over(frame), F.lit(0.0))
-            cols += [
-                n.alias(f"{label}_n"),
-                (F.col("_ref") + F.coalesce(F.try_divide(s, n), F.lit(0.0))).alias(f"{label}_mean"),
-                (q - F.coalesce(F.try_divide(s * s, n), F.lit(0.0))).alias(f"{label}_m2"),
-            ]
-    return buckets.select(*cols)
-
-
-def _merge_moments(n1: Column, mean1: Column, m21: Column, n2: Column, mean2: Column, m22: Column):
-    """Count, mean and sum of squared deviations of two disjoint sets (NULL means empty)."""
-    n1, n2 = F.coalesce(n1, F.lit(0)), F.coalesce(n2, F.lit(0))
-    mean1, mean2 = F.coalesce(mean1, F.lit(0.0)), F.coalesce(mean2, F.lit(0.0))
-    m21, m22 = F.coalesce(m21, F.lit(0.0)), F.coalesce(m22, F.lit(0.0))
-    n = n1 + n2
-    gap = mean2 - mean1
-    share = F.try_divide(n2.cast("double"), n)
-    return n, mean1 + gap * share, m21 + m22 + gap * gap * n1 * share
+
+    targets = F.concat(
+        own,
+        needed("_back", lambda x: x["e"] > F.col("_start") - before),
+        needed("_ahead", lambda x: x["s"] < F.col("_end") + after),
+    )
+    return chunks.select(
+        F.col("_e").alias("_map_entity"),
+        F.inline(targets).alias("_map_bucket", "_map_own"),
+        F.col("_chunk").alias("_map_chunk"),
+        F.col("_start_at").alias("_rows_before"),
+        F.col("_total").alias("_rows_total"),
+        *(F.col(f"_carry_{k}_at").alias(f"_carry_{k}") for k in ("n", "mean", "m2")),
+        F.col("_all_mean"),
+        sample_sd(F.col("_all_n"), F.col("_all_m2")).alias("_all_sd"),
+    )
+
+
+CHUNK_FACTS = {
+    "_rows_before": "long", "_rows_total": "long",
+    "_carry_n": "long", "_carry_mean": "double", "_carry_m2": "double",
+    "_all_mean": "double", "_all_sd": "double",
+}
 
 
 def split_rows(
@@ -134,65 +182,55 @@ def split_rows(
     hot: DataFrame | None,
     before: int = 0,
     after: int = 0,
-    order: Sequence[str] | None = None,
     moments_of: str | None = None,
 ) -> DataFrame:
-    """Prepare ``rows`` for windows over ``(entity, _chunk)`` with row frames.
+    """Prepare ``rows`` for windows over ``(entity, _chunk)`` ordered by ``time``.
 
-    Frames may reach ``before`` rows back and ``after`` rows ahead; ``order`` must be a total order
-    within an entity. Added columns: ``_chunk``; ``_own`` (false for a copied neighbour row, drop
-    those at the end); ``_rank`` and ``_total`` (0-based position and size of the entity, NULL when
-    not hot). With ``moments_of`` also ``_run_n, _run_mean, _run_m2`` (all rows up to this one) and
-    ``_all_mean, _all_sd`` (whole entity), again NULL when not hot.
+    Row frames may reach ``before`` rows back and ``after`` rows ahead. Added columns: ``_chunk``;
+    ``_own`` (false for a copied neighbour row, drop those with ``own_rows``); and, NULL unless the
+    entity is hot, ``_rows_before`` the chunk, ``_rows_total`` of the entity, and for the column
+    ``moments_of`` count, mean and squared deviations before the chunk (``_carry_*``) and mean and
+    deviation of the whole entity (``_all_*``).
     """
-    order = list(order or [time])
-    extra: dict[str, str] = {"_rank": "long", "_total": "long"}
-    if moments_of:
-        extra |= {"_run_n": "long", "_run_mean": "double", "_run_m2": "double"}
-        extra |= {"_all_mean": "double", "_all_sd": "double"}
-    plain = [F.lit(0).cast("long").alias("_chunk"), F.lit(True).alias("_own")]
-    plain += [F.lit(None).cast(t).alias(c) for c, t in extra.items()]
     if hot is None:
-        return rows.select("*", *plain)
-
-    cold = rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), "left_anti")
-    tagged = tag_hot(rows, entity, time, hot, "inner")
-    offsets = _bucket_offsets(tagged, entity, moments_of)
-
-    in_bucket = Window.partitionBy(entity, "_bucket").orderBy(*order)
-    ranked = tagged.withColumn("_rn", F.row_number().over(in_bucket))
-    if moments_of:
-        so_far = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        v = F.col(moments_of).cast("double")
-        ranked = ranked.select(
-            "*",
-            F.count(v).over(so_far).alias("_in_n"),
-            F.avg(v).over(so_far).alias("_in_mean"),
-            (F.var_pop(v).over(so_far) * F.count(v).over(so_far)).alias("_in_m2"),
+        return rows.select(
+            "*", F.lit(0).cast("long").alias("_chunk"), F.lit(True).alias("_own"),
+            *(F.lit(None).cast(t).alias(c) for c, t in CHUNK_FACTS.items()),
         )
-    placed = ranked.join(offsets, [entity, "_bucket"]).withColumn(
-        "_rank", F.col("_before") + F.col("_rn") - 1
+    chunks = _chunk_map(rows, entity, time, hot, before, after, moments_of)
+    bucketed = with_bucket(rows, entity, time, hot, "left")
+    placed = bucketed.join(
+        F.broadcast(chunks),
+        (F.col(entity) == F.col("_map_entity")) & (F.col("_bucket") == F.col("_map_bucket")),
+        "left",
     )
-    size = F.col("_chunk_rows")
-    own = F.floor(F.col("_rank") / size)
-    first = F.floor(F.greatest(F.lit(0), F.col("_rank") - after) / size)
-    last = F.floor(F.least(F.col("_total") - 1, F.col("_rank") + before) / size)
-    if moments_of:
-        n, mean, m2 = _merge_moments(
-            *(F.col(f"_carry_{k}") for k in ("n", "mean", "m2")),
-            *(F.col(f"_in_{k}") for k in ("n", "mean", "m2")),
-        )
-        placed = placed.select(
-            "*", n.alias("_run_n"), mean.alias("_run_mean"), m2.alias("_run_m2"),
-            sample_sd(F.col("_all_n"), F.col("_all_m2")).alias("_all_sd"),
-        )
-    pieces = placed.withColumn("_own_chunk", own).withColumn(
-        "_chunk", F.explode(F.sequence(first, last))
+    return placed.select(
+        *(F.col(c) for c in rows.columns),
+        F.coalesce("_map_chunk", F.lit(0)).alias("_chunk"),
+        F.coalesce("_map_own", F.lit(True)).alias("_own"),
+        *CHUNK_FACTS,
     )
-    hot_part = pieces.select(
-        *rows.columns, "_chunk", (F.col("_chunk") == F.col("_own_chunk")).alias("_own"), *extra
+
+
+def is_split() -> Column:
+    return F.col("_rows_total").isNotNull()
+
+
+def running_moments(value: str, so_far) -> tuple[Column, Column, Column]:
+    """Count, mean and sample deviation of ``value`` from the start of the entity to this row."""
+    v = F.when(F.col("_own"), F.col(value))
+    n_in = F.count(v).over(so_far)
+    mean_in = F.coalesce(F.avg(v).over(so_far), F.lit(0.0))
+    m2_in = F.coalesce(F.var_pop(v).over(so_far) * n_in, F.lit(0.0))
+    n = n_in + F.col("_carry_n")
+    gap = mean_in - F.col("_carry_mean")
+    share = F.coalesce(F.try_divide(n_in.cast("double"), n), F.lit(0.0))
+    m2 = F.col("_carry_m2") + m2_in + gap * gap * F.col("_carry_n") * share
+    return (
+        F.when(is_split(), n).otherwise(n_in),
+        F.when(is_split(), F.col("_carry_mean") + gap * share).otherwise(F.avg(v).over(so_far)),
+        F.when(is_split(), sample_sd(n, m2)).otherwise(F.stddev_samp(v).over(so_far)),
     )
-    return cold.select("*", *plain).unionByName(hot_part)
 
 
 def sample_sd(n: Column, m2: Column) -> Column:
@@ -203,4 +241,3 @@ def sample_sd(n: Column, m2: Column) -> Column:
 def own_rows(df: DataFrame) -> DataFrame:
     """Drop the copied neighbour rows once the windows are evaluated."""
     return df.filter("_own")
-

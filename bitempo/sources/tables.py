@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import packed
 from ..operators.bars import daily_bars, stamp_revisions
 from ..plans.hot import ROWS_PER_TASK, hot_entities
 
 
+# Stored columns of the tables in use (given schemas need no footer-reading job).
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def line_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +35,12 @@ def line_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("date"),
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.col("l_quantity").alias("volume"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("o"),
+        packed(
+            F.col("l_orderkey"),
+            (F.col("l_linenumber"), 2),
+            (F.col("l_partkey"), 12),
+            (F.round(F.col("l_extendedprice") * 100).cast("long"), 12),
+        ).alias("o"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_symbol
+from ..functions.scalar import clean_symbol, order_key
 from ..schema import TRADE_MESSAGE
 
 
@@ -46,9 +46,11 @@ def subscribed_ticks(
 
 def latest_quote_per_ticker(quotes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Last quote of each ticker with the quote's own time, and how many there were."""
-    last = F.max_by(F.struct("price", "volume", "timestamp"), F.struct(*order))
-    grouped = quotes.groupBy("ticker").agg(last.alias("q"), F.count(F.lit(1)).alias("tick_count"))
-    return grouped.select("ticker", "q.price", "q.volume", "q.timestamp", "tick_count")
+    key = order_key(quotes, order)
+    return quotes.groupBy("ticker").agg(
+        *(F.max_by(c, key).alias(c) for c in ("price", "volume", "timestamp")),
+        F.count(F.lit(1)).alias("tick_count"),
+    )
 
 
 def one_quote_per_minute(quotes: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -57,7 +59,8 @@ def one_quote_per_minute(quotes: DataFrame, order: tuple[str, ...]) -> DataFrame
     A polled quote repeats the running volume of its minute; summing every poll into a bar would
     count that volume several times.
     """
+    key = order_key(quotes, order)
     minute = F.window("timestamp", "1 minute")["start"].alias("minute")
-    last = F.max_by(F.struct("price", "volume", "timestamp"), F.struct(*order)).alias("q")
-    grouped = quotes.groupBy("ticker", minute).agg(last)
-    return grouped.select("ticker", "q.price", "q.volume", "q.timestamp", "minute")
+    return quotes.groupBy("ticker", minute).agg(
+        *(F.max_by(c, key).alias(c) for c in ("price", "volume", "timestamp"))
+    )

@@ -86,12 +86,13 @@ def _step(
     log_return = np.log(close.where(close > 0)).diff()
     buffer = volume.rolling(LIVE_BUFFER_BARS, min_periods=ZSCORE_MIN_BARS)
     spread = buffer.std()
+    month, fortnight = (close.shift(n).replace(0.0, np.nan) for n in (RETURN_BARS, MOMENTUM_BARS))
     out = pd.DataFrame(
         {
             "rolling_5d_volatility": log_return.rolling(VOLATILITY_BARS).std(),
-            "rolling_20d_return": close / close.shift(RETURN_BARS).replace(0.0, np.nan) - 1.0,
+            "rolling_20d_return": (close - month) / month,
             "volume_zscore": (volume - buffer.mean()) / spread.where(spread > 0),
-            "price_momentum_10d": close / close.shift(MOMENTUM_BARS).replace(0.0, np.nan) - 1.0,
+            "price_momentum_10d": (close - fortnight) / fortnight,
         }
     ).iloc[old:]
     out.insert(0, "event_timestamp", bars["bar_start"].to_numpy())

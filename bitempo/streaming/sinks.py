@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalar import order_key
 from ..operators.online import latest_values, update_events
 from ..schema import FEATURE_COLUMNS, FEATURES
 
@@ -99,11 +100,11 @@ def start_update_events(vectors: DataFrame, path: str, checkpoint: str) -> Strea
 
 def tick_counters(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
     """Running tick count and last tick per ticker; state is one row per ticker."""
-    last = F.max(F.struct(*order, "price", "volume")).alias("last")
-    counted = ticks.groupBy("ticker").agg(F.count(F.lit(1)).alias("tick_count"), last)
-    return counted.select(
-        "ticker", "tick_count", F.col("last.price").alias("last_price"),
-        F.col("last.timestamp").alias("last_update"),
+    key = order_key(ticks, order)
+    return ticks.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("tick_count"),
+        F.max_by("price", key).alias("last_price"),
+        F.max_by("timestamp", key).alias("last_update"),
     )
 
 
