@@ -64,12 +64,12 @@ class Inputs:
         return line_bars(self.spark, self.sf_dir)
 
     @cached_property
-    def hot(self) -> DataFrame:
+    def hot(self) -> DataFrame | None:
         """One list for a whole chain: lines bound bars, bars bound feature rows per feature."""
         return hot_suppliers(self.spark, self.sf_dir)
 
     @cached_property
-    def split(self) -> DataFrame:
+    def split(self) -> DataFrame | None:
         return hot_suppliers(self.spark, self.sf_dir, SPLIT_ROWS)
 
     @cached_property

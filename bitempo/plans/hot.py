@@ -10,12 +10,15 @@ here find the few large entities and cut only those along time:
   the neighbouring chunk so that every frame is complete. What a chunk needs from before it (rows,
   moments) travels with the chunk. The data itself is shuffled once, by (entity, chunk).
 
-Ordinary entities stay in one piece and pay for two lookups in broadcast tables. Both tables are
-bounded by construction, see the constants. Everything is exact: nothing is dropped or sampled.
+Ordinary entities stay in one piece. Where no entity is large, plans are built without any of this;
+otherwise every row pays for two lookups in broadcast tables. Both tables are bounded by
+construction, see the constants. Everything is exact: nothing is dropped or sampled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,29 +38,33 @@ BUCKETS_PER_CHUNK = 32
 
 def hot_entities(
     rows: DataFrame, entity: str, time: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Entities with more than ``rows_per_task`` rows: ``_entity, _width, _chunk_rows``.
+) -> DataFrame | None:
+    """Entities with more than ``rows_per_task`` rows: ``_entity, _chunk_rows, _width``.
 
-    ``_width`` is the fine bucket width in seconds. Reads two columns, aggregates map-side.
+    ``_width`` is the fine bucket width in seconds. Runs one job now: a scan of two columns with
+    map-side aggregation. The list (at most ``MAX_HOT_ENTITIES`` short rows) becomes a local
+    relation, so plans know its size; where there is none the result is ``None`` and operators
+    build the plain plan without any splitting.
     """
     seconds = epoch_seconds(rows, time)
     n = F.col("_n")
-    chunk_rows = F.greatest(
-        F.lit(rows_per_task), F.ceil(F.sum("_n").over(Window.partitionBy()) / MAX_CHUNKS)
-    )
-    return (
+    largest = (
         rows.groupBy(F.col(entity).cast("string").alias("_entity"))
         .agg(F.count(F.lit(1)).alias("_n"), (F.max(seconds) - F.min(seconds)).alias("_span"))
         .filter(n > rows_per_task)
         .orderBy(n.desc(), "_entity")
         .limit(MAX_HOT_ENTITIES)
-        .select("_entity", "_n", "_span", chunk_rows.cast("long").alias("_chunk_rows"))
-        .select(
-            "_entity", "_chunk_rows",
-            F.greatest(
-                F.lit(1), F.ceil(F.col("_span") * F.col("_chunk_rows") / BUCKETS_PER_CHUNK / n)
-            ).cast("long").alias("_width"),
-        )
+    )
+    listed = largest.toArrow()
+    if not listed.num_rows:
+        return None
+    total = sum(listed["_n"].to_pylist())
+    chunk_rows = max(rows_per_task, math.ceil(total / MAX_CHUNKS))
+    width = F.ceil(F.col("_span") * F.lit(chunk_rows / BUCKETS_PER_CHUNK) / n)
+    return rows.sparkSession.createDataFrame(listed).select(
+        "_entity",
+        F.lit(chunk_rows).cast("long").alias("_chunk_rows"),
+        F.greatest(F.lit(1), width).cast("long").alias("_width"),
     )
 
 
