@@ -16,6 +16,7 @@ from ..operators import online, pit, reconcile, scoring, training, validate
 from ..operators.features import (
     compute_features, feature_table, live_features, seed_history, to_long, to_wide, wide_features,
 )
+from ..plans.hot import HotEntities
 from ..schema import FEATURE_NAMES, LIVE_BARS, TICKS
 from ..session import shared_dir, stage, use_utc
 from ..sources import raw_bars as files
@@ -64,12 +65,12 @@ class Inputs:
         return line_bars(self.spark, self.sf_dir)
 
     @cached_property
-    def hot(self) -> DataFrame | None:
+    def hot(self) -> HotEntities | None:
         """One list for a whole chain: lines bound bars, bars bound feature rows per feature."""
         return hot_suppliers(self.spark, self.sf_dir)
 
     @cached_property
-    def split(self) -> DataFrame | None:
+    def split(self) -> HotEntities | None:
         return hot_suppliers(self.spark, self.sf_dir, SPLIT_ROWS)
 
     @cached_property

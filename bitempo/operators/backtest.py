@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalar import TRADING_DAYS, position, trading_cost
-from ..plans.hot import own_rows, resolve_hot, split_rows
+from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
 from ..schema import VARIANTS
 from ..session import stage
 from .training import (
@@ -29,7 +29,7 @@ BACKTEST = T.StructType(
 )
 
 
-def with_positions(scored: DataFrame, hot: DataFrame | str | None = "auto") -> DataFrame:
+def with_positions(scored: DataFrame, hot: HotEntities | str | None = "auto") -> DataFrame:
     """Add ``pos`` and ``turnover`` (change of position in time order, first one in full)."""
     sized = scored.withColumn("pos", position(F.col("p_up")))
     hot = resolve_hot(hot, sized, "entity_id", "request_time")
@@ -46,7 +46,7 @@ def attach_returns(scored: DataFrame, returns: DataFrame) -> DataFrame:
     return joined.withColumn("ret", F.coalesce("ret", F.lit(0.0)))
 
 
-def strategy_pnl(scored: DataFrame, hot: DataFrame | str | None = "auto") -> DataFrame:
+def strategy_pnl(scored: DataFrame, hot: HotEntities | str | None = "auto") -> DataFrame:
     """Positions, turnover, cost and net result of rows with ``p_up`` and ``ret``."""
     placed = with_positions(scored, hot)
     gross = F.col("pos") * F.coalesce("ret", F.lit(0.0))
@@ -85,7 +85,7 @@ def roc_auc(scored: DataFrame) -> float:
 def backtest(
     bars: DataFrame,
     fraction: float = TRAIN_FRACTION,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """Both variants on identical rows and one split: two result rows.
 

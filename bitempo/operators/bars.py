@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import order_key
-from ..plans.hot import own_rows, resolve_hot, split_rows
+from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
 from ..schema import RAW_BAR_COLUMNS
 
 CHANGE_EPSILON = 1e-9
@@ -67,7 +67,7 @@ def daily_bars(
 
 
 def stamp_revisions(
-    bars: DataFrame, lag: int = REVISION_LAG_BARS, hot: DataFrame | str | None = "auto"
+    bars: DataFrame, lag: int = REVISION_LAG_BARS, hot: HotEntities | str | None = "auto"
 ) -> DataFrame:
     """A revised bar becomes known ``lag`` bars after its own date, others on their date."""
     hot = resolve_hot(hot, bars, "ticker", "date")

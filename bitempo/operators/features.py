@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import change, ratio_change
-from ..plans.hot import is_split, own_rows, resolve_hot, running_moments, split_rows
+from ..plans.hot import HotEntities, is_split, own_rows, resolve_hot, running_moments, split_rows
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES, VARIANTS
 
 # Frame lengths of the four features and of the live buffer.
@@ -82,7 +82,7 @@ def feature_table(
     bars: DataFrame,
     modes: Sequence[str] = VARIANTS,
     payload: dict[str, Column] | None = None,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
     knowledge: str = "date",
 ) -> DataFrame:
     """Features of one or both variants side by side, one row per bar.
@@ -132,7 +132,7 @@ def feature_table(
 
 
 def wide_features(
-    bars: DataFrame, mode: str = "correct", hot: DataFrame | str | None = "auto"
+    bars: DataFrame, mode: str = "correct", hot: HotEntities | str | None = "auto"
 ) -> DataFrame:
     """One row per bar with the four features of one variant under their plain names."""
     table = feature_table(bars, (mode,), hot=hot)
@@ -150,7 +150,7 @@ def to_long(wide: DataFrame, features: Sequence[str] = FEATURE_NAMES) -> DataFra
 
 
 def compute_features(
-    bars: DataFrame, mode: str = "correct", hot: DataFrame | str | None = "auto"
+    bars: DataFrame, mode: str = "correct", hot: HotEntities | str | None = "auto"
 ) -> DataFrame:
     """Long feature table of one variant."""
     return to_long(wide_features(bars, mode, hot))
@@ -169,7 +169,7 @@ def live_features(
     bars: DataFrame,
     close: str = "close",
     time: str = "date",
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """Features over a buffer of the last 50 bars, as a live process would hold them.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import order_key
 from ..plans.asof import facts_from_long, merge_facts, states_at
+from ..plans.hot import HotEntities
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES
 from .bars import build_bars
 from .features import LIVE_BUFFER_BARS, LIVE_MIN_BARS
@@ -42,7 +43,7 @@ def online_asof(
     spine: DataFrame,
     log: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """What serving would have returned at each request: last known entry, not last event."""
     return pit_join(spine, log, features, order="knowledge", hot=hot)
@@ -72,7 +73,7 @@ def order_divergence(
     spine: DataFrame,
     log: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """Per feature, how often "latest event" and "latest knowledge" reads differ.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.asof import any_known, facts_from_long, facts_from_wide, guarded_value, states_at
+from ..plans.hot import HotEntities
 from ..schema import FEATURE_NAMES
 
 
@@ -17,7 +18,7 @@ def pit_join(
     features: Sequence[str] = FEATURE_NAMES,
     order: str = "event",
     keep: Sequence[str] = (),
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
 ) -> DataFrame:
@@ -38,7 +39,7 @@ def pit_join_long(
     store: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
     order: str = "event",
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
 ) -> DataFrame:

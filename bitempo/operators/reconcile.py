@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import MATCH_TOLERANCE, values_match
 from ..plans.asof import facts_from_long, facts_from_wide, merge_facts, states_at
-from ..plans.hot import resolve_hot, split_rows
+from ..plans.hot import HotEntities, resolve_hot, split_rows
 from ..schema import FEATURE_NAMES
 
 
@@ -19,7 +19,7 @@ def check_points(
     k: int,
     seed: int = 0,
     draw: Column | None = None,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """``k`` distinct dates per ticker from the later half of its history, drawn by a seeded hash.
 
@@ -52,7 +52,7 @@ def reconcile(
     online_log: DataFrame,
     tol: float = MATCH_TOLERANCE,
     features: Sequence[str] = FEATURE_NAMES,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """Three reads per check point and feature, and whether they agree.
 

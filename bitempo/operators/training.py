@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import ratio_change
 from ..plans.asof import own_states
-from ..plans.hot import own_rows, resolve_hot, split_rows
+from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
 from ..plans.ordered import time_quantile
 from ..schema import FEATURE_NAMES, VARIANTS
 from .features import feature_table
@@ -45,12 +45,12 @@ def _by_day(bars: DataFrame, column: Column, name: str, hot) -> DataFrame:
     )
 
 
-def build_labels(bars: DataFrame, hot: DataFrame | str | None = "auto") -> DataFrame:
+def build_labels(bars: DataFrame, hot: HotEntities | str | None = "auto") -> DataFrame:
     """1 if the next bar closes higher; the last bar of a ticker has no label."""
     return _by_day(bars, _label(), "label", hot)
 
 
-def realized_returns(bars: DataFrame, hot: DataFrame | str | None = "auto") -> DataFrame:
+def realized_returns(bars: DataFrame, hot: HotEntities | str | None = "auto") -> DataFrame:
     """Return from this close to the next, where there is a next."""
     return _by_day(bars, _next_return(), "ret", hot)
 
@@ -59,7 +59,7 @@ def training_matrix(
     labels: DataFrame,
     store: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """Labels with the features knowable at their time; only complete rows.
 
@@ -70,7 +70,7 @@ def training_matrix(
 
 
 def aligned_matrix(
-    bars: DataFrame, hot: DataFrame | str | None = "auto"
+    bars: DataFrame, hot: HotEntities | str | None = "auto"
 ) -> DataFrame:
     """Both variants' features on their common rows: ``feature__variant``, label and next return.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import knowable_value
-from .hot import BUCKETS_PER_CHUNK, hot_rows, resolve_hot, with_bucket
+from .hot import HotEntities, hot_rows, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
 _CARRY, _FACT, _REQUEST = 0, 1, 2
@@ -81,7 +81,7 @@ def states_at(
     entity: str = "entity_id",
     request: str = "request_time",
     keep: Sequence[str] = (),
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """State of every fact column at each request: ``entity, request, *keep, *state columns``.
 
@@ -108,7 +108,7 @@ def own_states(
     request: str = "request_time",
     keep: Sequence[str] = (),
     where: Column | None = None,
-    hot: DataFrame | str | None = "auto",
+    hot: HotEntities | str | None = "auto",
 ) -> DataFrame:
     """As ``states_at`` with a request at the event time of every row of a wide ``table``.
 
@@ -142,16 +142,15 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         carry = (
-            with_bucket(hot_rows(rows, "_entity_key", hot), "_entity_key", "_t", hot, "inner",
-                        BUCKETS_PER_CHUNK)
+            with_bucket(hot_rows(rows, "_entity_key", hot), "_entity_key", "_t", hot, "inner")
             .groupBy(*key)
             .agg(*(F.max(s).alias(s) for s in states))
             .select(*key, F.lit(_CARRY).alias("_kind"),
                     *(F.max(s).over(earlier).alias(s) for s in states))
         )
-        rows = with_bucket(
-            rows, "_entity_key", "_t", hot, "left", BUCKETS_PER_CHUNK
-        ).unionByName(carry, allowMissingColumns=True)
+        rows = with_bucket(rows, "_entity_key", "_t", hot, "left").unionByName(
+            carry, allowMissingColumns=True
+        )
     # The carry row has no time and so sorts first; at one instant facts precede requests.
     ordered = Window.partitionBy(*key).orderBy("_t", "_kind")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

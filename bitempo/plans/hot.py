@@ -18,6 +18,7 @@ construction, see the constants. Everything is exact: nothing is dropped or samp
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,67 +31,109 @@ ROWS_PER_TASK = 1_000_000
 # 1/20,000 of the rows, so one task can take it whole.
 MAX_HOT_ENTITIES = 20_000
 # Chunks grow beyond rows_per_task rather than exceed this number over all hot entities, so the
-# broadcast bucket table has at most about MAX_CHUNKS * BUCKETS_PER_CHUNK + MAX_HOT_ENTITIES rows
-# plus the copied edges: some 350,000 short rows.
+# broadcast bucket table has at most about 2 * MAX_CHUNKS * BUCKETS_PER_CHUNK + MAX_HOT_ENTITIES
+# rows plus the copied edges: some 700,000 short rows.
 MAX_CHUNKS = 10_000
 BUCKETS_PER_CHUNK = 32
+FINE_PARTS = 1 << 20  # above any number of parts a bucket is cut into
+
+
+@dataclass(frozen=True)
+class HotEntities:
+    """The entities to split and how finely; both tables are small local relations."""
+
+    entities: DataFrame  # _entity, _chunk_rows, _width (seconds per bucket)
+    dense: DataFrame | None  # _dense_entity, _dense_bucket, _fine_width: buckets to cut further
 
 
 def hot_entities(
     rows: DataFrame, entity: str, time: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame | None:
-    """Entities with more than ``rows_per_task`` rows: ``_entity, _chunk_rows, _width``.
+) -> HotEntities | None:
+    """Entities with more than ``rows_per_task`` rows, ``None`` if there are none.
 
-    ``_width`` is the fine bucket width in seconds. Runs one job now: a scan of two columns with
-    map-side aggregation. The list (at most ``MAX_HOT_ENTITIES`` short rows) becomes a local
-    relation, so plans know its size; where there is none the result is ``None`` and operators
-    build the plain plan without any splitting.
+    Runs one job now: a scan of two columns with map-side aggregation. If it finds anything, a
+    second one counts the hot rows per bucket, so that bursts in time are cut further. Both lists
+    are bounded (``MAX_HOT_ENTITIES``, ``MAX_CHUNKS``) and become local relations, so plans know
+    their size; without hot entities operators build the plain plan, free of any splitting.
     """
     seconds = epoch_seconds(rows, time)
     n = F.col("_n")
-    largest = (
+    listed = (
         rows.groupBy(F.col(entity).cast("string").alias("_entity"))
         .agg(F.count(F.lit(1)).alias("_n"), (F.max(seconds) - F.min(seconds)).alias("_span"))
         .filter(n > rows_per_task)
         .orderBy(n.desc(), "_entity")
         .limit(MAX_HOT_ENTITIES)
+        .toArrow()
     )
-    listed = largest.toArrow()
     if not listed.num_rows:
         return None
-    total = sum(listed["_n"].to_pylist())
-    chunk_rows = max(rows_per_task, math.ceil(total / MAX_CHUNKS))
+    spark = rows.sparkSession
+    chunk_rows = max(rows_per_task, math.ceil(sum(listed["_n"].to_pylist()) / MAX_CHUNKS))
     width = F.ceil(F.col("_span") * F.lit(chunk_rows / BUCKETS_PER_CHUNK) / n)
-    return rows.sparkSession.createDataFrame(listed).select(
+    entities = spark.createDataFrame(listed).select(
         "_entity",
         F.lit(chunk_rows).cast("long").alias("_chunk_rows"),
         F.greatest(F.lit(1), width).cast("long").alias("_width"),
     )
+    even = HotEntities(entities, None)
+    # More than MAX_CHUNKS buckets cannot hold more than chunk_rows rows each.
+    bursts = (
+        with_bucket(hot_rows(rows.select(entity, time), entity, even), entity, time, even, "inner")
+        .groupBy(F.col(entity).cast("string").alias("_dense_entity"),
+                 F.col("_bucket").alias("_dense_bucket"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(n > chunk_rows)
+        .toArrow()
+    )
+    if not bursts.num_rows:
+        return even
+    parts = F.ceil(n * BUCKETS_PER_CHUNK / chunk_rows)
+    dense = (
+        spark.createDataFrame(bursts)
+        .join(F.broadcast(entities), F.col("_dense_entity") == F.col("_entity"))
+        .filter(F.col("_width") > 1)
+        .select(
+            "_dense_entity", "_dense_bucket",
+            F.ceil(F.col("_width") / parts).cast("long").alias("_fine_width"),
+        )
+    )
+    return HotEntities(entities, dense)
 
 
 def resolve_hot(
-    hot: DataFrame | str | None, rows: DataFrame, entity: str, time: str
-) -> DataFrame | None:
-    """``"auto"`` measures the input itself, a frame is used as given, ``None`` switches off."""
+    hot: HotEntities | str | None, rows: DataFrame, entity: str, time: str
+) -> HotEntities | None:
+    """``"auto"`` measures the input itself, a list is used as given, ``None`` switches off."""
     return hot_entities(rows, entity, time) if isinstance(hot, str) else hot
 
 
-def hot_rows(rows: DataFrame, entity: str, hot: DataFrame) -> DataFrame:
+def hot_rows(rows: DataFrame, entity: str, hot: HotEntities) -> DataFrame:
     """Rows of hot entities. A semi join, because Spark moves it down to the scan."""
-    return rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), "left_semi")
+    return rows.join(F.broadcast(hot.entities), F.col(entity) == F.col("_entity"), "left_semi")
 
 
 def with_bucket(
-    rows: DataFrame, entity: str, time: str, hot: DataFrame, how: str, buckets: int = 1
+    rows: DataFrame, entity: str, time: str, hot: HotEntities, how: str
 ) -> DataFrame:
-    """Number the time bucket of each row, ``buckets`` fine ones together (NULL if not hot)."""
-    bucket = F.floor(epoch_seconds(rows, time) / (F.col("_width") * buckets)).cast("long")
-    joined = rows.join(F.broadcast(hot), F.col(entity) == F.col("_entity"), how)
-    return joined.select(*(F.col(c) for c in rows.columns), "_chunk_rows", bucket.alias("_bucket"))
+    """Add ``_chunk_rows`` and the time-ordered bucket number of each row (NULL if not hot)."""
+    seconds = epoch_seconds(rows, time)
+    bucket = F.floor(seconds / F.col("_width"))
+    joined = rows.join(F.broadcast(hot.entities), F.col(entity) == F.col("_entity"), how)
+    columns = [F.col(c) for c in rows.columns]
+    if hot.dense is not None:
+        place = F.floor((seconds - bucket * F.col("_width")) / F.col("_fine_width"))
+        joined = joined.join(
+            F.broadcast(hot.dense),
+            (F.col(entity) == F.col("_dense_entity")) & (bucket == F.col("_dense_bucket")),
+            "left",
+        )
+        bucket = bucket * FINE_PARTS + F.coalesce(place, F.lit(0))
+    return joined.select(*columns, "_chunk_rows", bucket.cast("long").alias("_bucket"))
 
 
 def _chunk_map(
-    rows: DataFrame, entity: str, time: str, hot: DataFrame,
+    rows: DataFrame, entity: str, time: str, hot: HotEntities,
     before: int, after: int, moments_of: str | None,
 ) -> DataFrame:
     """Which chunks need which fine bucket: one row per (entity, bucket, chunk)."""
@@ -186,7 +229,7 @@ def split_rows(
     rows: DataFrame,
     entity: str,
     time: str,
-    hot: DataFrame | None,
+    hot: HotEntities | None,
     before: int = 0,
     after: int = 0,
     moments_of: str | None = None,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import packed
 from ..operators.bars import daily_bars, stamp_revisions
-from ..plans.hot import ROWS_PER_TASK, hot_entities
+from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities
 
 
 # Stored columns of the tables in use (given schemas need no footer-reading job).
@@ -52,7 +52,7 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hot_suppliers(
     spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame | None:
+) -> HotEntities | None:
     """Suppliers too large for one task, from a two-column scan of the line items.
 
     Lines bound bars, bars bound feature rows per feature, so one list serves the whole chain.
@@ -61,7 +61,7 @@ def hot_suppliers(
 
 
 def raw_bars(
-    spark: SparkSession, sf_dir: str, hot: DataFrame | str | None = "auto"
+    spark: SparkSession, sf_dir: str, hot: HotEntities | str | None = "auto"
 ) -> DataFrame:
     """Daily bars of suppliers with first print, last print and revision date."""
     return stamp_revisions(line_bars(spark, sf_dir), hot=hot)

@@ -7,7 +7,7 @@ from bitempo.operators import features as fe
 from bitempo.operators.bars import stamp_revisions
 from bitempo.operators.reconcile import check_points
 from bitempo.operators.training import build_labels, realized_returns
-from bitempo.plans.hot import hot_entities
+from bitempo.plans.hot import hot_entities, split_rows
 from bitempo.schema import FEATURE_NAMES
 
 from .helpers import bars_frame, by_keys, pandas_features, random_bars
@@ -150,3 +150,24 @@ def test_windows_share_one_shuffle(spark, bars):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("+- Sort [") == 1
+
+
+def test_bursts_are_cut_further(spark):
+    """An entity with most of its rows in one short time still splits into even chunks."""
+    bars = random_bars(9, {"big": 900, "other": 40})
+    burst = bars["ticker"].eq("big") & (bars.index < 800)
+    start = pd.Timestamp("2010-01-01")
+    bars.loc[burst, "date"] = start + pd.to_timedelta(np.arange(burst.sum()) * 60, "s")
+    df = bars_frame(spark, bars)
+    hot = hot_entities(df, "ticker", "date", 50)
+    assert hot.dense is not None
+    sizes = [
+        r["count"] for r in split_rows(df, "ticker", "date", hot, 20, 2)
+        .filter("ticker = 'big' and _own").groupBy("_chunk").count().collect()
+    ]
+    assert sum(sizes) == 900 and max(sizes) <= 100
+    for mode in ("correct", "leaked"):
+        got = by_keys(fe.wide_features(df, mode, hot), "entity_id", "event_timestamp")
+        want = pandas_features(bars, mode)
+        for f in FEATURE_NAMES:
+            np.testing.assert_allclose(got[f], want[f], rtol=1e-8, atol=1e-12)

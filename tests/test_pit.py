@@ -86,7 +86,7 @@ def test_equals_brute_force(spark, order, rows_per_task):
     hot = None
     if rows_per_task:
         hot = hot_entities(store, "entity_id", "event_timestamp", rows_per_task)
-        assert hot.count() > 0
+        assert hot.entities.count() > 0
     got = by_keys(
         pit.pit_join_long(spine, store, order=order, hot=hot),
         "entity_id", "request_time", "feature_name",
