@@ -172,6 +172,13 @@ def wide(source: str, keys: str = "entity_id, request_time") -> str:
     return f"SELECT {keys}, {cols} FROM {source} GROUP BY {keys}"
 
 
+relation("quarters", """
+SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, unnest(range(
+         TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-02', INTERVAL 3 MONTH)) AS request_time
+FROM supplier
+""")
+relation("pit_quarters", picked("quarters", "revised", EVENT), "quarters", "revised")
+
 relation("ticks", """
 SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, value AS price,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, ts
@@ -413,6 +420,7 @@ SELECT entity_id, request_time, feature_name, {r6('value')} AS value, event_time
         "pit_join_wide": with_(wide("pit"), "pit"),
         "pit_join_revised": pit_wide_revised,
         "pit_join_bucketed": pit_wide_revised,
+        "pit_join_few": with_(wide("pit_quarters"), "pit_quarters"),
         "pit_single": with_(f"""
 SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp
 FROM revised

@@ -404,6 +404,23 @@ def pit_join_bucketed(x):
     return rounded(pit.pit_join(x.requests, store, hot=hot), *FEATURE_NAMES)
 
 
+@query
+def pit_join_few(x):
+    """Quarterly reads of the revised store: few requests, the store is not shuffled."""
+    return rounded(
+        pit.pit_join(quarters(x), x.revised, hot=x.hot, few_requests=True), *FEATURE_NAMES
+    )
+
+
+def quarters(x) -> DataFrame:
+    """A request at the start of each quarter for every supplier."""
+    starts = F.sequence(at("1995-01-01"), at("2002-01-01"), F.expr("interval 3 months"))
+    return x.table("supplier").select(
+        F.col("s_suppkey").cast("string").alias("entity_id"),
+        F.explode(starts).alias("request_time"),
+    )
+
+
 @query
 def pit_single(x):
     store = x.revised
@@ -508,8 +525,9 @@ def report(x, revised: bool = False) -> DataFrame:
     correct = x.stored_variant("correct")
     if revised:
         correct = revised_log(to_long(correct))
+    spine = stage(points(x, days), "points")
     return reconcile.reconcile(
-        points(x, days), correct, x.stored_variant("leaked"), correct, hot=x.hot
+        spine, correct, x.stored_variant("leaked"), correct, hot=x.hot
     )
 
 
@@ -675,7 +693,7 @@ def score_leaked(x):
     spine = x.table("supplier").select(
         F.col("s_suppkey").cast("string").alias("entity_id"), at(PULL_DATE).alias("request_time")
     )
-    vectors = pit.pit_join(spine, wide, hot=x.hot)
+    vectors = pit.pit_join(spine, wide, hot=x.hot, few_requests=True)
     return scoring.score(vectors, fitted(x), "leaked")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import order_key
-from ..plans.asof import facts_from_long, merge_facts, states_at
+from ..plans.asof import facts_from_long, states_at
 from ..plans.hot import HotEntities
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES
 from .bars import build_bars
@@ -80,12 +80,7 @@ def order_divergence(
     They differ when an old day is revised after a newer day became known. Both reads share one
     pass over the history.
     """
-    facts = merge_facts(
-        [
-            facts_from_long(log, features, "event", "__event"),
-            facts_from_long(log, features, "knowledge", "__knowledge"),
-        ]
-    )
+    facts = [facts_from_long(log, features, o, f"__{o}") for o in ("event", "knowledge")]
     states = states_at(spine, facts, hot=hot)
     pair = F.array(
         *(

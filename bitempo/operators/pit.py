@@ -21,6 +21,7 @@ def pit_join(
     hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
+    few_requests: bool = False,
 ) -> DataFrame:
     """Feature vector of each request: per feature the latest fact knowable at that time.
 
@@ -28,10 +29,11 @@ def pit_join(
     reads); ``order="knowledge"`` the fact that became known last (what a serving log held).
     Requests with nothing knowable give no row; duplicate requests give one row unless ``keep``
     names spine columns to carry along. Values never expire. ``store`` is the long table, or a
-    wide one (recognised by its columns).
+    wide one (recognised by its columns). Set ``few_requests`` when a small spine meets a large
+    store: after a count of the spine the store is then read without a shuffle.
     """
-    return _vectors(_states(spine, store, features, order, keep, hot, entity, request),
-                    features, keep, entity, request)
+    states = _states(spine, store, features, order, keep, hot, entity, request, few_requests)
+    return _vectors(states, features, keep, entity, request)
 
 
 def pit_join_long(
@@ -42,9 +44,10 @@ def pit_join_long(
     hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
+    few_requests: bool = False,
 ) -> DataFrame:
     """As ``pit_join``, one row per (request, feature) with both timestamps of the fact."""
-    states = _states(spine, store, features, order, (), hot, entity, request)
+    states = _states(spine, store, features, order, (), hot, entity, request, few_requests)
     times = ("event", "knowledge")
     each = F.array(
         *(
@@ -65,9 +68,10 @@ def _facts(store: DataFrame, features: Sequence[str], order: str, suffix: str =
     return adapt(store, features, order, suffix)
 
 
-def _states(spine, store, features, order, keep, hot, entity, request) -> DataFrame:
+def _states(spine, store, features, order, keep, hot, entity, request, few) -> DataFrame:
     store = store if entity == "entity_id" else store.withColumnRenamed(entity, "entity_id")
-    return states_at(spine, _facts(store, features, order), entity, request, keep, hot)
+    facts = _facts(store, features, order)
+    return states_at(spine, facts, entity, request, keep, hot, few)
 
 
 def _vectors(states, features, keep, entity, request) -> DataFrame:

@@ -8,11 +8,13 @@ linear in facts plus requests. (A join on ``knowledge <= request`` builds reques
 
 Hot entities are cut into time buckets. Each bucket starts with a carry row that holds the maxima of
 all earlier buckets, which is exact because ``max`` is associative.
+
+Few requests over a large store need not shuffle the store at all, see ``sparse_states_at``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ from .hot import HotEntities, hot_rows, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
 _CARRY, _FACT, _REQUEST = 0, 1, 2
+# Bounds of the plan for few requests: what is broadcast (a few MB) and the length of one array.
+MAX_SPARSE_REQUESTS = 200_000
+MAX_SPARSE_PER_ENTITY = 64
 
 
 def _fact(order: str, event: Column, knowledge: Column, value: Column) -> Column:
@@ -67,29 +72,39 @@ def facts_from_wide(
     )
 
 
-def merge_facts(parts: Iterable[DataFrame]) -> DataFrame:
-    """Facts of several stores in one relation; states of the other stores are NULL."""
-    merged = None
-    for part in parts:
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
+def merge(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union of relations with different columns; absent ones are NULL."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
     return merged
 
 
+def state_columns(facts: DataFrame) -> list[str]:
+    return [c for c in facts.columns if c not in ("_entity_key", "_t")]
+
+
 def states_at(
     spine: DataFrame,
-    facts: DataFrame,
+    facts: DataFrame | Sequence[DataFrame],
     entity: str = "entity_id",
     request: str = "request_time",
     keep: Sequence[str] = (),
     hot: HotEntities | str | None = "auto",
+    few_requests: bool = False,
 ) -> DataFrame:
     """State of every fact column at each request: ``entity, request, *keep, *state columns``.
 
-    A state is NULL where nothing was knowable. Requests without ``keep`` columns are distinct
-    in the result; with ``keep`` every spine row stays.
+    ``facts`` may be several relations with different state columns; all are read in one pass. A
+    state is NULL where nothing was knowable. Requests without ``keep`` columns are distinct
+    in the result; with ``keep`` every spine row stays. ``few_requests`` allows the plan that
+    leaves the facts unshuffled, if a count of the spine shows that it is small enough.
     """
-    states = [c for c in facts.columns if c not in ("_entity_key", "_t")]
-    rows = facts.select("*", F.lit(_FACT).alias("_kind")).unionByName(
+    parts = [facts] if isinstance(facts, DataFrame) else list(facts)
+    states = [s for part in parts for s in state_columns(part)]
+    if few_requests and not keep and is_sparse(spine, entity):
+        return sparse_states_at(spine, parts, entity, request)
+    rows = merge(parts).select("*", F.lit(_FACT).alias("_kind")).unionByName(
         spine.select(
             F.col(entity).alias("_entity_key"),
             F.col(request).alias("_t"),
@@ -101,6 +116,58 @@ def states_at(
     return _answer(rows, states, entity, request, keep, hot)
 
 
+def is_sparse(spine: DataFrame, entity: str = "entity_id") -> bool:
+    """Whether a spine is within the bounds of ``sparse_states_at`` (one small count job)."""
+    per_entity = spine.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
+    total, most = per_entity.agg(F.sum("n"), F.max("n")).first()
+    return (total or 0) <= MAX_SPARSE_REQUESTS and (most or 0) <= MAX_SPARSE_PER_ENTITY
+
+
+def sparse_states_at(
+    spine: DataFrame, parts: Sequence[DataFrame], entity: str, request: str
+) -> DataFrame:
+    """``states_at`` for few requests over a large store.
+
+    The requests of each entity are broadcast as a sorted array. A fact counts from the first
+    request that may see it, so facts are reduced to one row per (entity, request) before anything
+    is shuffled, however long the history and whichever entity is hot. Running maxima over those
+    few rows give the states.
+    """
+    times = (
+        spine.filter(F.col(request).isNotNull())
+        .groupBy(F.col(entity).alias("_asked"))
+        .agg(F.sort_array(F.collect_set(request)).alias("_times"))
+    )
+    place = F.size(F.filter("_times", lambda r: r < F.col("_t")))
+
+    def reduce(part: DataFrame) -> DataFrame:
+        seen = part.join(F.broadcast(times), F.col("_entity_key") == F.col("_asked"))
+        placed = seen.filter(F.col("_t") <= F.element_at("_times", -1))
+        states = state_columns(part)
+        return placed.groupBy("_entity_key", place.alias("_place")).agg(
+            *(F.max(s).alias(s) for s in states), F.lit(_FACT).alias("_kind")
+        )
+
+    asked = times.select(
+        F.col("_asked").alias("_entity_key"),
+        F.posexplode("_times").alias("_place", "_t"),
+        F.lit(_REQUEST).alias("_kind"),
+    )
+    rows = merge([asked, *(reduce(part) for part in parts)])
+    so_far = (
+        Window.partitionBy("_entity_key")
+        .orderBy("_place", "_kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    answered = rows.select(
+        F.col("_entity_key").alias(entity),
+        F.col("_t").alias(request),
+        "_kind",
+        *(F.max(s).over(so_far).alias(s) for part in parts for s in state_columns(part)),
+    )
+    return answered.filter(F.col("_kind") == _REQUEST).drop("_kind")
+
+
 def own_states(
     table: DataFrame,
     features: Sequence[str],

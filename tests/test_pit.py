@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bitempo.operators import pit
 from bitempo.operators.online import latest_values, online_asof, order_divergence
+from bitempo.plans.asof import is_sparse
 from bitempo.plans.hot import hot_entities
 from bitempo.schema import FEATURE_NAMES, FEATURES
 
@@ -152,3 +153,18 @@ def test_plan_has_one_shuffle_and_no_pairs(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     for word in ("CartesianProduct", "NestedLoop", "Join", "Python"):
         assert word not in plan
+
+
+@pytest.mark.parametrize("order", ["event", "knowledge"])
+def test_few_requests(spark, order):
+    facts, asked = random_facts(41), random_requests(42, 60)
+    store, spine = spark.createDataFrame(facts, FEATURES), spark.createDataFrame(asked, REQUESTS)
+    keys = ["entity_id", "request_time", "feature_name"]
+    got = pit.pit_join_long(spine, store, order=order, few_requests=True)
+    want = brute_asof(facts, asked, order)
+    pd.testing.assert_frame_equal(by_keys(got, *keys)[list(want.columns)], want, check_dtype=False)
+    # The store is reduced before the shuffle; beyond the bound the general plan takes over.
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    many = spark.createDataFrame(random_requests(43, 600), REQUESTS)
+    assert not is_sparse(many)
+    assert is_sparse(spine)
