@@ -193,6 +193,6 @@ def fit_logistic(
         featuresCol="_z", labelCol=label, probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_prediction",
         regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=1000, tol=1e-8,
+        maxIter=1000, tol=1e-7,
     )
     return Scorer(learner.fit(_assemble(train.select(*features, label), scale)), scale)
