@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontam, mixing, token_files
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -19,6 +20,19 @@ def query(f):
     return f
 
 
+def tokenizer_definition(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return token_files.token_file(docs, tokenizer_definition())[1]
+
+
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
@@ -34,3 +48,15 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"), rows["source"], "copies",
     )
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = decontam.with_verdict(docs, tests, "v")
+    return judged.select(
+        "doc_id", "v.n_words", "v.n_hit", F.size("v.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("v.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("v.n_hit") > 0).alias("contaminated"),
+    )
