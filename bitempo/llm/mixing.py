@@ -179,8 +179,8 @@ def _choose(units: DataFrame, plan: DataFrame) -> DataFrame:
     for i, step in enumerate(steps):
         # Words per slice of the hash within the slice that the step before found to hold the cut.
         b = f"b{i}"
-        inside = units.join(cut, ["sources"]) if not keys else units.withColumn("b0", steps[0]).join(
-            cut, ["sources", *keys])
+        inside = units if not keys else units.withColumn("b0", steps[0])
+        inside = inside.join(F.broadcast(cut), ["sources", *keys])  # at most a row per pattern
         slices = inside.withColumn(b, step).groupBy("sources", "whole", "want", "low", *keys, b).agg(
             F.sum(weight).alias("n"))
         upto = Window.partitionBy("sources").orderBy(b)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, token_files
+from . import decontam, langid, mixing, token_files
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
@@ -60,3 +60,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("v.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("v.n_hit") > 0).alias("contaminated"),
     )
+
+
+def bucket(parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(bucket(4) == 2, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    judged = docs.select("doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model, spark).alias("p"))
+    return judged.select("doc_id", "held_out", "p.lang_pred", "p.score", F.array_join("p.languages", ",").alias("languages"))

@@ -121,3 +121,44 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def struct_array(**columns: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+
+def byte_grams(words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte n-grams of ``<word>``, and the number of the word each belongs to."""
+    line = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, place = ragged(lengths)
+    left = lengths[word] - place
+    grams, owners = [], []
+    for n in sizes:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + line[at + k]
+        grams.append(mix(h))
+        owners.append(word[at])
+    return np.concatenate(grams), np.concatenate(owners)
+
+
+class WordTable:
+    """Rows of numbers for words, worked out once per distinct word and batch-wise."""
+
+    def __init__(self, compute, width: int, limit: int = 600_000):
+        self.compute, self.limit, self.width = compute, limit, width
+        self.known: dict[bytes, int] = {}
+        self.rows = np.zeros((1 << 12, width), np.float32)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers in ``rows`` of these words."""
+        places = list(map(self.known.get, words))
+        if None in places:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            fresh = list(set(words).difference(self.known))
+            n = len(self.known)
+            while n + len(fresh) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[n : n + len(fresh)] = self.compute(fresh)
+            self.known.update(zip(fresh, range(n, n + len(fresh))))
+            places = map(self.known.__getitem__, words)
+        return np.fromiter(places, np.int64, len(words))
