@@ -34,70 +34,102 @@ END_ID = 2
 MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 20
-PIECES_KEPT = 400_000
+PIECES_KEPT = 700_000
+JOINED = 4_000
 
 # A blank or other white space before a blank, or a character that tokenizers and Python class
 # differently: such texts are cut more carefully or not at all.
 RUNS = re.compile(r"\s ")
 ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]|<\\|")
 PIECES = re.compile(r"\s*\S+|\s+")
+PLAIN = re.compile(r" ?\S+")
 
 
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of pieces.
 
     The byte-level pattern never joins a non-blank character with white space after it, so a text may be
-    cut there and the pieces encoded one by one, with the same ids as in one go.
+    cut there and the pieces encoded one by one, with the same ids as in one go. Pieces not seen before
+    go to the tokenizer many at a time, a line each: a line end is a token of its own before a piece.
+
+    A piece that begins with one blank is kept under the rest of it; any other under a blank and itself.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.line_end = self.one("\n")
         self.forget()
 
+    def one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.start = np.zeros(PIECES_KEPT, np.int64)
+        self.size = np.zeros(PIECES_KEPT, np.int64)
         self.used = 0
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, encoding in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, k = encoding.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[piece] = k
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if ODD.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> None:
+        k, n = len(self.known), len(keys)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n], self.size[k : k + n] = self.used + starts, sizes
+        self.used += len(ids)
+        self.known.update(zip(keys, range(k, k + n)))
+
+    def learn(self, keys: list[str]) -> None:
+        groups: list[list[str]] = [[]]
+        length = 0
+        for key in keys:
+            piece = key[1:] if key[:1] == " " else " " + key
+            if len(self.line_end) != 1 or not PLAIN.fullmatch(piece):
+                ids = np.asarray(self.one(piece), np.uint32)
+                self.add([key], ids, np.array([len(ids)]), np.array([0]))
+                continue
+            if length > JOINED:
+                groups.append([])
+                length = 0
+            groups[-1].append(key)
+            length += len(piece)
+        lines = ["\n".join(k[1:] if k[:1] == " " else " " + k for k in g) for g in groups if g]
+        groups = [g for g in groups if g]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.asarray(encoding.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+            if len(ends) != len(group):
+                raise ValueError("this tokenizer does not keep a line end apart")
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            self.add(group, ids, ends - starts, starts)
+
+    def keys(self, text: str) -> list[str]:
         if RUNS.search(text):
-            first, rest = "", PIECES.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            rest = [" " + p for p in rest]
+            return [p[1:] if p[0] == " " and p[1:2] != " " else " " + p for p in PIECES.findall(text)]
+        first, *rest = text.split(" ")
         if first:
-            rest.insert(0, first)
-        places = list(map(self.known.get, rest))
-        if None in places:
-            if len(self.known) > PIECES_KEPT:
-                self.forget()
-            self.learn(list(set(rest).difference(self.known)))
-            places = map(self.known.__getitem__, rest)
-        at = np.fromiter(places, np.int64, len(rest))
+            rest.insert(0, " " + first)
+        return rest
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > PIECES_KEPT:
+            self.forget()
+        whole = {i for i, t in enumerate(texts) if t and ODD.search(t)}
+        keys = [self.keys(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        self.learn(list({k for own in keys for k in own}.difference(self.known)))
+        at = np.fromiter((p for own in keys for p in map(self.known.__getitem__, own)), np.int64)
         sizes = self.size[at]
-        total = int(sizes.sum())
         shift = self.start[at] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(total)]
+        line = self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(own) for own in keys])] if texts else []
+        out = np.split(line, ends[:-1]) if texts else []
+        for i in whole:
+            out[i] = np.asarray(self.one(texts[i]), np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -110,12 +142,9 @@ def token_ids(text: Column, definition, end_id: int = END_ID) -> Column:
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        code = encoder(definition.value[0])
-        kind = definition.value[1]
-        return pa.array(
-            [np.append(code.encode(t or ""), np.uint32(end_id)).astype(kind).tobytes() for t in texts.to_pylist()],
-            pa.binary(),
-        )
+        text, kind = definition.value
+        end = np.array([end_id], kind).tobytes()
+        return pa.array([x.astype(kind).tobytes() + end for x in encoder(text).encode_all(texts.to_pylist())], pa.binary())
 
     return ids(text.cast("string"))
 
