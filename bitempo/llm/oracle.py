@@ -28,3 +28,25 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_
   coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+
+_SPACE = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER_SPACE = _SPACE.format(text=_LOWER)
+
+ORACLE["op6_near_duplicates"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_SPACE} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i:i + least(5, len(w)) - 1] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (SELECT x AS a, x AS b FROM link UNION SELECT a, y FROM reach JOIN link ON b = x),
+least_id AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+  coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_id ON d.doc_id = a
+"""

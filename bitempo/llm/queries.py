@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, token_files
+from . import decontam, langid, minhash, mixing, quality, token_files, toxicity
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
@@ -74,3 +74,32 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(~held_out))
     judged = docs.select("doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model, spark).alias("p"))
     return judged.select("doc_id", "held_out", "p.lang_pred", "p.score", F.array_join("p.languages", ",").alias("languages"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = F.coalesce(bucket(5) == 0, F.lit(False))
+    learning = docs.filter(~held_out).join(labels.filter(bucket(5) != 0), "doc_id")
+    model = toxicity.learn(learning)
+    score = toxicity.score(F.col("text"), model, spark)
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(quality.with_target(docs, labels, "target"), F.col("target"))
+    return quality.resample(docs, model)
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
