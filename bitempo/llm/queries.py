@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, minhash, mixing, quality, token_files, toxicity
+from . import decontam, imatch, langid, licenses, minhash, mixing, quality, token_files, toxicity
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
@@ -111,3 +111,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"))
