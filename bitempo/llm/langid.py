@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,28 +98,32 @@ def word_likelihoods(words: list[bytes], model: LanguageModel) -> np.ndarray:
         last = np.cumsum(np.bincount(two_owner, minlength=len(words))) - 1
         before = model.context[two, k].astype(np.float64)
         out[:, k] -= np.bincount(two_owner, before, len(words)) - before[last]
-    out[:, -1] = [any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in words]
+    out[:, -1] = [w[:1].isalpha() or any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in words]
     return out
 
 
-def mixture(like: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, iterations: int = ITERATIONS):
+def mixture(like: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, iterations: int = ITERATIONS):
     """EM shares per document (languages not in ``allowed`` stay 0), and the log likelihood reached.
 
-    ``like``: likelihood of each word, scaled to a maximum of 1 (the scale drops out of comparisons).
+    ``like``: likelihood of each word, scaled to a maximum of 1 (the scale drops out of comparisons);
+    documents stand one after the other with ``sizes`` words, none of them empty.
     """
-    shares = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-    words = np.maximum(np.bincount(doc, minlength=n), 1)
+    starts = np.cumsum(sizes) - sizes
+    shares = (allowed / allowed.sum(axis=1, keepdims=True)).astype(like.dtype)
     for i in range(iterations + 1):
-        joint = shares[doc] * like
-        total = joint.sum(axis=1)
+        joint = np.repeat(shares, sizes, axis=0) * like
+        total = np.maximum(joint @ np.ones(like.shape[1], like.dtype), 1e-30)
         if i == iterations:
-            return shares, np.bincount(doc, np.log(np.maximum(total, 1e-300)), n)
-        joint /= np.maximum(total, 1e-300)[:, None]
-        shares = np.stack([np.bincount(doc, joint[:, k], n) for k in range(like.shape[1])], axis=1) / words[:, None]
+            return shares, np.add.reduceat(np.log(total), starts, dtype=np.float64)
+        shares = np.add.reduceat(joint / total[:, None], starts, axis=0) / sizes[:, None].astype(like.dtype)
 
 
 def infer(texts: list[bytes | None], table: WordTable, languages: int):
-    """Shares per document of the selected languages, and whether the document has a letter."""
+    """Shares per document of the selected languages, and whether the document has a letter.
+
+    No mixture can explain a document better than every word's own best language does. Where a single
+    language comes as close to that as the penalty for a second one, it has won, and EM is left out.
+    """
     n = len(texts)
     words, sizes = [], np.zeros(n, np.int64)
     for d, raw in enumerate(texts):
@@ -128,19 +133,30 @@ def infer(texts: list[bytes | None], table: WordTable, languages: int):
     at = table(words)
     rows = table.rows[at]
     letters = rows[:, -1] > 0
-    doc = np.repeat(np.arange(n), sizes)[letters]
-    logs = rows[letters, :-1].astype(np.float64)
-    counted = np.bincount(doc, minlength=n)
-    like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0)) if len(logs) else logs
-    everything = np.ones((n, languages))
-    shares, _ = mixture(like, doc, n, everything)
-    rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_value = np.zeros((n, languages)), np.full(n, -np.inf)
-    for k in range(1, min(languages, MOST_LANGUAGES) + 1):
-        own, fit = mixture(like, doc, n, (rank < k).astype(float), ITERATIONS if k > 1 else 0)
-        value = fit - PENALTY * (k - 1) * np.log(np.maximum(counted, 2))
-        better = value > best_value
-        best[better], best_value[better] = own[better], value[better]
+    counted = np.bincount(np.repeat(np.arange(n), sizes)[letters], minlength=n)
+    logs = rows[letters, :-1]
+    best = np.zeros((n, languages))
+    full = np.flatnonzero(counted)
+    if not len(full):
+        return best, counted > 0
+    sizes = counted[full]
+    below = logs - reduce(np.maximum, logs.T)[:, None]
+    alone = np.add.reduceat(below, np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+    best[full, alone.argmax(axis=1)] = 1.0
+    value = alone.max(axis=1)
+    price = PENALTY * np.log(np.maximum(sizes, 2))
+    open_ = value < -price
+    if languages > 1 and open_.any():
+        like = np.exp(np.maximum(below[np.repeat(open_, sizes)], -60.0))
+        sizes, value, price = sizes[open_], value[open_], price[open_]
+        shares, _ = mixture(like, sizes, np.ones((len(sizes), languages)))
+        rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
+        chosen = best[full[open_]]
+        for k in range(2, min(languages, MOST_LANGUAGES) + 1):
+            own, fit = mixture(like, sizes, (rank < k).astype(float))
+            better = fit - price * (k - 1) > value
+            chosen[better], value[better] = own[better], (fit - price * (k - 1))[better]
+        best[full[open_]] = chosen
     return best, counted > 0
 
 
