@@ -112,7 +112,7 @@ def mixture(like: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, iterations
     shares = (allowed / allowed.sum(axis=1, keepdims=True)).astype(like.dtype)
     for i in range(iterations + 1):
         joint = np.repeat(shares, sizes, axis=0) * like
-        total = np.maximum(joint @ np.ones(like.shape[1], like.dtype), 1e-30)
+        total = np.maximum(reduce(np.add, joint.T), 1e-30)
         if i == iterations:
             return shares, np.add.reduceat(np.log(total), starts, dtype=np.float64)
         shares = np.add.reduceat(joint / total[:, None], starts, axis=0) / sizes[:, None].astype(like.dtype)

@@ -268,11 +268,16 @@ def _named(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that have their component's least id, columns as given.
 
-    Rows that repeat a kept id with the same set collapse to one row, the one with the least text.
+    Rows that repeat a kept id with the same set collapse to one of them.
     """
-    spare = unused_name(docs, "near_id")
+    spare, digest = unused_name(docs, "near_id"), unused_name(docs, "near_digest")
     judged = near_duplicates(docs, key, text, **options)
-    kept = judged.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias(spare)).agg(
-        F.count(F.lit(1)).alias(unused_name(docs, "near_rows")))
-    out = docs.join(kept, docs[key].eqNullSafe(kept[spare])).select(*(docs[c] for c in docs.columns))
-    return out.dropDuplicates([key])
+    kept = write_table(
+        judged.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id")
+        .agg(F.count(F.lit(1)).alias("rows")), "kept", "lz4")
+    repeated = not kept.filter("rows > 1").isEmpty()
+    kept = kept.select(F.col("id").alias(spare))
+    out = docs.join(kept, docs[key].eqNullSafe(kept[spare])).drop(spare)
+    if repeated:
+        out = out.withColumn(digest, describe(F.col(text))["digest"]).dropDuplicates([key, digest]).drop(digest)
+    return out

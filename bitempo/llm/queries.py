@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, imatch, langid, licenses, minhash, mixing, quality, token_files, toxicity
+from . import decontam, imatch, langid, licenses, minhash, mixing, quality, substring, token_files, toxicity
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
@@ -116,3 +116,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_edits(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = substring.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")

@@ -162,3 +162,16 @@ class WordTable:
             self.known.update(zip(fresh, range(n, n + len(fresh))))
             places = map(self.known.__getitem__, words)
         return np.fromiter(places, np.int64, len(words))
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table that ``write_table`` made, and let the files of finished shuffles go with it."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files live until the driver collects the plans that made them: collect now."""
+    spark.sparkContext._jvm.System.gc()
