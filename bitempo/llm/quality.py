@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .text import WordHashes, mix, struct_array, unused_name, utf8, write_table
 
 CELLS = 1 << 16
-SMOOTHING = 1.0
+SMOOTHING = 20.0
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 AGAIN = np.uint64(0x5EED)
 EXACT_KEYS = 10_000
@@ -96,8 +96,9 @@ def learn(docs: DataFrame, target: Column, text: str = "text") -> QualityModel:
             table[:, r.cell] = r.raw, r.target
     if not table[1].any():
         return QualityModel(np.zeros(CELLS), 1.0)
-    p = (table + SMOOTHING) / (table.sum(axis=1, keepdims=True) + SMOOTHING * CELLS)
-    return QualityModel(np.log(p[1] / p[0]), good / (good + bad))
+    # Against what the raw model expects of as many target n-grams: a cell with little evidence says nothing.
+    expected = table[0] / table[0].sum() * table[1].sum()
+    return QualityModel(np.log((table[1] + SMOOTHING) / (expected + SMOOTHING)), good / (good + bad))
 
 
 def log_weight(text: Column, model: QualityModel, spark) -> Column:
