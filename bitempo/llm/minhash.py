@@ -6,12 +6,15 @@
 2. Classes that share a band key are candidates. Within a band bucket each class first meets only the
    bucket's pivot (its least class), and of all pivots it meets only the one whose packed signature
    agrees best is verified: candidates grow with the classes, not with the square of a bucket.
-3. What is in different components afterwards is compared in blocks: classes outside the largest component
+3. Components that share buckets send delegates: one class each per bucket meets the delegate of the
+   bucket's largest component, and the best pair of each two components is verified. After ``ROUNDS`` of
+   this the parts of a large group have found each other.
+4. What is in different components afterwards is compared in blocks: classes outside the largest component
    of a bucket against blocks of up to ``BLOCK`` packed signatures of the bucket. The collision-corrected
-   estimate (agreeing bits counted) discards pairs six standard errors below the threshold.
-4. The remaining pairs are verified on full sets: the best pair of each two components first, then, once
-   components have merged, all that are still between different ones. Pairs inside one component cannot
-   change the result and are left out. No pair of a bucket is dropped for its size.
+   estimate (agreeing bits counted) discards pairs six standard errors below the threshold. The best pair of
+   each two components is verified first; then, once those have merged, every pair that is still between
+   different ones. Pairs inside one component cannot change the result and are left out. No pair of a bucket
+   is dropped for the bucket's size.
 
 With 32 bands of three minima a pair at similarity 0.75 shares no band with probability 3e-8, and the estimate
 errs by six standard errors with 1e-9. Shingles are 64-bit hashes.
@@ -31,7 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import WordHashes, gram_hashes, lower_space_words, mix, struct_array, unused_name, utf8, write_table
+from .text import (
+    WordHashes, gram_hashes, lower_space_words, mix, release_shuffles, struct_array, unused_name, utf8, write_table,
+)
 
 WORDS = 5
 PERCENT = 75
@@ -40,6 +45,7 @@ MINIMA = BANDS * ROWS
 PACKED = MINIMA * BITS // 64
 SLACK = 6.0
 BLOCK = 256
+ROUNDS = 3
 
 _STEPS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _HASHES: list = []
@@ -160,6 +166,7 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: float = PERCENT, words: int = WORDS
 ) -> DataFrame:
     """Rows id, n_shingles, digest, component_id for all of ``docs``."""
+    spark = docs.sparkSession
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sets = write_table(base.select("id", describe(F.col("text"), words).alias("s")).select("id", "s.*"), "sets", "lz4")
     classes = write_table(
@@ -174,10 +181,10 @@ def near_duplicates(
 
     # The texts of all classes that are candidates of anything, one per class.
     some = members.select("digest").distinct().join(classes.select("digest", "first"), "digest")
-    found = base.join(some, base["id"].eqNullSafe(some["first"])).select(
-        "digest", utf8(F.col("text")).alias("raw"), describe(F.col("text"), words)["digest"].alias("own"))
-    texts = write_table(
-        found.filter("digest = own").groupBy("digest").agg(F.first("raw").alias("raw")), "candidate-texts")
+    found = base.join(some, base["id"].eqNullSafe(some["first"])).select("digest", utf8(F.col("text")).alias("raw"))
+    # One text per class: an id may stand for several texts, of which only one belongs.
+    found = found.filter(has_digest(F.col("raw"), F.col("digest"), words))
+    texts = write_table(found.groupBy("digest").agg(F.first("raw").alias("raw")), "candidate-texts")
     sigs = classes.select("digest", *(longs(F.col("sig"), PACKED)[i].alias(f"s{i}") for i in range(PACKED)))
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -195,26 +202,53 @@ def near_duplicates(
     links = verified(best, texts, percent, words)
     now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
 
-    pending = write_table(estimated(cross_pairs(members, sigs, now, least)), "pairs", "lz4")
-    rounds = 0
-    while True:
-        pending = between(pending, now)
-        if pending.isEmpty():
-            break
-        if rounds < 2:
-            # One pair for every two components: most of the rest lies inside one component afterwards.
-            pick = pending.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(
-                F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            pick = pending.select("a", "b")
-        links = links.unionAll(verified(pick, texts, percent, words))
+    def meet(pairs: DataFrame) -> bool:
+        """Verify the best pair of each two components; whether any of them were linked."""
+        nonlocal links, now
+        pick = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(
+            F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b")
+        more = verified(pick, texts, percent, words)
+        if more.isEmpty():
+            return False
+        links = links.unionAll(more)
         now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
-        if rounds == 2:
+        release_shuffles(spark)
+        return True
+
+    for r in range(ROUNDS):
+        pairs = between(estimated(delegates(members, now, r)), now).filter(F.col("like") >= least)
+        if not meet(pairs):
             break
-        rounds += 1
+    meet(between(estimated(cross_pairs(members, sigs, now, least, best=True)), now))
+    pending = between(estimated(cross_pairs(members, sigs, now, least)), now)
+    meet(pending)
+    pending = between(pending, now)
+    if not pending.isEmpty():
+        links = links.unionAll(verified(pending.select("a", "b"), texts, percent, words))
+        now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
     return _named(sets, classes.join(now, "digest"))
 
 
+def has_digest(raw: Column, digest: Column, words: int) -> Column:
+    @F.arrow_udf("boolean")
+    def same(texts: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(shingles(t, words).tobytes()) == d
+                         for t, d in zip(texts.to_pylist(), digests.to_pylist())], pa.bool_())
+
+    return same(raw, digest)
+
+
+def delegates(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): a class of each component of a bucket, and one of the bucket's largest component."""
+    placed = members.select("bucket", "digest").join(roots, "digest")
+    sent = placed.groupBy("bucket", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest")).alias("d")
+    ).select("bucket", "root", "n", F.col("d.digest").alias("digest"))
+    main = sent.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "digest")).alias("m"))
+    pairs = sent.join(main.filter("roots > 1"), "bucket").filter(F.col("root") != F.col("m.root"))
+    return pairs.select(F.least("digest", "m.digest").alias("a"), F.greatest("digest", "m.digest").alias("b")).distinct()
+
+
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose classes are in different components so far."""
     for side in "ab":
@@ -223,8 +257,13 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return write_table(pairs.filter("ra <> rb").select("a", "b", "like", "ra", "rb"), "pairs", "lz4")
 
 
-def cross_pairs(members: DataFrame, sigs: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose signatures agree enough."""
+def cross_pairs(
+    members: DataFrame, sigs: DataFrame, roots: DataFrame, least: float, best: bool = False
+) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose signatures agree enough.
+
+    ``best``: of each asking class only its best pair with each other component of a block.
+    """
     placed = members.select("bucket", "digest", "size").join(roots, "digest")
     per_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = per_root.groupBy("bucket").agg(
@@ -249,7 +288,16 @@ def cross_pairs(members: DataFrame, sigs: DataFrame, roots: DataFrame, least: fl
                 folded |= differ >> np.uint64(k)
             count = np.bitwise_count(folded & np.uint64(LOW_BITS)).sum(axis=1)
             like = (1 - count / MINIMA - chance) / (1 - chance)
-            out.append([ds[i] for i in np.flatnonzero(like >= least) if rs[i] != r])
+            order = np.flatnonzero(like >= least)
+            order = order[np.argsort(-like[order], kind="stable")]
+            met = {r}
+            own = []
+            for i in order:
+                if rs[i] not in met:
+                    own.append(ds[i])
+                    if best:
+                        met.add(rs[i])
+            out.append(own)
         return pa.array(out, pa.list_(pa.binary()))
 
     found = asking.join(blocks, "bucket").select(

@@ -4,7 +4,7 @@ Documents with the same set of sources are interchangeable to the flow, so Spark
 row per set. The flow sends words from patterns through sources to their quotas; the first copy of
 a word is free, each further one costs more than the last (convex), so nothing is repeated before
 everything usable has been taken once. Spark then picks whole documents in the order of a seeded hash
-up to each pattern's share, and closes the rest of the gap with the documents that fit it best.
+up to each pattern's share, and narrows the rest of the gap by the documents whose change fits it best.
 
 Only the pattern table reaches the driver: one row per distinct set of sources, not of documents. More
 than ``MAX_PATTERNS`` rows raise an error. Everything else stays distributed: the cut within a pattern
@@ -206,17 +206,18 @@ def _choose(units: DataFrame, plan: DataFrame) -> DataFrame:
         gap = marked.groupBy("sources").agg(
             F.max("want").alias("want"), F.sum(F.col("extra") * weight).alias("got")
         ).select("sources", (F.col("want") - F.col("got")).alias("gap"))
+        # The one document whose change, in or out, leaves the smallest gap.
+        left = F.abs(F.col("gap") - F.when(F.col("extra") == 0, weight).otherwise(-weight))
         pick = (
-            marked.filter((F.col("extra") == 0) & (weight > 0))
-            .join(F.broadcast(gap), "sources").filter(weight <= F.col("gap"))
-            .groupBy("sources").agg(F.max(F.struct(weight.alias("w"), "h", "id", "size")).alias("p"))
+            marked.join(F.broadcast(gap), "sources").filter(left < F.abs("gap"))
+            .groupBy("sources").agg(F.min(F.struct(left.alias("left"), "h", "id", "size")).alias("p"))
             .select("sources", F.col("p.h").alias("ph"), F.col("p.id").alias("pid"), F.col("p.size").alias("ps"))
         )
         marked = write_table(
             marked.join(F.broadcast(pick), "sources", "left")
             .withColumn("extra", F.when(
                 (F.col("h") == F.col("ph")) & F.col("id").eqNullSafe(F.col("pid")) & (F.col("size") == F.col("ps")),
-                1).otherwise(F.col("extra")))
+                1 - F.col("extra")).otherwise(F.col("extra")))
             .drop("ph", "pid", "ps"),
             "mix-filled",
         )
