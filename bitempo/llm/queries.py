@@ -81,8 +81,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = F.coalesce(bucket(5) == 0, F.lit(False))
-    learning = docs.filter(~held_out).join(labels.filter(bucket(5) != 0), "doc_id")
-    model = toxicity.learn(learning)
+    model = toxicity.learn(docs.filter(~held_out), labels.filter(bucket(5) != 0))
     score = toxicity.score(F.col("text"), model, spark)
     return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")

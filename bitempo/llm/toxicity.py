@@ -128,24 +128,30 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> ToxicityMode
     return ToxicityModel(vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]))
 
 
-def training_sample(labelled: DataFrame, text: str, label: str, rows: int, size: int):
-    """At most ``rows`` texts of each class and ``size`` bytes in all, by a hash of the text."""
-    half = Window.partitionBy("y").orderBy("h", "t")
+def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, size: int):
+    """At most ``rows`` texts of each class and ``size`` bytes in all, by a hash of the text.
+
+    The draw looks at ids, hashes and lengths only; texts are fetched for the few drawn.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("y"))
+    told = docs.filter(F.col(text).isNotNull()).select(
+        F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.octet_length(F.col(text)).alias("n"))
+    half = Window.partitionBy("y").orderBy("h", "k")
     drawn = (
-        labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-        .select(F.col(label).alias("y"), utf8(F.col(text)).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-        .withColumn("place", F.row_number().over(half)).filter(F.col("place") <= rows)
-        .withColumn("upto", F.sum(F.length("t")).over(half)).filter(F.col("upto") <= size // 2)
-        .select("y", "t").collect()
+        told.join(known, "k").withColumn("place", F.row_number().over(half)).filter(F.col("place") <= rows)
+        .withColumn("upto", F.sum("n").over(half)).filter(F.col("upto") <= size // 2).select("k", "h", "y")
     )
-    drawn.sort(key=lambda r: bytes(r.t))
-    return [bytes(r.t) for r in drawn], np.array([r.y for r in drawn])
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), utf8(F.col(text)).alias("t"))
+    found = texts.join(F.broadcast(drawn), ["k", "h"]).select("y", "t").distinct().collect()
+    found.sort(key=lambda r: (bytes(r.t), r.y))
+    return [bytes(r.t) for r in found], np.array([r.y for r in found])
 
 
 def learn(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES,
 ) -> ToxicityModel:
-    return train(*training_sample(labelled, text, label, rows, size))
+    return train(*training_sample(docs, labels, key, text, label, rows, size))
 
 
 _LAST: list = []

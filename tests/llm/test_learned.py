@@ -125,7 +125,8 @@ def test_toxicity(spark):
         return " ".join(own)
     rows = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(300)]
     learning = spark.createDataFrame(rows + [(900, None, 1), (901, "x", None)], "doc_id long, text string, toxic int")
-    model = toxicity.learn(learning)
+    texts, labels = learning.select("doc_id", "text"), learning.select("doc_id", "toxic")
+    model = toxicity.learn(texts, labels)
     tests = [(i, make(i % 2 == 0), i % 2 == 0) for i in range(80)]
     tests += [(200, "w1 w2 grumblefaxx w3 w9", True), (201, "SNORTLEWICKS! w5 w6 w7", True), (202, None, False), (203, "", False),
               (204, words(rng, 5000), False), (205, words(rng, 5000) + " vexomatic vexomatics", True)]
@@ -133,8 +134,8 @@ def test_toxicity(spark):
     got = {r.doc_id: r.s for r in frame_.select("doc_id", toxicity.score(F.col("text"), model, spark).alias("s")).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[202] == got[203] == 0.0
     assert [i for i, _, y in tests if (got[i] >= 0.5) != y] == []
-    assert toxicity.learn(learning.filter("toxic = 0")).empty
-    assert toxicity.learn(learning.limit(0)).empty
+    assert toxicity.learn(texts, labels.filter("toxic = 0")).empty
+    assert toxicity.learn(texts.limit(0), labels).empty
 
 
 def test_worst_stretch_is_the_best_of_all():
