@@ -6,7 +6,8 @@ the weights and keeping the k largest draws k documents without replacement in p
 weights. N-grams are single tokens (runs of word characters, runs of other signs) and pairs; a token that
 repeats the one before it counts as the pair "again", so that stuck text is one event, not thousands.
 
-The counts are one distributed pass into a fixed number of cells. k is the expected number of target-like
+The raw model counts all documents, the target model at most ``TARGET_ROWS`` of those labelled good, drawn by a
+hash of their ids; both in one distributed pass into a fixed number of cells. k is the expected number of target-like
 documents: the sum over documents of min(1, prior * exp(log weight / sqrt(n-grams))), where prior is the share
 of target among the labelled ones (1 without labels that say otherwise); the root is there because the
 n-grams of one text are far from independent evidence. The k-th largest key is found by narrowing a
@@ -32,6 +33,7 @@ from .text import WordHashes, mix, struct_array, unused_name, utf8, write_table
 
 CELLS = 1 << 16
 SMOOTHING = 20.0
+TARGET_ROWS = 20_000
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 AGAIN = np.uint64(0x5EED)
 EXACT_KEYS = 10_000
@@ -63,42 +65,43 @@ class QualityModel:
     prior: float
 
 
-def learn(docs: DataFrame, target: Column, text: str = "text") -> QualityModel:
-    """``target``: true for target documents, false for known others, null for unknown ones."""
+def learn(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    rows: int = TARGET_ROWS,
+) -> QualityModel:
+    """Models of all texts and of those labelled 1. Ids labelled twice count by the lower label."""
+    told = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
+    known = docs.select(F.col(key).alias("k")).distinct().join(told, "k")
+    good, all_ = known.agg(F.count_if(F.col("y") == 1), F.count(F.lit(1))).first()
+    # At most ``rows`` ids: small enough to send to every task, so no text is moved to meet its label.
+    drawn = known.filter("y = 1").orderBy(F.xxhash64("k"), "k").limit(rows).select("k", F.lit(True).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
-        rows = np.zeros(2, np.int64)
         for b in batches:
             cells, doc = ngram_cells(b.column(0).to_pylist())
-            known = np.array([-1 if x is None else int(x) for x in b.column(1).to_pylist()], np.int64)
+            target = np.array([bool(x) for x in b.column(1).to_pylist()], bool)
             total[0] += np.bincount(cells, minlength=CELLS)
-            total[1] += np.bincount(cells[known[doc] == 1], minlength=CELLS)
-            rows += (int((known == 1).sum()), int((known == 0).sum()))
+            total[1] += np.bincount(cells[target[doc]], minlength=CELLS)
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(used, -1)), pa.array(np.append(total[0, used], rows[0])),
-             pa.array(np.append(total[1, used], rows[1]))],
-            names=["cell", "raw", "target"],
+            [pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], names=["cell", "raw", "target"]
         )
 
+    texts = docs.select(F.col(key).alias("k"), utf8(F.col(text)).alias("t"))
     counts = (
-        docs.select(utf8(F.col(text)).alias("t"), target.cast("boolean").alias("y"))
+        texts.join(F.broadcast(drawn), "k", "left").select("t", "target")
         .mapInArrow(count, "cell long, raw long, target long")
         .groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     )
     table = np.zeros((2, CELLS))
-    good = bad = 0
     for r in counts:
-        if r.cell < 0:
-            good, bad = r.raw, r.target
-        else:
-            table[:, r.cell] = r.raw, r.target
+        table[:, r.cell] = r.raw, r.target
     if not table[1].any():
         return QualityModel(np.zeros(CELLS), 1.0)
     # Against what the raw model expects of as many target n-grams: a cell with little evidence says nothing.
     expected = table[0] / table[0].sum() * table[1].sum()
-    return QualityModel(np.log((table[1] + SMOOTHING) / (expected + SMOOTHING)), good / (good + bad))
+    return QualityModel(np.log((table[1] + SMOOTHING) / (expected + SMOOTHING)), good / all_)
 
 
 def log_weight(text: Column, model: QualityModel, spark) -> Column:
@@ -172,19 +175,13 @@ def resample(
     )
 
 
-def with_target(docs: DataFrame, labels: DataFrame, name: str, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """``docs`` with a boolean column: label 1, label 0 or null (documents labelled twice: the lower one)."""
-    own = labels.groupBy(F.col(key).alias("_label_key")).agg((F.min(label) == 1).alias(name))
-    return docs.join(own, docs[key] == own["_label_key"], "left").drop("_label_key")
-
-
 def good_documents(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 11
 ) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps, columns as given."""
     spark = docs.sparkSession
-    target, weight, noise = (unused_name(docs, n) for n in ("target", "log_weight", "sample_key"))
-    model = learn(with_target(docs.select(key, text), labels, target, key, label), F.col(target), text)
+    weight, noise = (unused_name(docs, n) for n in ("log_weight", "sample_key"))
+    model = learn(docs, labels, key, text, label)
     judged = resample(docs, model, key, text, seed=seed)
     least = judged.filter("kept").agg(F.min("sample_key")).first()[0]
     if least is None:

@@ -92,8 +92,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.learn(quality.with_target(docs, labels, "target"), F.col("target"))
-    return quality.resample(docs, model)
+    return quality.resample(docs, quality.learn(docs, labels))
 
 
 @query

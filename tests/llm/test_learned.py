@@ -160,7 +160,7 @@ def test_quality(spark):
     rows += [(900, None), (901, ""), (902, "w1"), (3, rows[3][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(250)] + [(1, None), (7777, 1)], "doc_id long, quality int")
-    model = quality.learn(quality.with_target(docs, labels, "t"), F.col("t"))
+    model = quality.learn(docs, labels)
     got = quality.resample(docs, model).collect()
     kept = {r.doc_id for r in got if r.kept}
     clean = {i for i in range(500) if i % 5}
