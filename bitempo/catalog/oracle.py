@@ -172,9 +172,15 @@ def wide(source: str, keys: str = "entity_id, request_time") -> str:
     return f"SELECT {keys}, {cols} FROM {source} GROUP BY {keys}"
 
 
+relation("known", """
+SELECT * FROM revised WHERE (CAST(entity_id AS INT) + dayofyear(event_timestamp)) % 5 <> 0
+""", "revised")
+relation("pit_known", picked("spine", "known", EVENT), "spine", "known")
 relation("quarters", """
 SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, unnest(range(
-         TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-02', INTERVAL 3 MONTH)) AS request_time
+         (SELECT date_trunc('quarter', min(l_shipdate)) FROM lineitem),
+         (SELECT date_trunc('quarter', max(l_shipdate)) + INTERVAL 3 MONTH + INTERVAL 1 DAY FROM lineitem),
+         INTERVAL 3 MONTH)) AS request_time
 FROM supplier
 """)
 relation("pit_quarters", picked("quarters", "revised", EVENT), "quarters", "revised")
@@ -202,6 +208,9 @@ relation("closed15m", f"""
 SELECT * FROM bars15m WHERE bar_start + INTERVAL 15 MINUTE <= {CLOSED}
 """, "bars15m")
 relation("live15m", LIVE.format(source="closed15m", time="bar_start"), "closed15m")
+relation("live15m_known", "SELECT *, event_timestamp + INTERVAL 15 MINUTE AS knowledge_timestamp FROM live15m",
+         "live15m")
+relation("live15m_log", melted("live15m_known"), "live15m_known")
 relation("quotes", """
 SELECT event_type, time_bucket(INTERVAL '1 minute', ts) AS quote_minute,
        arg_max(price, row(ts, event_id)) AS price, arg_max(volume, row(ts, event_id)) AS volume,
@@ -216,6 +225,7 @@ FROM daily
 """, "daily")
 BASE_COLUMNS = """ticker, date, open, high, low, close, volume, close AS first_print_close,
        false AS revised, date AS knowledge_date"""
+GAPPED = "CASE WHEN dayofmonth(p.date) <> 5 THEN p.close END"
 relation("vintages", f"""
 SELECT {BASE_COLUMNS} FROM pull1
 UNION ALL
@@ -337,8 +347,8 @@ STATUS = """
 SELECT user_id AS ticker, arg_max(price, row(ts, event_id)) AS last_price,
        arg_max(volume, row(ts, event_id)) AS last_volume, max(ts) AS last_update,
        count(*) AS tick_count,
-       least(50, count(DISTINCT time_bucket(INTERVAL '3 hours', ts))) AS bars_accumulated,
-       count(DISTINCT time_bucket(INTERVAL '3 hours', ts)) >= 21 AS features_ready
+       least(50, count(DISTINCT time_bucket(INTERVAL '3 hours', ts)) - 1) AS bars_accumulated,
+       count(DISTINCT time_bucket(INTERVAL '3 hours', ts)) - 1 >= 21 AS features_ready
 FROM ticks GROUP BY 1
 """
 
@@ -382,7 +392,7 @@ FROM ticks GROUP BY 1
         "ticker_status": with_(STATUS, "ticks"),
         "stream_status": with_("""
 SELECT user_id AS ticker, count(*) AS tick_count, arg_max(price, row(ts, event_id)) AS last_price,
-       max(ts) AS last_update
+       arg_max(volume, row(ts, event_id)) AS last_volume, max(ts) AS last_update
 FROM ticks GROUP BY 1
 """, "ticks"),
         "total_ticks": "SELECT count(DISTINCT user_id) AS tickers, count(*) AS total_ticks FROM events",
@@ -391,6 +401,19 @@ FROM ticks GROUP BY 1
         "vintage_counts": with_("""
 SELECT ticker, count(*) AS stored, count(*) FILTER (revised) AS revised FROM vintages GROUP BY 1
 """, "vintages"),
+        "vintage_store": with_(f"""
+SELECT p.ticker, p.date, p.open, p.high, p.low, {GAPPED} AS close, p.volume, {GAPPED} AS first_print_close,
+       false AS revised, p.date AS knowledge_date
+FROM pull1 p
+UNION ALL
+SELECT p1.ticker, p1.date, p1.open, p1.high, p1.low, p2.close, p1.volume, p1.first,
+       true, TIMESTAMP '{PULL_DATE}'
+FROM (SELECT p.*, {GAPPED} AS first FROM pull1 p) p1 JOIN pull2 p2 USING (ticker, date)
+WHERE p1.first IS NULL OR abs(p2.close - p1.first) > 1e-9
+UNION ALL
+SELECT {BASE_COLUMNS} FROM pull2 WHERE date >= TIMESTAMP '{SNAPSHOT_CUT}'
+""", "pull1", "pull2"),
+        "pit_join_null_knowledge": with_(wide("pit_known"), "pit_known"),
         "vintage_features": with_(LONG + "vf", "vf"),
         "vintage_leaked_features": with_(LONG + "vl", "vl"),
         "features_correct_long": correct_long,
@@ -521,8 +544,19 @@ GROUP BY p
         "stream_bars": with_(
             f"SELECT * FROM bars3h WHERE bar_start + INTERVAL 3 HOUR <= {CLOSED}", "bars3h"
         ),
-        "stream_features": with_(LIVE_OUT + "live15m", "live15m"),
-        "stream_update_events": with_(UPDATES + "live15m", "live15m"),
+        "stream_bars_flushed": with_("SELECT * FROM bars3h", "bars3h"),
+        "stream_features": with_(
+            LIVE_OUT.replace("event_timestamp,", "event_timestamp, knowledge_timestamp,") + "live15m_known",
+            "live15m_known",
+        ),
+        "stream_update_events": with_(
+            UPDATES.replace("event_timestamp", "knowledge_timestamp") + "live15m_known", "live15m_known"
+        ),
+        "stream_live_latest": with_(f"""
+SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp
+FROM live15m_log
+QUALIFY row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY knowledge_timestamp DESC) = 1
+""", "live15m_log"),
         "stream_latest": with_(f"""
 SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp
 FROM revised

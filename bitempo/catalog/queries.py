@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,6 +21,7 @@ from ..plans.hot import HotEntities
 from ..schema import FEATURE_NAMES, LIVE_BARS, TICKS
 from ..session import shared_dir, stage, use_utc
 from ..sources import raw_bars as files
+from ..sources import vintages
 from ..sources import ticks as tick_ops
 from ..sources.tables import (
     event_ticks, hot_suppliers, line_bars, table, vendor_frame,
@@ -268,6 +270,19 @@ def vintage_counts(x):
     )
 
 
+@query
+def vintage_store(x):
+    """Three pulls into the dated store: gaps at first, then corrections and new days, then no change."""
+    path = x.shared_dir("vintages")
+    gap = F.dayofmonth(F.col("date").cast("date")) == 5
+    first = files.normalise_vendor(
+        vendor_frame(x.bars.filter(F.col("date") < at(SNAPSHOT_CUT)), F.when(~gap, F.col("close"))))
+    pulls = ((first, SNAPSHOT_CUT), (second_pull(x), PULL_DATE), (second_pull(x), "2002-01-02 00:00:00"))
+    for snapshot, as_of in pulls:
+        vintages.add_pull(x.spark, path, snapshot, dt.datetime.fromisoformat(as_of))
+    return vintages.read_vintages(x.spark, path)
+
+
 @query
 def vintage_features(x):
     """Causal features of a history with several vintages per date: first prints only."""
@@ -368,7 +383,7 @@ def bitemporal_violations(x):
 
 @query
 def entity_list(x):
-    return x.bars.select(F.col("ticker").alias("entity_id")).distinct()
+    return x.bars.select(F.col("ticker").alias("entity_id")).distinct().orderBy("entity_id")
 
 
 # --- point-in-time reads ------------------------------------------------------------------------
@@ -406,18 +421,35 @@ def pit_join_bucketed(x):
 
 @query
 def pit_join_few(x):
-    """Quarterly reads of the revised store: few requests, the store is not shuffled."""
+    """Quarterly reads of the revised store: few requests against a long history."""
     return rounded(
-        pit.pit_join(quarters(x), x.revised, hot=x.hot, few_requests=True), *FEATURE_NAMES
+        pit.pit_join(quarters(x), x.revised, hot=x.hot, asked_only=True), *FEATURE_NAMES
     )
 
 
+@query
+def pit_join_null_knowledge(x):
+    """Planted: every fifth fact has no knowledge time, some requests have no entity or no time."""
+    day = F.dayofyear(F.col("event_timestamp").cast("date"))
+    lost = (F.col("entity_id").cast("int") + day) % 5 == 0
+    store = x.revised.withColumn("knowledge_timestamp", F.when(~lost, F.col("knowledge_timestamp")))
+    suppliers, nothing = x.table("supplier"), F.lit(None)
+    no_time = suppliers.select(F.col("s_suppkey").cast("string"), nothing.cast("timestamp_ntz"))
+    no_entity = x.requests.select(nothing.cast("string"), "request_time")
+    spine = x.requests.unionAll(no_time).unionAll(no_entity)
+    return rounded(pit.pit_join(spine, store, hot=x.hot), *FEATURE_NAMES)
+
+
 def quarters(x) -> DataFrame:
-    """A request at the start of each quarter for every supplier."""
-    starts = F.sequence(at("1995-01-01"), at("2002-01-01"), F.expr("interval 3 months"))
+    """A request at the start of each quarter of the trading history and the next, for every supplier."""
+    quarter = F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")).cast("timestamp_ntz")
+    span = x.table("lineitem").agg(
+        F.sequence(F.min(quarter), F.max(quarter) + F.expr("interval 3 months"), F.expr("interval 3 months"))
+        .alias("starts")
+    ).select("starts").scalar()
     return x.table("supplier").select(
         F.col("s_suppkey").cast("string").alias("entity_id"),
-        F.explode(starts).alias("request_time"),
+        F.explode(span).alias("request_time"),
     )
 
 
@@ -690,10 +722,11 @@ def score_correct(x):
 def score_leaked(x):
     """Every supplier as of the end of its history, from the leaky table."""
     wide = x.stored_variant("leaked")
+    end = wide.agg(F.max("event_timestamp").alias("end")).scalar()
     spine = x.table("supplier").select(
-        F.col("s_suppkey").cast("string").alias("entity_id"), at(PULL_DATE).alias("request_time")
+        F.col("s_suppkey").cast("string").alias("entity_id"), end.alias("request_time")
     )
-    vectors = pit.pit_join(spine, wide, hot=x.hot, few_requests=True)
+    vectors = pit.pit_join(spine, wide, hot=x.hot, asked_only=True)
     return scoring.score(vectors, fitted(x), "leaked")
 
 
@@ -749,10 +782,21 @@ def stream_bars(x):
     return naive(bars.drop("seed"))
 
 
+@query
+def stream_bars_flushed(x):
+    """When the stream ends, the bars it still holds open are written as well."""
+    root = run_bars(x, BAR_INTERVAL)
+    ticks = x.spark.read.schema(TICK_ROWS).parquet(f"{root}/ticks")
+    written = x.spark.read.schema(LIVE_BARS).parquet(f"{root}/bars")
+    streams.land(live.open_bars(ticks, written, BAR_INTERVAL, LATE_DELAY, TICK_ORDER), f"{root}/flushed")
+    flushed = x.spark.read.schema(LIVE_BARS).parquet(f"{root}/flushed")
+    return naive(written.unionByName(flushed).drop("seed"))
+
+
 def run_features(x) -> str:
     def features(root: str) -> None:
         bars = streams.table_stream(x.spark, f"{root}/bars", LIVE_BARS)
-        vectors = live.feature_stream(bars)
+        vectors = live.feature_stream(bars, LIVE_INTERVAL)
         live.run_available(vectors, f"{root}/features", f"{root}/features-checkpoint")
 
     return run_bars(x, LIVE_INTERVAL, features)
@@ -773,6 +817,16 @@ def stream_update_events(x):
     return parsed_updates(x.spark.read.text(f"{root}/updates"))
 
 
+@query
+def stream_live_latest(x):
+    """Ticks to bars to vectors to the log; the serving state is what the log holds last."""
+    root = run_features(x)
+    vectors = streams.table_stream(x.spark, f"{root}/features", live.VECTORS)
+    log = naive(online.vector_to_log(vectors))
+    sinks.start_log(log, f"{root}/online", f"{root}/log-ck", 2).awaitTermination()
+    return rounded(sinks.read_latest(x.spark, f"{root}/online"), "value")
+
+
 @query
 def stream_latest(x):
     """Replay of the revised log in knowledge order through the log sink."""

@@ -104,12 +104,15 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
 def order_key(df: DataFrame, columns: Sequence[str]) -> Column:
     """A key that sorts like the tuple of ``columns``.
 
-    One or two time or integer columns become a number. Fixed-width keys let ``min_by``/``max_by``
+    One or two time or integer columns become a number (two of them if the first is a time: 18 digits
+    hold any of those, but not any integer). Fixed-width keys let ``min_by``/``max_by``
     aggregate in a hash map; a struct key would force a sort of every input partition.
     """
     integral = (T.IntegralType, T.TimestampType, T.TimestampNTZType)
     if len(columns) > 2 or not all(isinstance(df.schema[c].dataType, integral) for c in columns):
         return F.struct(*columns)
+    if len(columns) == 2 and isinstance(df.schema[columns[0]].dataType, T.LongType):
+        return F.struct(*columns)
     first = epoch_micros(df, columns[0])
     if len(columns) == 1:
         return first

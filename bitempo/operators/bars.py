@@ -109,19 +109,21 @@ def vintage_diff(history: DataFrame, snapshot: DataFrame, as_of: Column) -> Data
     """Rows that ``snapshot`` (a normalised vendor frame) adds to ``history``.
 
     The latest stored row of each (ticker, date) is compared with the snapshot's adjusted close.
-    A change gives a revision row known at ``as_of``; a date never seen gives a first print.
-    Stored rows are never touched, and an unchanged snapshot adds nothing.
+    A change gives a revision row known at ``as_of``, also where the stored close is missing; a date
+    never seen gives a first print. A close that a later snapshot lacks is no correction: what is
+    stored stays. Stored rows are never touched, and an unchanged snapshot adds nothing.
     """
     last = latest_prints(history)
     fresh = snapshot_baseline(snapshot)
     joined = last.alias("old").join(fresh.alias("new"), ["ticker", "date"], "full_outer")
     is_new = F.col("old.close").isNull() & F.col("old.knowledge_date").isNull()
-    differs = F.abs(F.col("new.close") - F.col("old.close")) > CHANGE_EPSILON
+    changed = F.abs(F.col("new.close") - F.col("old.close")) > CHANGE_EPSILON
+    differs = F.col("new.close").isNotNull() & F.coalesce(changed, F.lit(True))
 
     def pick(name: str) -> Column:
         return F.when(is_new, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
 
-    added = joined.filter(is_new | F.coalesce(differs, F.lit(False)))
+    added = joined.filter(is_new | differs)
     return added.select(
         "ticker", "date", *(pick(c) for c in ("open", "high", "low")),
         F.col("new.close").alias("close"),

@@ -102,9 +102,9 @@ def order_divergence(
 def ticker_status(
     ticks: DataFrame, interval: str, order: Sequence[str] = ("timestamp",)
 ) -> DataFrame:
-    """Last tick, tick count, buffered bars and readiness of each ticker.
+    """Last tick, tick count, completed bars and readiness of each ticker.
 
-    Two nested aggregates (ticks to bars to tickers), both with map-side partials.
+    The bar of a ticker's last tick is still open: features see it once it is complete. Two nested aggregates (ticks to bars to tickers), both with map-side partials.
     """
     key = order_key(ticks, order)
     fields = ("price", "volume", "timestamp")
@@ -112,7 +112,7 @@ def ticker_status(
         *(F.max_by(c, key).alias(c) for c in fields),
         F.max(key).alias("key"), F.count(F.lit(1)).alias("ticks"),
     )
-    bars_seen = F.least(F.lit(LIVE_BUFFER_BARS), F.count(F.lit(1)))
+    bars_seen = F.least(F.lit(LIVE_BUFFER_BARS), F.count(F.lit(1)) - 1)
     return bars.groupBy("ticker").agg(
         F.max_by("price", "key").alias("last_price"),
         F.max_by("volume", "key").alias("last_volume"),
@@ -130,7 +130,7 @@ def total_ticks(status: DataFrame) -> DataFrame:
 
 
 def update_events(vectors: DataFrame, time: str = "event_timestamp") -> DataFrame:
-    """One JSON message per vector: ticker, rounded features, ISO time."""
+    """One JSON message per vector: ticker, rounded features, ISO time (of knowledge, where it has one)."""
     rounded = F.struct(*(F.bround(f, UPDATE_DIGITS).alias(f) for f in FEATURE_NAMES))
     message = F.struct(
         F.col("entity_id").alias("ticker"),

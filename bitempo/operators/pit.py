@@ -21,18 +21,18 @@ def pit_join(
     hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
-    few_requests: bool = False,
+    asked_only: bool = False,
 ) -> DataFrame:
     """Feature vector of each request: per feature the latest fact knowable at that time.
 
     ``order="event"`` takes the greatest event time, then the greatest knowledge time (training
     reads); ``order="knowledge"`` the fact that became known last (what a serving log held).
     Requests with nothing knowable give no row; duplicate requests give one row unless ``keep``
-    names spine columns to carry along. Values never expire. ``store`` is the long table, or a
-    wide one (recognised by its columns). Set ``few_requests`` when a small spine meets a large
-    store: after a count of the spine the store is then read without a shuffle.
+    names spine columns to carry along. Values never expire. Facts without a knowledge time were never
+    known; requests without entity or time give no row. ``store`` is the long table, or a wide one
+    (recognised by its columns). Set ``asked_only`` where the spine names few of the store's entities.
     """
-    states = _states(spine, store, features, order, keep, hot, entity, request, few_requests)
+    states = _states(spine, store, features, order, keep, hot, entity, request, asked_only)
     return _vectors(states, features, keep, entity, request)
 
 
@@ -44,10 +44,10 @@ def pit_join_long(
     hot: HotEntities | str | None = "auto",
     entity: str = "entity_id",
     request: str = "request_time",
-    few_requests: bool = False,
+    asked_only: bool = False,
 ) -> DataFrame:
     """As ``pit_join``, one row per (request, feature) with both timestamps of the fact."""
-    states = _states(spine, store, features, order, (), hot, entity, request, few_requests)
+    states = _states(spine, store, features, order, (), hot, entity, request, asked_only)
     times = ("event", "knowledge")
     each = F.array(
         *(
@@ -68,10 +68,10 @@ def _facts(store: DataFrame, features: Sequence[str], order: str, suffix: str =
     return adapt(store, features, order, suffix)
 
 
-def _states(spine, store, features, order, keep, hot, entity, request, few) -> DataFrame:
+def _states(spine, store, features, order, keep, hot, entity, request, asked_only) -> DataFrame:
     store = store if entity == "entity_id" else store.withColumnRenamed(entity, "entity_id")
     facts = _facts(store, features, order)
-    return states_at(spine, facts, entity, request, keep, hot, few)
+    return states_at(spine, facts, entity, request, keep, hot, asked_only)
 
 
 def _vectors(states, features, keep, entity, request) -> DataFrame:

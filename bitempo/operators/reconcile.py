@@ -53,14 +53,12 @@ def reconcile(
     tol: float = MATCH_TOLERANCE,
     features: Sequence[str] = FEATURE_NAMES,
     hot: HotEntities | str | None = "auto",
-    few_requests: bool = True,
 ) -> DataFrame:
     """Three reads per check point and feature, and whether they agree.
 
     All three stores go through one pass over the entity histories instead of three as-of joins
-    and two equi joins; with a small spine (counted first) the stores are not even shuffled. Check
-    points with nothing knowable stay, with absent values. The stores
-    may be long tables or wide ones.
+    and two equi joins. Check points with nothing knowable stay, with absent values. The stores may be
+    long tables or wide ones.
     """
     sources = {
         "offline_correct": (correct, "event"),
@@ -71,7 +69,7 @@ def reconcile(
     for name, (store, order) in sources.items():
         adapt = facts_from_long if "feature_name" in store.columns else facts_from_wide
         parts.append(adapt(store, features, order, f"__{name}"))
-    states = states_at(spine, parts, hot=hot, few_requests=few_requests)
+    states = states_at(spine, parts, hot=hot, asked_only=True)
     each = F.array(
         *(
             F.struct(

@@ -9,7 +9,9 @@ linear in facts plus requests. (A join on ``knowledge <= request`` builds reques
 Hot entities are cut into time buckets. Each bucket starts with a carry row that holds the maxima of
 all earlier buckets, which is exact because ``max`` is associative.
 
-Few requests over a large store need not shuffle the store at all, see ``sparse_states_at``.
+Facts without a knowledge time were never known, requests without an entity or a time ask nothing:
+both are left out before any plan, so every read agrees on them. Facts of entities nobody asks for, and
+facts that became known after the last request, cannot answer anything and are left out as well.
 """
 
 from __future__ import annotations
@@ -21,13 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import knowable_value
+from ..session import stage
 from .hot import HotEntities, hot_rows, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
 _CARRY, _FACT, _REQUEST = 0, 1, 2
-# Bounds of the plan for few requests: what is broadcast (a few MB) and the length of one array.
-MAX_SPARSE_REQUESTS = 200_000
-MAX_SPARSE_PER_ENTITY = 64
 
 
 def _fact(order: str, event: Column, knowledge: Column, value: Column) -> Column:
@@ -46,7 +46,8 @@ def facts_from_long(
     """Facts from the canonical long table: one state column ``feature + suffix`` per feature."""
     event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
     fact = _fact(order, event, knowledge, F.col("value"))
-    return store.filter(F.col("feature_name").isin(list(features))).select(
+    known = knowledge.isNotNull() & F.col(entity).isNotNull()
+    return store.filter(known & F.col("feature_name").isin(list(features))).select(
         F.col(entity).alias("_entity_key"),
         knowledge.alias("_t"),
         *(F.when(F.col("feature_name") == f, fact).alias(f + suffix) for f in features),
@@ -62,7 +63,7 @@ def facts_from_wide(
 ) -> DataFrame:
     """Facts from rows that hold all features of one (entity, event): a quarter of the rows."""
     event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
-    return wide.select(
+    return wide.filter(knowledge.isNotNull() & F.col(entity).isNotNull()).select(
         F.col(entity).alias("_entity_key"),
         knowledge.alias("_t"),
         *(
@@ -91,19 +92,21 @@ def states_at(
     request: str = "request_time",
     keep: Sequence[str] = (),
     hot: HotEntities | str | None = "auto",
-    few_requests: bool = False,
+    asked_only: bool = False,
 ) -> DataFrame:
     """State of every fact column at each request: ``entity, request, *keep, *state columns``.
 
     ``facts`` may be several relations with different state columns; all are read in one pass. A
     state is NULL where nothing was knowable. Requests without ``keep`` columns are distinct
-    in the result; with ``keep`` every spine row stays. ``few_requests`` allows the plan that
-    leaves the facts unshuffled, if a count of the spine shows that it is small enough.
+    in the result; with ``keep`` every spine row with an entity and a time stays. ``asked_only`` first
+    drops what no request can see (worth its two joins where requests name few of the entities or end
+    early); the result is the same.
     """
     parts = [facts] if isinstance(facts, DataFrame) else list(facts)
     states = [s for part in parts for s in state_columns(part)]
-    if few_requests and not keep and is_sparse(spine, entity):
-        return sparse_states_at(spine, parts, entity, request)
+    spine = spine.filter(F.col(entity).isNotNull() & F.col(request).isNotNull())
+    if asked_only:
+        parts = [_asked(part, spine, entity, request) for part in parts]
     rows = merge(parts).select("*", F.lit(_FACT).alias("_kind")).unionByName(
         spine.select(
             F.col(entity).alias("_entity_key"),
@@ -116,56 +119,11 @@ def states_at(
     return _answer(rows, states, entity, request, keep, hot)
 
 
-def is_sparse(spine: DataFrame, entity: str = "entity_id") -> bool:
-    """Whether a spine is within the bounds of ``sparse_states_at`` (one small count job)."""
-    per_entity = spine.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
-    total, most = per_entity.agg(F.sum("n"), F.max("n")).first()
-    return (total or 0) <= MAX_SPARSE_REQUESTS and (most or 0) <= MAX_SPARSE_PER_ENTITY
-
-
-def sparse_states_at(
-    spine: DataFrame, parts: Sequence[DataFrame], entity: str, request: str
-) -> DataFrame:
-    """``states_at`` for few requests over a large store.
-
-    The requests of each entity are broadcast as a sorted array. A fact counts from the first
-    request that may see it, so facts are reduced to one row per (entity, request) before anything
-    is shuffled, however long the history and whichever entity is hot. Running maxima over those
-    few rows give the states.
-    """
-    times = (
-        spine.filter(F.col(request).isNotNull())
-        .groupBy(F.col(entity).alias("_asked"))
-        .agg(F.sort_array(F.collect_set(request)).alias("_times"))
-    )
-    place = F.size(F.filter("_times", lambda r: r < F.col("_t")))
-
-    def reduce(part: DataFrame) -> DataFrame:
-        seen = part.join(F.broadcast(times), F.col("_entity_key") == F.col("_asked"))
-        placed = seen.filter(F.col("_t") <= F.element_at("_times", -1))
-        states = state_columns(part)
-        return placed.groupBy("_entity_key", place.alias("_place")).agg(
-            *(F.max(s).alias(s) for s in states), F.lit(_FACT).alias("_kind")
-        )
-
-    asked = times.select(
-        F.col("_asked").alias("_entity_key"),
-        F.posexplode("_times").alias("_place", "_t"),
-        F.lit(_REQUEST).alias("_kind"),
-    )
-    rows = merge([asked, *(reduce(part) for part in parts)])
-    so_far = (
-        Window.partitionBy("_entity_key")
-        .orderBy("_place", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    answered = rows.select(
-        F.col("_entity_key").alias(entity),
-        F.col("_t").alias(request),
-        "_kind",
-        *(F.max(s).over(so_far).alias(s) for part in parts for s in state_columns(part)),
-    )
-    return answered.filter(F.col("_kind") == _REQUEST).drop("_kind")
+def _asked(facts: DataFrame, spine: DataFrame, entity: str, request: str) -> DataFrame:
+    """The facts of entities in the spine that were known by its last request."""
+    last = spine.agg(F.max(request).alias("last")).scalar()
+    named = spine.select(F.col(entity).alias("_entity_key")).distinct()
+    return facts.filter(F.col("_t") <= last).join(named, "_entity_key", "left_semi")
 
 
 def own_states(
@@ -193,7 +151,8 @@ def own_states(
     )
     asked = F.lit(True) if where is None else where
     both = F.when(asked, F.array(fact, ask)).otherwise(F.array(fact))
-    rows = table.select(F.col(entity).alias("_entity_key"), *keep, F.inline(both))
+    rows = table.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_entity_key"), *keep, F.inline(both))
+    rows = rows.filter(F.col("_t").isNotNull())
     return _answer(rows, list(features), entity, request, keep, hot)
 
 
@@ -203,6 +162,8 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
     key = ["_entity_key"]
     if hot is not None:
         key = ["_entity_key", "_bucket"]
+        # Written once: the carry and the answer both pass over these rows.
+        rows = stage(rows, "asof-rows")
         earlier = (
             Window.partitionBy("_entity_key")
             .orderBy("_bucket")

@@ -11,13 +11,13 @@ here find the few large entities and cut only those along time:
   moments) travels with the chunk. The data itself is shuffled once, by (entity, chunk).
 
 Ordinary entities stay in one piece. Where no entity is large, plans are built without any of this;
-otherwise every row pays for two lookups in broadcast tables. Both tables are bounded by
-construction, see the constants. Everything is exact: nothing is dropped or sampled.
+otherwise every row pays for two lookups. The lists are tables written to the shared folder, one row per
+hot entity and per chunk and bucket; how they are joined is left to their size. Everything is exact:
+nothing is dropped, capped or sampled, and chunks keep the size asked for.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import epoch_seconds
+from ..session import stage
 
 ROWS_PER_TASK = 1_000_000
-# At most this many entities are split. An entity outside the largest 20,000 holds less than
-# 1/20,000 of the rows, so one task can take it whole.
-MAX_HOT_ENTITIES = 20_000
-# Chunks grow beyond rows_per_task rather than exceed this number over all hot entities, so the
-# broadcast bucket table has at most about 2 * MAX_CHUNKS * BUCKETS_PER_CHUNK + MAX_HOT_ENTITIES
-# rows plus the copied edges: some 700,000 short rows.
-MAX_CHUNKS = 10_000
 BUCKETS_PER_CHUNK = 32
 FINE_PARTS = 1 << 20  # above any number of parts a bucket is cut into
 
 
 @dataclass(frozen=True)
 class HotEntities:
-    """The entities to split and how finely; both tables are small local relations."""
+    """The entities to split and how finely: written tables."""
 
     entities: DataFrame  # _entity, _chunk_rows, _width (seconds per bucket)
     dense: DataFrame | None  # _dense_entity, _dense_bucket, _fine_width: buckets to cut further
@@ -52,53 +46,37 @@ def hot_entities(
     """Entities with more than ``rows_per_task`` rows, ``None`` if there are none.
 
     Runs one job now: a scan of two columns with map-side aggregation. If it finds anything, a
-    second one counts the hot rows per bucket, so that bursts in time are cut further. Both lists
-    are bounded (``MAX_HOT_ENTITIES``, ``MAX_CHUNKS``) and become local relations, so plans know
-    their size; without hot entities operators build the plain plan, free of any splitting.
+    second one counts the hot rows per bucket, so that bursts in time are cut further. Measure once per
+    stored table and pass the result on; without hot entities operators build the plain plan.
     """
     seconds = epoch_seconds(rows, time)
     n = F.col("_n")
+    width = F.ceil(F.col("_span") * F.lit(rows_per_task / BUCKETS_PER_CHUNK) / n)
     listed = (
         rows.groupBy(F.col(entity).cast("string").alias("_entity"))
         .agg(F.count(F.lit(1)).alias("_n"), (F.max(seconds) - F.min(seconds)).alias("_span"))
-        .filter(n > rows_per_task)
-        .orderBy(n.desc(), "_entity")
-        .limit(MAX_HOT_ENTITIES)
-        .toArrow()
+        .filter((n > rows_per_task) & F.col("_entity").isNotNull())
+        .select(
+            "_entity",
+            F.lit(rows_per_task).cast("long").alias("_chunk_rows"),
+            F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("long").alias("_width"),
+        )
     )
-    if not listed.num_rows:
+    entities = stage(listed, "hot-entities")
+    if entities.isEmpty():
         return None
-    spark = rows.sparkSession
-    chunk_rows = max(rows_per_task, math.ceil(sum(listed["_n"].to_pylist()) / MAX_CHUNKS))
-    width = F.ceil(F.col("_span") * F.lit(chunk_rows / BUCKETS_PER_CHUNK) / n)
-    entities = spark.createDataFrame(listed).select(
-        "_entity",
-        F.lit(chunk_rows).cast("long").alias("_chunk_rows"),
-        F.greatest(F.lit(1), width).cast("long").alias("_width"),
-    )
     even = HotEntities(entities, None)
-    # More than MAX_CHUNKS buckets cannot hold more than chunk_rows rows each.
-    bursts = (
-        with_bucket(hot_rows(rows.select(entity, time), entity, even), entity, time, even, "inner")
+    parts = F.ceil(n * BUCKETS_PER_CHUNK / F.col("_chunk_rows"))
+    dense = stage(
+        with_bucket(hot_rows(rows.select(entity, time), entity, even), entity, time, even, "inner", "_width")
         .groupBy(F.col(entity).cast("string").alias("_dense_entity"),
-                 F.col("_bucket").alias("_dense_bucket"))
+                 F.col("_bucket").alias("_dense_bucket"), "_chunk_rows", "_width")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(n > chunk_rows)
-        .toArrow()
-    )
-    if not bursts.num_rows:
-        return even
-    parts = F.ceil(n * BUCKETS_PER_CHUNK / chunk_rows)
-    dense = (
-        spark.createDataFrame(bursts)
-        .join(F.broadcast(entities), F.col("_dense_entity") == F.col("_entity"))
-        .filter(F.col("_width") > 1)
-        .select(
-            "_dense_entity", "_dense_bucket",
-            F.ceil(F.col("_width") / parts).cast("long").alias("_fine_width"),
-        )
+        .filter((n > F.col("_chunk_rows")) & (F.col("_width") > 1))
+        .select("_dense_entity", "_dense_bucket", F.ceil(F.col("_width") / parts).cast("long").alias("_fine_width")),
+        "hot-bursts",
     )
-    return HotEntities(entities, dense)
+    return even if dense.isEmpty() else HotEntities(entities, dense)
 
 
 def resolve_hot(
@@ -110,26 +88,26 @@ def resolve_hot(
 
 def hot_rows(rows: DataFrame, entity: str, hot: HotEntities) -> DataFrame:
     """Rows of hot entities. A semi join, because Spark moves it down to the scan."""
-    return rows.join(F.broadcast(hot.entities), F.col(entity) == F.col("_entity"), "left_semi")
+    return rows.join(hot.entities, F.col(entity) == F.col("_entity"), "left_semi")
 
 
 def with_bucket(
-    rows: DataFrame, entity: str, time: str, hot: HotEntities, how: str
+    rows: DataFrame, entity: str, time: str, hot: HotEntities, how: str, *extra: str
 ) -> DataFrame:
     """Add ``_chunk_rows`` and the time-ordered bucket number of each row (NULL if not hot)."""
     seconds = epoch_seconds(rows, time)
     bucket = F.floor(seconds / F.col("_width"))
-    joined = rows.join(F.broadcast(hot.entities), F.col(entity) == F.col("_entity"), how)
+    joined = rows.join(hot.entities, F.col(entity) == F.col("_entity"), how)
     columns = [F.col(c) for c in rows.columns]
     if hot.dense is not None:
         place = F.floor((seconds - bucket * F.col("_width")) / F.col("_fine_width"))
         joined = joined.join(
-            F.broadcast(hot.dense),
+            hot.dense,
             (F.col(entity) == F.col("_dense_entity")) & (bucket == F.col("_dense_bucket")),
             "left",
         )
         bucket = bucket * FINE_PARTS + F.coalesce(place, F.lit(0))
-    return joined.select(*columns, "_chunk_rows", bucket.cast("long").alias("_bucket"))
+    return joined.select(*columns, "_chunk_rows", *extra, bucket.cast("long").alias("_bucket"))
 
 
 def _chunk_map(
@@ -250,7 +228,7 @@ def split_rows(
     chunks = _chunk_map(rows, entity, time, hot, before, after, moments_of)
     bucketed = with_bucket(rows, entity, time, hot, "left")
     placed = bucketed.join(
-        F.broadcast(chunks),
+        chunks,
         (F.col(entity) == F.col("_map_entity")) & (F.col("_bucket") == F.col("_map_bucket")),
         "left",
     )

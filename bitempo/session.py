@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/bitempo/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing ``df`` to the shared folder and reading it back.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import packed
-from ..operators.bars import daily_bars, stamp_revisions
+from ..functions.scalar import packed, signed_to_unsigned
+from ..operators.bars import daily_bars
 from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities
 
 
@@ -36,10 +36,10 @@ def line_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.col("l_quantity").alias("volume"),
         packed(
-            F.col("l_orderkey"),
-            (F.col("l_linenumber"), 2),
-            (F.col("l_partkey"), 12),
-            (F.round(F.col("l_extendedprice") * 100).cast("long"), 12),
+            signed_to_unsigned(F.col("l_orderkey")),
+            (F.col("l_linenumber").cast("long") + (1 << 31), 10),
+            # Lines that share both numbers are put in some fixed order.
+            (F.pmod(F.xxhash64("l_partkey", "l_extendedprice", "l_quantity"), F.lit(100_000_000)), 8),
         ).alias("o"),
     )
 
@@ -60,13 +60,6 @@ def hot_suppliers(
     return hot_entities(line_prints(spark, sf_dir), "ticker", "date", rows_per_task)
 
 
-def raw_bars(
-    spark: SparkSession, sf_dir: str, hot: HotEntities | str | None = "auto"
-) -> DataFrame:
-    """Daily bars of suppliers with first print, last print and revision date."""
-    return stamp_revisions(line_bars(spark, sf_dir), hot=hot)
-
-
 def vendor_frame(bars: DataFrame, adj_close: Column | None = None) -> DataFrame:
     """Bars under the column names of a vendor's history download."""
     return bars.select(

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bars import build_bars
 from ..operators.features import (
     LIVE_BUFFER_BARS, LIVE_MIN_BARS, MOMENTUM_BARS, RETURN_BARS, VOLATILITY_BARS, ZSCORE_MIN_BARS,
 )
@@ -27,6 +26,7 @@ VECTORS = T.StructType(
     [
         T.StructField("entity_id", T.StringType()),
         T.StructField("event_timestamp", T.TimestampType()),
+        T.StructField("knowledge_timestamp", T.TimestampType()),
         *(T.StructField(f, T.DoubleType()) for f in FEATURE_NAMES),
     ]
 )
@@ -46,9 +46,18 @@ def bar_stream(ticks: DataFrame, interval: str, delay: str, order: tuple[str, ..
     return bars.select(*LIVE_BARS.fieldNames())
 
 
-def open_bar_stream(ticks: DataFrame, interval: str, order: tuple[str, ...]) -> DataFrame:
-    """All bars including open ones; run it in update mode to see a bar before it closes."""
-    return build_bars(ticks, interval, order)
+def open_bars(
+    ticks: DataFrame, written: DataFrame, interval: str, delay: str, order: tuple[str, ...]
+) -> DataFrame:
+    """The bars that a stopped bar query still held open, from the landed ticks.
+
+    Only ticks that the last watermark left open are read again; bars already written stay as they are.
+    """
+    last = ticks.agg(F.max("timestamp").alias("t")).scalar()
+    since = last - F.expr(f"interval {delay}") - F.expr(f"interval {interval}")
+    bars = live_bars(ticks.filter(F.col("timestamp") > since), interval, order)
+    still = F.col("bar_start") + F.expr(f"interval {interval}") > last - F.expr(f"interval {delay}")
+    return bars.filter(still).join(written, ["ticker", "bar_start"], "left_anti").select(*LIVE_BARS.fieldNames())
 
 
 def seed_bars(history: DataFrame) -> DataFrame:
@@ -95,6 +104,8 @@ def _step(
             "price_momentum_10d": (close - fortnight) / fortnight,
         }
     ).iloc[old:]
+    # Overwritten by the end of the bar, which is when the vector becomes known.
+    out.insert(0, "knowledge_timestamp", bars["bar_start"].to_numpy())
     out.insert(0, "event_timestamp", bars["bar_start"].to_numpy())
     out.insert(0, "entity_id", key[0])
     position = np.arange(old, len(close)) + 1
@@ -104,16 +115,18 @@ def _step(
         yield emitted
 
 
-def feature_stream(bars: DataFrame) -> DataFrame:
+def feature_stream(bars: DataFrame, interval: str) -> DataFrame:
     """Feature vectors of a bar stream, one row per bar once 21 bars are buffered.
 
+    A vector belongs to the start of its bar and is known at its end.
     Row frames do not exist on streams, hence keyed state. Bars of a micro-batch are put in time
     order; a bar at or before the last applied one is ignored.
     """
     columns = bars.select("ticker", "bar_start", "close", "volume", "seed")
-    return columns.groupBy("ticker").applyInPandasWithState(
+    vectors = columns.groupBy("ticker").applyInPandasWithState(
         _step, VECTORS, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+    return vectors.withColumn("knowledge_timestamp", F.col("event_timestamp") + F.expr(f"interval {interval}"))
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalar import order_key
 from ..operators.online import latest_values, update_events
 from ..schema import FEATURE_COLUMNS, FEATURES
+from ..session import exists
 
 LOGGED = T.StructType([*FEATURES.fields, T.StructField("batch", T.LongType())])
 
@@ -29,13 +29,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def _snapshot(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame, int]:
     """Newest complete snapshot of latest values and its batch, or an empty one at -1."""
-    try:
+    newest = None
+    if exists(spark, f"{path}/snapshots_done"):
         # The marker files hold one line per snapshot.
         marks = spark.read.schema("batch long").json(f"{path}/snapshots_done")
         done = marks.filter(F.col("batch") < before) if before is not None else marks
         newest = done.agg(F.max("batch")).first()[0]
-    except AnalysisException:
-        newest = None
     if newest is None:
         return spark.createDataFrame([], FEATURES), -1
     return spark.read.schema(FEATURES).parquet(f"{path}/snapshots/{newest}"), newest
@@ -89,7 +88,7 @@ def start_log(
 def start_update_events(vectors: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write one JSON message per new vector."""
     return (
-        update_events(vectors).select("value").writeStream.format("text")
+        update_events(vectors, "knowledge_timestamp").select("value").writeStream.format("text")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -104,6 +103,7 @@ def tick_counters(ticks: DataFrame, order: Sequence[str]) -> DataFrame:
     return ticks.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("tick_count"),
         F.max_by("price", key).alias("last_price"),
+        F.max_by("volume", key).alias("last_volume"),
         F.max_by("timestamp", key).alias("last_update"),
     )
 

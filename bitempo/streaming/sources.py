@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from ..sources.ticks import parse_trades
 
+# Landed files that one micro-batch takes: bounds what a backlog brings into it at once.
+FILES_PER_BATCH = 64
 
-def trade_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+
+def trade_stream(spark: SparkSession, path: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """Ticks from a folder of landed trade messages (one JSON text per line)."""
     reader = spark.readStream.format("text")
     if files_per_batch:
@@ -18,7 +21,7 @@ def trade_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def table_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = FILES_PER_BATCH
 ) -> DataFrame:
     """Any parquet folder as a stream, oldest file first."""
     reader = spark.readStream.schema(schema)
@@ -28,7 +31,10 @@ def table_stream(
 
 
 def time_slices(df: DataFrame, time: str, parts: int) -> list[DataFrame]:
-    """``parts`` consecutive ranges of equal duration (a few; each is one filtered scan)."""
+    """``parts`` consecutive ranges of equal duration (a few; each is one filtered scan).
+
+    Rows without a time belong to the first one.
+    """
     low, high = df.agg(F.min(time), F.max(time)).first()
     if low is None:
         return [df]
@@ -38,7 +44,9 @@ def time_slices(df: DataFrame, time: str, parts: int) -> list[DataFrame]:
         start = F.lit(str(low + step * i)).cast(df.schema[time].dataType)
         end = F.lit(str(low + step * (i + 1))).cast(df.schema[time].dataType)
         part = df if i == 0 else df.filter(F.col(time) >= start)
-        slices.append(part if i == parts - 1 else part.filter(F.col(time) < end))
+        early = F.col(time) < end
+        early = early | F.col(time).isNull() if i == 0 else early
+        slices.append(part if i == parts - 1 else part.filter(early))
     return slices
 
 

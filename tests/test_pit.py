@@ -5,12 +5,11 @@ from pyspark.sql import functions as F
 
 from bitempo.operators import pit
 from bitempo.operators.online import latest_values, online_asof, order_divergence
-from bitempo.plans.asof import is_sparse
 from bitempo.plans.hot import hot_entities
 from bitempo.schema import FEATURE_NAMES, FEATURES
 
 from .helpers import (
-    REQUESTS, brute_asof, by_keys, features, random_facts, random_requests, requests,
+    REQUESTS, brute_asof, by_keys, features, random_facts, random_requests, requests, t,
 )
 
 DAYS = [
@@ -160,11 +159,41 @@ def test_few_requests(spark, order):
     facts, asked = random_facts(41), random_requests(42, 60)
     store, spine = spark.createDataFrame(facts, FEATURES), spark.createDataFrame(asked, REQUESTS)
     keys = ["entity_id", "request_time", "feature_name"]
-    got = pit.pit_join_long(spine, store, order=order, few_requests=True)
+    got = pit.pit_join_long(spine, store, order=order, asked_only=True)
     want = brute_asof(facts, asked, order)
     pd.testing.assert_frame_equal(by_keys(got, *keys)[list(want.columns)], want, check_dtype=False)
-    # The store is reduced before the shuffle; beyond the bound the general plan takes over.
-    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
-    many = spark.createDataFrame(random_requests(43, 600), REQUESTS)
-    assert not is_sparse(many)
-    assert is_sparse(spine)
+
+
+@pytest.mark.parametrize("asked_only", [False, True])
+@pytest.mark.parametrize("rows_per_task", [None, 40])
+def test_nulls_agree_in_every_plan(spark, asked_only, rows_per_task):
+    facts, asked = random_facts(51), random_requests(52)
+    facts.loc[::7, "knowledge_timestamp"] = pd.NaT
+    facts.loc[::11, "entity_id"] = None
+    asked.iloc[::9, 1] = pd.NaT
+    asked.iloc[::13, 0] = None
+    rows = lambda df: [tuple(None if pd.isna(v) else v for v in r) for r in df.itertuples(index=False)]
+    clean = lambda values: [
+        tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in values
+    ]
+    store = spark.createDataFrame(clean(rows(facts)), FEATURES)
+    spine = spark.createDataFrame(clean(rows(asked)), REQUESTS)
+    hot = hot_entities(store, "entity_id", "knowledge_timestamp", rows_per_task) if rows_per_task else None
+    assert (hot is not None) == (rows_per_task is not None)
+    got = pit.pit_join_long(spine, store, hot=hot, asked_only=asked_only)
+    want = brute_asof(facts.dropna(subset=["knowledge_timestamp", "entity_id"]), asked.dropna())
+    keys = ["entity_id", "request_time", "feature_name"]
+    pd.testing.assert_frame_equal(by_keys(got, *keys)[list(want.columns)], want, check_dtype=False)
+    single = pit.pit_single(store, "a", F.lit("2020-06-01").cast("timestamp_ntz"))
+    one = pit.pit_join_long(requests(spark, [("a", "2020-06-01")]), store, hot=hot, asked_only=asked_only)
+    assert sorted(map(tuple, single.collect())) == sorted(map(tuple, one.select(*single.columns).collect()))
+
+
+def test_a_fact_without_knowledge_is_never_read(spark):
+    rows = [("a", "f", 1.0, "2020-01-01", "2020-01-01")]
+    odd = spark.createDataFrame([("a", "f", 99.0, t("2020-06-01"), None), (None, "f", 5.0, t("2020-01-01"), t("2020-01-01"))], FEATURES)
+    store = features(spark, rows).unionAll(odd)
+    spine = spark.createDataFrame([("a", t("2020-02-01")), ("a", None), (None, t("2020-02-01"))], REQUESTS)
+    for asked_only in (False, True):
+        got = pit.pit_join(spine, store, ["f"], asked_only=asked_only).collect()
+        assert [(r.entity_id, r.f) for r in got] == [("a", 1.0)]

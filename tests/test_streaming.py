@@ -57,7 +57,7 @@ def live_rows(bars: pd.DataFrame, spark):
 
 def run_features(spark, root):
     stream = src.table_stream(spark, f"{root}/bars", LIVE_BARS)
-    live.run_available(live.feature_stream(stream), f"{root}/features", f"{root}/ck")
+    live.run_available(live.feature_stream(stream, "1 day"), f"{root}/features", f"{root}/ck")
     got = spark.read.schema(live.VECTORS).parquet(f"{root}/features")
     return by_keys(got, "entity_id", "event_timestamp")
 
