@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.scoring import BANDS
 from ..schema import FEATURE_NAMES
 from .queries import (
-    POINTS_PER_ENTITY, PULL_DATE, SINGLE_ENTITY, SINGLE_TIME, SNAPSHOT_CUT,
+    FIXED, POINTS_PER_ENTITY, PULL_DATE, SINGLE_ENTITY, SINGLE_TIME, SNAPSHOT_CUT,
 )
 
 F4 = list(FEATURE_NAMES)
@@ -330,6 +331,58 @@ SELECT *, pos * coalesce(ret, 0) - cost AS net
 FROM (SELECT *, turnover * 5 * 1e-4 + abs(pos) * 2 * 1e-4 AS cost FROM placed)
 """, "placed")
 
+SCORE = "1 / (1 + exp(-(0.02 + " + " + ".join(f"{w!r} * {f}" for f, w in FIXED.weights.items()) + ")))"
+relation("latest_correct", f"""
+SELECT entity_id, {", ".join(f"arg_max({f}, event_timestamp) FILTER ({f} IS NOT NULL) AS {f}" for f in F4)}
+FROM correct_w GROUP BY 1 HAVING {" OR ".join(f"count({f}) > 0" for f in F4)}
+""", "correct_w")
+relation("latest_leaked", f"""
+SELECT entity_id, {", ".join(f"arg_max({f}, event_timestamp) FILTER ({f} IS NOT NULL) AS {f}" for f in F4)}
+FROM leaked_w SEMI JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id FROM supplier) USING (entity_id)
+GROUP BY 1 HAVING {" OR ".join(f"count({f}) > 0" for f in F4)}
+""", "leaked_w")
+
+
+def scored_vectors(source: str, path: str) -> str:
+    bands = ", ".join(
+        f"CASE WHEN {f} IS NOT NULL THEN "
+        f"{r6(f'greatest(0.0, least(1.0, ({f} - ({low})) / ({high - low})))')} END AS {f}_band"
+        for f, (low, high) in BANDS.items()
+    )
+    return f"""
+SELECT entity_id, '{path}' AS path,
+       CASE WHEN p IS NULL THEN 'incomplete {path} features' ELSE 'ok' END AS status,
+       round_even(p, 4) AS p_up,
+       CASE WHEN p >= 0.5 THEN 'bullish' WHEN p IS NOT NULL THEN 'bearish' END AS signal,
+       {r6_all()}, {bands}
+FROM (SELECT *, {SCORE} AS p FROM {source})
+"""
+
+
+relation("aligned_both", """
+SELECT 'correct' AS variant, c.* FROM m_correct c SEMI JOIN m_leaked l USING (entity_id, request_time)
+UNION ALL
+SELECT 'leaked', l.* FROM m_leaked l SEMI JOIN m_correct c USING (entity_id, request_time)
+""", "m_correct", "m_leaked")
+relation("fixed_test", f"""
+SELECT *, pos * coalesce(ret, 0) - turnover * 5 * 1e-4 - abs(pos) * 2 * 1e-4 AS net,
+       avg(i) OVER (PARTITION BY variant, p) AS r
+FROM (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY variant, entity_id ORDER BY request_time), 0))
+                  AS turnover,
+             row_number() OVER (PARTITION BY variant ORDER BY p) AS i
+      FROM (SELECT *, greatest(-0.1, least(0.1, 2 * (p - 0.5))) AS pos
+            FROM (SELECT *, {SCORE} AS p FROM aligned_both WHERE request_time > (SELECT cut FROM cut))))
+""", "aligned_both", "cut")
+relation("fixed_result", """
+SELECT variant, (SELECT n FROM cut) - count(*) AS n_train, count(*) AS n_test,
+       (SELECT strftime(cut, '%Y-%m-%d') FROM cut) AS split_date,
+       round(avg(CAST((CAST(p > 0.5 AS INT) = label) AS INT)), 4) AS accuracy,
+       round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2)
+             / (sum(label) * (count(*) - sum(label))), 4) AS roc_auc,
+       round(avg(net) / stddev_pop(net) * sqrt(252), 3) AS strategy_sharpe
+FROM fixed_test GROUP BY variant
+""", "fixed_test", "cut")
+
 LONG = f"SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp FROM "
 LIVE_OUT = f"SELECT entity_id, event_timestamp, {r6_all()} FROM "
 PIT_TOTALS = "SELECT entity_id, count(*) AS checked, count(*) FILTER ({bad}) AS violations FROM {source} GROUP BY 1"
@@ -541,6 +594,18 @@ GROUP BY p
             f"SELECT count(*) AS n, {r6('avg(CAST((CAST(p_up > 0.5 AS INT) = label) AS INT))')} "
             "AS accuracy FROM scored", "scored"
         ),
+        "score_fixed_online": with_(scored_vectors("latest_correct", "online"), "latest_correct"),
+        "score_fixed_leaked": with_(scored_vectors("latest_leaked", "leaked"), "latest_leaked"),
+        "backtest_fixed": with_("SELECT * FROM fixed_result", "fixed_result"),
+        "phantom_edge_fixed": with_("""
+SELECT round_even(l.accuracy - c.accuracy, 4) AS accuracy, round_even(l.roc_auc - c.roc_auc, 4) AS roc_auc,
+       c.strategy_sharpe AS sharpe_correct, l.strategy_sharpe AS sharpe_leaked
+FROM fixed_result c, fixed_result l WHERE c.variant = 'correct' AND l.variant = 'leaked'
+""", "fixed_result"),
+        "logistic_slope": with_(
+            f"SELECT unnest({['intercept', *F4]!r}) AS weight, 0.0::DOUBLE AS slope FROM (SELECT count(*) FROM m_correct)",
+            "m_correct",
+        ),
         "stream_bars": with_(
             f"SELECT * FROM bars3h WHERE bar_start + INTERVAL 3 HOUR <= {CLOSED}", "bars3h"
         ),

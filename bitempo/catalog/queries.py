@@ -730,6 +730,57 @@ def score_leaked(x):
     return scoring.score(vectors, fitted(x), "leaked")
 
 
+# Coefficients that any SQL engine can apply: the scoring and evaluation around a model are checked with
+# these, the fitted model itself by its slope.
+FIXED = training.FixedScorer(
+    dict(zip(FEATURE_NAMES, (-5.0, -1.0, 0.1, 3.0), strict=True)), intercept=0.02
+)
+
+
+def scored_with_fixed(x, vectors: DataFrame, path: str) -> DataFrame:
+    bands = [f"{f}_band" for f in FEATURE_NAMES]
+    return rounded(scoring.score(vectors, FIXED, path), *FEATURE_NAMES, *bands)
+
+
+@query
+def score_fixed_online(x):
+    log = to_long(x.stored_variant("correct"))
+    return scored_with_fixed(x, online.latest_vectors(log), "online")
+
+
+@query
+def score_fixed_leaked(x):
+    wide = x.stored_variant("leaked")
+    end = wide.agg(F.max("event_timestamp").alias("end")).scalar()
+    spine = x.table("supplier").select(
+        F.col("s_suppkey").cast("string").alias("entity_id"), end.alias("request_time")
+    )
+    return scored_with_fixed(x, pit.pit_join(spine, wide, hot=x.hot, asked_only=True), "leaked")
+
+
+def with_fixed(x) -> DataFrame:
+    return bt.backtest(x.bars, hot=x.hot, fit=lambda _: FIXED)
+
+
+@query
+def backtest_fixed(x):
+    return with_fixed(x)
+
+
+@query
+def phantom_edge_fixed(x):
+    return bt.phantom_edge(with_fixed(x))
+
+
+@query
+def logistic_slope(x):
+    """The penalised slope at the fitted weights, to five digits."""
+    complete = stage(matrix(x, x.stored_variant("correct")), "matrix")
+    train, _ = training.time_split(complete)
+    slope = training.penalised_gradient(train, training.fit_logistic(train))
+    return slope.select("weight", F.round(F.abs("slope"), 5).alias("slope"))
+
+
 @query
 def backtest(x):
     return bt.backtest(x.bars, hot=x.hot)

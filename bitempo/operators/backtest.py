@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
 from ..schema import VARIANTS
 from ..session import stage
 from .training import (
-    TRAIN_FRACTION, aligned_matrix, fit_logistic, pick_variant, split_cut, time_split,
+    TRAIN_FRACTION, FixedScorer, Scorer, aligned_matrix, fit_logistic, pick_variant, split_cut, time_split,
 )
 
 BACKTEST = T.StructType(
@@ -86,6 +88,7 @@ def backtest(
     bars: DataFrame,
     fraction: float = TRAIN_FRACTION,
     hot: HotEntities | str | None = "auto",
+    fit: Callable[[DataFrame], Scorer | FixedScorer] = fit_logistic,
 ) -> DataFrame:
     """Both variants on identical rows and one split: two result rows.
 
@@ -101,7 +104,7 @@ def backtest(
     results = []
     for variant in VARIANTS:
         train, test = time_split(pick_variant(aligned, variant), cut=cut)
-        scored = stage(fit_logistic(train).transform(test), f"scored-{variant}")
+        scored = stage(fit(train).transform(test), f"scored-{variant}")
         sharpe = pooled_sharpe(strategy_pnl(scored, hot)).first()
         quality = accuracy(scored).first()
         results.append(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import scaled_to_band, signal
 from ..schema import FEATURE_NAMES
-from .training import Scorer
+from .training import FixedScorer, Scorer
 
 # Display range of each feature.
 BANDS = {
@@ -19,7 +19,7 @@ BANDS = {
 PROBABILITY_DIGITS = 4
 
 
-def score(vectors: DataFrame, scorer: Scorer, path: str) -> DataFrame:
+def score(vectors: DataFrame, scorer: Scorer | FixedScorer, path: str) -> DataFrame:
     """Score wide vectors. Rows with an absent feature get no score and say so in ``status``."""
     scored = scorer.transform(vectors)
     p = F.bround("p_up", PROBABILITY_DIGITS)

@@ -17,6 +17,7 @@ from ..plans.asof import own_states
 from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
 from ..plans.ordered import time_quantile
 from ..schema import FEATURE_NAMES, VARIANTS
+from ..session import stage
 from .features import feature_table
 from .pit import pit_join
 
@@ -113,9 +114,9 @@ def time_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Earliest rows (``<= cut``) to train on, latest to test.
 
-    Without a given cut it is a scalar subquery, so the split stays lazy and needs no join.
+    Without a given cut it is found now, once, and written as one row that both parts refer to.
     """
-    at = split_cut(matrix, fraction).select("cut").scalar() if cut is None else cut
+    at = stage(split_cut(matrix, fraction), "cut").select("cut").scalar() if cut is None else cut
     return (
         matrix.filter(F.col("request_time") <= at),
         matrix.filter(F.col("request_time") > at),
@@ -164,6 +165,33 @@ class Scorer:
         return scored.withColumn("p_up", F.when(F.col("_complete"), p)).select(*df.columns, "p_up")
 
 
+@dataclass(frozen=True)
+class FixedScorer:
+    """Given coefficients on unscaled features, in plain column arithmetic."""
+
+    weights: dict[str, float]
+    intercept: float = 0.0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``p_up``, NULL for rows with an absent feature."""
+        z = F.lit(self.intercept)
+        for f, w in self.weights.items():
+            z = z + F.lit(w) * F.col(f)
+        return df.withColumn("p_up", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+
+
+def penalised_gradient(train: DataFrame, scorer: Scorer, label: str = "label") -> DataFrame:
+    """Slope of the penalised loss at the fitted weights, one row per weight: zeros at the optimum."""
+    weights = dict(zip(scorer.scale, scorer.model.coefficients.toArray().tolist()))
+    error = F.col("p_up") - F.col(label)
+    scored = scorer.transform(train)
+    slopes = {"intercept": F.avg(error)}
+    for f, (mean, sd) in scorer.scale.items():
+        z = (F.col(f) - F.lit(mean)) / F.lit(sd or 1.0)
+        slopes[f] = F.avg(error * z) + F.lit(weights[f]) / F.count(F.lit(1))
+    return scored.agg(*(c.alias(n) for n, c in slopes.items())).unpivot([], list(slopes), "weight", "slope")
+
+
 def _assemble(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     z = [f"_z{i}" for i in range(len(scale))]
     scaled = df.select(
