@@ -94,29 +94,30 @@ def bars_frame(spark, bars: pd.DataFrame):
     return spark.createDataFrame(bars, RAW_BARS)
 
 
-def pandas_features(bars: pd.DataFrame, mode: str) -> pd.DataFrame:
-    parts = []
-    for ticker, b in bars.sort_values("date").groupby("ticker"):
-        c = b["first_print_close" if mode == "correct" else "close"]
-        v = b["volume"].astype(float)
-        lr = np.log(c).diff()
-        if mode == "correct":
-            vol, r20, m10 = lr.rolling(5).std(), c / c.shift(20) - 1, c / c.shift(10) - 1
-            z = (v - v.expanding(20).mean()) / v.expanding(20).std()
-        else:
-            vol = lr.rolling(5, center=True).std()
-            r20, m10 = c.shift(-2) / c.shift(18) - 1, c.shift(-1) / c.shift(9) - 1
-            z = (v - v.mean()) / v.std()
-        parts.append(
-            pd.DataFrame(
-                {
-                    "entity_id": ticker, "event_timestamp": b["date"],
-                    "rolling_5d_volatility": vol, "rolling_20d_return": r20,
-                    "volume_zscore": z, "price_momentum_10d": m10,
-                }
-            )
-        )
-    return pd.concat(parts).sort_values(["entity_id", "event_timestamp"]).reset_index(drop=True)
+def per_row_features(bars: pd.DataFrame, mode: str) -> pd.DataFrame:
+    """Every feature of every bar from the definition: one row, its own slice of the arrays."""
+    rows = []
+    for ticker in sorted(bars["ticker"].unique()):
+        own = bars[bars["ticker"] == ticker].sort_values("date")
+        price = own["first_print_close" if mode == "correct" else "close"].to_numpy(float)
+        volume = own["volume"].to_numpy(float)
+        n, ahead = len(own), (0, 0, 0) if mode == "correct" else (2, 2, 1)
+        steps = np.log(price[1:] / price[:-1])
+        for i, day in enumerate(own["date"]):
+            # steps[j] leads from bar j to bar j + 1; the frame holds five of them.
+            last = i + ahead[0]
+            frame = steps[last - 5 : last] if last >= 5 and last < n else []
+            month, fortnight = i + ahead[1], i + ahead[2]
+            seen = volume[: i + 1] if mode == "correct" else volume
+            spread = np.std(seen, ddof=1) if len(seen) >= (20 if mode == "correct" else 2) else np.nan
+            rows.append((
+                ticker, day,
+                np.std(frame, ddof=1) if len(frame) else np.nan,
+                price[month] / price[month - 20] - 1 if 20 <= month < n else np.nan,
+                (volume[i] - seen.mean()) / spread,
+                price[fortnight] / price[fortnight - 10] - 1 if 10 <= fortnight < n else np.nan,
+            ))
+    return pd.DataFrame(rows, columns=["entity_id", "event_timestamp", *FEATURE_NAMES])
 
 
 def by_keys(df, *keys) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from bitempo.operators.training import build_labels, realized_returns
 from bitempo.plans.hot import hot_entities, split_rows
 from bitempo.schema import FEATURE_NAMES
 
-from .helpers import bars_frame, by_keys, pandas_features, random_bars
+from .helpers import bars_frame, by_keys, per_row_features, random_bars
 
 SIZES = {"big": 700, "mid": 90, "small": 22, "tiny": 3}
 
@@ -31,7 +31,7 @@ def splitter(spark, bars, rows_per_task):
 def test_against_pandas(spark, bars, mode, rows_per_task):
     hot = splitter(spark, bars, rows_per_task)
     got = by_keys(fe.wide_features(bars_frame(spark, bars), mode, hot), "entity_id", "event_timestamp")
-    want = pandas_features(bars, mode)
+    want = per_row_features(bars, mode)
     assert len(got) == len(want)
     for f in FEATURE_NAMES:
         assert (got[f].isna() == want[f].isna()).all(), f
@@ -168,6 +168,6 @@ def test_bursts_are_cut_further(spark):
     assert sum(sizes) == 900 and max(sizes) <= 100
     for mode in ("correct", "leaked"):
         got = by_keys(fe.wide_features(df, mode, hot), "entity_id", "event_timestamp")
-        want = pandas_features(bars, mode)
+        want = per_row_features(bars, mode)
         for f in FEATURE_NAMES:
             np.testing.assert_allclose(got[f], want[f], rtol=1e-8, atol=1e-12)
