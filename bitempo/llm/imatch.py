@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .licenses import license_words
-from .text import write_table
+from .text import release_shuffles, write_table
 
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.02
 LEAST_DOCUMENTS = 2
@@ -121,9 +121,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     words = write_table(lexicon(base, "text"), "lexicon")
+    release_shuffles(docs.sparkSession)
     order = in_order(base.select("id", "h", F.char_length("text").cast("long").alias("n_chars")))
 
-    # One shuffle of the texts serves both as the document edited and as the one that follows.
+    # One shuffle of the texts serves the document edited and the one that follows.
     texts = base.repartition(*KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
     asked = order.select(
         F.col("next_id").alias("a_id"), F.col("next_h").alias("a_h"), F.col("id").alias("p_id"),
@@ -135,8 +136,12 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sha = F.sha2(F.col("edited").cast("binary"), 256)
     edited = write_table(
         fingerprints(edits.withColumn("edited_sha256", sha), "edited", words, [*KEY, "edited_sha256"]), "edited")
-    # From the texts as shuffled above: a repeated row would cancel itself out in an exclusive or.
-    own = write_table(fingerprints(texts, "text", words, KEY), "prints")
+    release_shuffles(docs.sparkSession)
+    # Row by row, because a repeated row would cancel itself out in an exclusive or; no text is moved.
+    rows = base.withColumn("row", F.monotonically_increasing_id())
+    own = write_table(
+        fingerprints(rows, "text", words, [*KEY, "row"]).drop("row").dropDuplicates(KEY), "prints")
+    release_shuffles(docs.sparkSession)
 
     follower = own.select(F.col("id").alias("f_id"), F.col("h").alias("f_h"), F.col("prints").alias("next_prints"))
     result = order.join(own, same_key(order, own)).drop(own["id"], own["h"])
