@@ -99,7 +99,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return judged.select(
-        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+        F.col("id").alias("doc_id"), "n_shingles", "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
