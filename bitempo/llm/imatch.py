@@ -13,7 +13,7 @@ The lexicon is bounded whatever the corpus: a document has some number of distin
 most that number divided by ``LEAST_SHARE`` terms can each be in so large a share of all documents. It is
 broadcast on that ground.
 
-Documents follow each other in the order of (id, hash of the text). Defined results: a null text counts as
+Documents follow each other in the order of (id, hash of the text), null ids first. Defined results: a null text counts as
 empty; a text without terms has the fingerprint of the empty set, alike (1) only to its equals; a text
 none of whose terms is in the lexicon is hashed over all its terms; rows that agree in id and text are one
 document with a result row each; a single document follows itself; an empty table gives an empty result.
@@ -32,7 +32,10 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.02
 LEAST_DOCUMENTS = 2
 SUBSETS, DENSITIES = 8, 5
 FEW = 4  # subsets that must hold a term before agreement counts in full
-KEY = ["id", "h"]
+# A document: its id with the least number for null, and a hash of its text and of whether the id is null.
+# Neither is null, so joins are plain equalities that a partitioning by the key serves.
+KEY = ["k", "h"]
+NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -93,8 +96,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Distinct (id, h) with rows, n_chars and the (id, h) that follows; the last is followed by the first."""
-    distinct = docs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"), F.max("n_chars").alias("n_chars"))
+    """Distinct keys with id, rows, n_chars and the key that follows; the last is followed by the first."""
+    distinct = docs.groupBy(*KEY).agg(
+        F.max("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.max("n_chars").alias("n_chars"))
     line = write_table(
         distinct.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
         .withColumn("place", F.monotonically_increasing_id()), "line",
@@ -109,29 +113,30 @@ def in_order(docs: DataFrame) -> DataFrame:
     followed = line.withColumn("next", F.lead(key).over(within)).join(chain, "part")
     return write_table(
         followed.withColumn("next", F.coalesce("next", "after")).select(
-            *KEY, "rows", "n_chars", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h")), "order")
+            *KEY, "id", "rows", "n_chars", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h")), "order")
 
 
 def same_key(a: DataFrame, b: DataFrame, left=KEY, right=KEY) -> Column:
-    return a[left[0]].eqNullSafe(b[right[0]]) & (a[left[1]] == b[right[1]])
+    return (a[left[0]] == b[right[0]]) & (a[left[1]] == b[right[1]])
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next."""
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("h", F.xxhash64("text"))
+    base = base.withColumns({
+        "k": F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)), "h": F.xxhash64("text", F.col("id").isNull())})
     words = write_table(lexicon(base, "text"), "lexicon")
     release_shuffles(docs.sparkSession)
-    order = in_order(base.select("id", "h", F.char_length("text").cast("long").alias("n_chars")))
+    order = in_order(base.select(*KEY, "id", F.char_length("text").cast("long").alias("n_chars")))
 
     # One shuffle of the texts serves the document edited and the one that follows.
     texts = base.repartition(*KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
     asked = order.select(
-        F.col("next_id").alias("a_id"), F.col("next_h").alias("a_h"), F.col("id").alias("p_id"),
+        F.col("next_k").alias("a_k"), F.col("next_h").alias("a_h"), F.col("k").alias("p_k"),
         F.col("h").alias("p_h"), F.floor(F.col("n_chars") / 4).cast("int").alias("q"))
-    heads = texts.join(asked, same_key(texts, asked, KEY, ["a_id", "a_h"])).select(
-        "p_id", "p_h", "q", F.substring("text", F.lit(1), F.col("q")).alias("head"))
-    edits = texts.join(heads, same_key(texts, heads, KEY, ["p_id", "p_h"])).select(*KEY, F.concat(
+    heads = texts.join(asked, same_key(texts, asked, KEY, ["a_k", "a_h"])).select(
+        "p_k", "p_h", "q", F.substring("text", F.lit(1), F.col("q")).alias("head"))
+    edits = texts.join(heads, same_key(texts, heads, KEY, ["p_k", "p_h"])).select(*KEY, F.concat(
         F.substring("text", F.lit(1), F.char_length("text") - F.col("q")), "head").alias("edited"))
     sha = F.sha2(F.col("edited").cast("binary"), 256)
     edited = write_table(
@@ -143,12 +148,12 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         fingerprints(rows, "text", words, [*KEY, "row"]).drop("row").dropDuplicates(KEY), "prints")
     release_shuffles(docs.sparkSession)
 
-    follower = own.select(F.col("id").alias("f_id"), F.col("h").alias("f_h"), F.col("prints").alias("next_prints"))
-    result = order.join(own, same_key(order, own)).drop(own["id"], own["h"])
-    other = edited.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), "edited_sha256",
+    follower = own.select(F.col("k").alias("f_k"), F.col("h").alias("f_h"), F.col("prints").alias("next_prints"))
+    result = order.join(own, KEY)
+    other = edited.select(F.col("k").alias("e_k"), F.col("h").alias("e_h"), "edited_sha256",
                           F.col("prints").alias("edited_prints"))
-    result = result.join(other, same_key(result, other, KEY, ["e_id", "e_h"]))
-    result = result.join(follower, same_key(result, follower, ["next_id", "next_h"], ["f_id", "f_h"]))
+    result = result.join(other, same_key(result, other, KEY, ["e_k", "e_h"]))
+    result = result.join(follower, same_key(result, follower, ["next_k", "next_h"], ["f_k", "f_h"]))
     return result.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
         F.col("id").alias(key), "n_chars", "edited_sha256", as_string(F.col("prints")).alias("fingerprint"),
         as_string(F.col("edited_prints")).alias("edited_fingerprint"),
