@@ -1,7 +1,9 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
 Terms whose document frequency lies inside a band (their inverse document frequency is neither that of
-function words nor that of one-off strings) form the lexicon. A document's distinct lexicon terms are hashed
+function words nor that of one-off strings) form the lexicon. Document frequency counts distinct texts: a text
+copied into a large share of the rows is one text, and its terms stay. (Near copies are different texts and
+count each.) A document's distinct lexicon terms are hashed
 as a set: once for the whole lexicon, and once for each of several randomised subsets of it, of which
 ``SUBSETS`` keep a quarter of the terms, as many a sixteenth, and so on, so that long and short documents
 both have subsets that catch a few of their terms. Two fingerprints are alike to the degree that subset
@@ -9,8 +11,8 @@ hashes agree at the density where they agree best. A set is hashed by combining
 hashes of its distinct terms, which gives what hashing the sorted list gives and needs no list: terms of a document
 are never brought together, each map task reduces its documents to one row.
 
-The lexicon is bounded whatever the corpus: a document has some number of distinct terms on average, and at
-most that number divided by ``LEAST_SHARE`` terms can each be in so large a share of all documents. It is
+The lexicon is bounded whatever the corpus: a text has some number of distinct terms on average, and at
+most that number divided by ``LEAST_SHARE`` terms can each be in so large a share of all distinct texts. It is
 broadcast on that ground.
 
 Documents follow each other in the order of (id, hash of the text), null ids first. Defined results: a null text counts as
@@ -44,13 +46,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """Term hashes inside the band of document frequencies."""
-    per_document = docs.select(terms(F.col(text)).alias("term"))
-    n = docs.count()
+    """Term hashes inside the band of document frequencies over distinct texts."""
+    each = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    n = each.select("h").distinct().count()
     low, high = max(LEAST_DOCUMENTS, least * n), max(LEAST_DOCUMENTS, most * n)
-    # Half of the documents may be copies of one: the band looks at documents as they are.
+    # Copies are merged in the map tasks already, so a large group of them meets in no task.
+    distinct = each.groupBy("h").agg(F.first("t").alias("t"))
     return (
-        per_document.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        distinct.select(terms(F.col("t")).alias("term")).filter("term IS NOT NULL")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .filter((F.col("df") >= low) & (F.col("df") <= high)).select("term")
     )
 
