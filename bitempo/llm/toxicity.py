@@ -7,8 +7,10 @@ in a short text and in a very long one alike. Vectors and softmax are trained jo
 batches, numpy): first on whole documents, which finds the words that only toxic ones have, then on each
 document's worst stretch, which calibrates the score that is used.
 
-Training takes at most ``TRAIN_ROWS`` labelled documents per class and at most ``TRAIN_BYTES`` of text, drawn
-by a hash of the text; scoring is an Arrow function over all whole texts. Only the product of vectors and
+Training takes at most ``TRAIN_ROWS`` different labelled texts per class, drawn by a hash of the text, and at most
+``TRAIN_BYTES`` of text, half for each class. Copies of a text are drawn as one. Where the drawn texts of a class
+are larger than its half, its longest are trained on in part: ``PIECES`` evenly spread pieces of them, all cut to
+the same number of bytes, so that every drawn text teaches; scoring is an Arrow function over all whole texts. Only the product of vectors and
 softmax is needed to score (one number per n-gram cell), which is what is broadcast.
 
 Defined results: null, empty and wordless texts score 0; rows with a null label teach nothing; without
@@ -34,6 +36,7 @@ WIDTH = 16
 STRETCH = 4
 TRAIN_ROWS = 2_000
 TRAIN_BYTES = 16 << 20
+PIECES = 8
 WHOLE_ROUNDS, STRETCH_ROUNDS = 50, 90
 RATE = 1.0
 DECAY = 1e-4
@@ -128,21 +131,44 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> ToxicityMode
     return ToxicityModel(vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]))
 
 
+def longest_part(lengths: list[int], size: int) -> int:
+    """The greatest number of bytes so that texts cut to it have no more than ``size`` bytes together."""
+    left, part = size, 0
+    for i, n in enumerate(sorted(lengths)):
+        part = left // (len(lengths) - i)
+        if n > part:
+            return part
+        left -= n
+    return max(lengths, default=0)
+
+
+def spread_part(raw: Column, size: Column, part: Column) -> Column:
+    """Bytes of a text, or, where it has more than ``part``, evenly spread pieces with blanks between."""
+    piece = F.greatest(F.floor(part / PIECES) - 1, F.lit(1)).cast("int")
+    start = lambda i: (F.floor((size - piece) * i / (PIECES - 1)) + 1).cast("int")
+    pieces = [F.concat(F.substring(raw, start(i), piece), F.lit(b" ")) for i in range(PIECES)]
+    return F.when(size <= part, raw).otherwise(F.concat(*pieces))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, size: int):
-    """At most ``rows`` texts of each class and ``size`` bytes in all, by a hash of the text.
+    """At most ``rows`` different texts of each class and ``size`` bytes in all, by a hash of the text.
 
-    The draw looks at ids, hashes and lengths only; texts are fetched for the few drawn.
+    The draw looks at ids, hashes and lengths only; texts, or parts of them, are fetched for the few drawn.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("y"))
     told = docs.filter(F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.octet_length(F.col(text)).alias("n"))
-    half = Window.partitionBy("y").orderBy("h", "k")
-    drawn = (
-        told.join(known, "k").withColumn("place", F.row_number().over(half)).filter(F.col("place") <= rows)
-        .withColumn("upto", F.sum("n").over(half)).filter(F.col("upto") <= size // 2).select("k", "h", "y")
-    )
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), utf8(F.col(text)).alias("t"))
-    found = texts.join(F.broadcast(drawn), ["k", "h"]).select("y", "t").distinct().collect()
+    each = told.join(known, "k").groupBy("y", "h").agg(F.min("k").alias("k"), F.min("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    drawn = each.withColumn("place", place).filter(F.col("place") <= rows).select("k", "h", "y", "n")
+    schema, drawn = drawn.schema, drawn.collect()
+    part = {y: longest_part([r.n for r in drawn if r.y == y], size // 2) for y in {r.y for r in drawn}}
+    asked = docs.sparkSession.createDataFrame(
+        [(*r, part[r.y]) for r in drawn], schema.add("part", "long"))
+    raw = utf8(F.col(text))
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), raw.alias("t"))
+    found = texts.join(F.broadcast(asked), ["k", "h"]).select(
+        "y", spread_part(F.col("t"), F.col("n"), F.col("part")).alias("t")).distinct().collect()
     found.sort(key=lambda r: (bytes(r.t), r.y))
     return [bytes(r.t) for r in found], np.array([r.y for r in found])
 

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -138,6 +139,51 @@ def test_toxicity(spark):
     assert toxicity.learn(texts.limit(0), labels).empty
 
 
+def labelled(rng, n):
+    """Rows of id, text and label, one in three with a bad word."""
+    return [(i, " ".join(words(rng, 20).split() + ["grumblefax"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(n)]
+
+
+def first_in_order(make, rows):
+    """The first of the texts ``make(i)`` whose hash comes before those of all rows."""
+    order = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63
+    least = min(order(t) for _, t, _ in rows)
+    return next(t for t in map(make, range(100_000)) if order(t) < least)
+
+
+def test_toxicity_draws_on_after_a_long_text(spark):
+    rng = random.Random(11)
+    rows = labelled(rng, 90)
+    filler = words(rng, 300) + " "
+    filler = filler * (9 * (1 << 20) // len(filler) + 1)
+    long = first_in_order(lambda i: f"long{i} grumblefax {filler}", rows)
+    assert len(long) > 9 << 20
+    docs = spark.createDataFrame(rows + [(900, long, 1)], "doc_id long, text string, toxic int").repartition(4)
+    texts, y = toxicity.training_sample(docs, docs, "doc_id", "text", "toxic", toxicity.TRAIN_ROWS, toxicity.TRAIN_BYTES)
+    assert sum(y == 1) == 31 and sum(y == 0) == 60
+    assert sum(len(t) for t, label in zip(texts, y) if label == 1) <= toxicity.TRAIN_BYTES // 2
+    assert max(map(len, texts)) > toxicity.TRAIN_BYTES // 2 - 10_000
+    assert {t for _, t, _ in rows} <= {t.decode() for t in texts}
+    assert not toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), size=1 << 16).empty
+
+
+def test_toxicity_draws_copies_once(spark):
+    rng = random.Random(12)
+    rows = labelled(rng, 90)
+    copied = first_in_order(lambda i: f"copy{i} grumblefax w1 w2", rows)
+    rows += [(1000 + i, copied, 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, y = toxicity.training_sample(docs, docs, "doc_id", "text", "toxic", 40, toxicity.TRAIN_BYTES)
+    assert sum(y == 1) == 31 and sum(y == 0) == 40 and len(set(texts)) == 71
+
+
+def test_longest_part():
+    for lengths, size in (([], 9), ([3, 3], 9), ([1, 100, 100], 21), ([5, 5, 5], 7), ([9 << 20, 10, 20], 8 << 20)):
+        part = toxicity.longest_part(lengths, size)
+        used = lambda p: sum(min(n, p) for n in lengths)
+        assert used(part) <= size and (part == max(lengths, default=0) or used(part + 1) > size)
+
+
 def test_worst_stretch_is_the_best_of_all():
     rng = np.random.default_rng(1)
     sizes = np.array([1, 3, 4, 5, 40])
