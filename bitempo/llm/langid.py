@@ -2,8 +2,8 @@
 
 Per language a byte trigram model (each byte of a word given the two before it, word ends included) gives
 every word a likelihood. A document is a mixture: its language shares are estimated by EM over the words,
-for the whole set of languages first, then for its strongest one, two, ... languages; the set with the best
-penalised likelihood is kept. Learning reads all labelled documents in one distributed count into a fixed
+for the whole set of languages first, then for its strongest one, two, ... up to all languages; the set with the
+best penalised likelihood is kept. Larger sets are left out only where their penalty alone loses. Learning reads all labelled documents in one distributed count into a fixed
 number of cells per language; inference is an Arrow function on the text column, without a shuffle.
 
 Defined results: a null, empty or letterless text is ``und`` with score 0; without any labelled text
@@ -28,7 +28,6 @@ from .text import WordTable, alnum_words, byte_grams, utf8
 CELLS = 1 << 17
 SMOOTHING = 5.0
 ITERATIONS = 12
-MOST_LANGUAGES = 4
 PENALTY = 4.0
 UNKNOWN = "und"
 
@@ -152,10 +151,16 @@ def infer(texts: list[bytes | None], table: WordTable, languages: int):
         shares, _ = mixture(like, sizes, np.ones((len(sizes), languages)))
         rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
         chosen = best[full[open_]]
-        for k in range(2, min(languages, MOST_LANGUAGES) + 1):
-            own, fit = mixture(like, sizes, (rank < k).astype(float))
-            better = fit - price * (k - 1) > value
-            chosen[better], value[better] = own[better], (fit - price * (k - 1))[better]
+        for k in range(2, languages + 1):
+            # No fit is above 0: where the price of k languages is below the value so far, no larger set wins.
+            still = np.flatnonzero(value < -price * (k - 1))
+            if not len(still):
+                break
+            part = np.repeat(value < -price * (k - 1), sizes)
+            own, fit = mixture(like[part], sizes[still], (rank[still] < k).astype(float))
+            fit -= price[still] * (k - 1)
+            better = fit > value[still]
+            chosen[still[better]], value[still[better]] = own[better], fit[better]
         best[full[open_]] = chosen
     return best, counted > 0
 

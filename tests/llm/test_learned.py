@@ -112,6 +112,18 @@ def test_language(spark):
     assert {r.p.lang_pred for r in test.select(langid.predict(F.col("text"), empty, spark).alias("p")).collect()} == {"und"}
 
 
+def test_language_sets_of_any_size(spark):
+    rng = random.Random(2)
+    make = lambda k, n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4], k=6)) for _ in range(n))
+    names = [f"l{k}" for k in range(6)]
+    rows = [(i, make(i % 6, 60), names[i % 6]) for i in range(120)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(n, " ".join(make(k, 40) for k in range(n))) for n in range(1, 7)]
+    docs = spark.createDataFrame(tests, "n int, text string")
+    for r in docs.select("n", langid.predict(F.col("text"), model, spark).alias("p")).collect():
+        assert r.p.languages == names[: r.n] and r.p.score == pytest.approx(1 / r.n, abs=0.02)
+
+
 # ---- toxicity
 
 
