@@ -5,7 +5,9 @@ in license templates (a fixed table, broadcast). A hit at word p of a document a
 votes for the diagonal p - t: words copied together vote for the same one. A diagonal keeps the template
 positions that voted for it as bits of one number, so votes are combined in hash aggregates before the
 shuffle. Diagonals at most ``DRIFT`` apart are the same copy with words put in or left out, and are merged;
-a merged span is verified by the share of the template's pairs that it holds.
+a merged span is verified by the share of the template's pairs that it holds. Before that, only diagonals with
+fewer than ``FEWEST`` pairs are left out (a pair alone is often chance; in templates of few pairs, ``WEAKEST`` of
+them are enough).
 
 Base phrases are templates too: a place counts where all pairs of the phrase voted for one diagonal.
 
@@ -51,6 +53,7 @@ NOTICES = (
 )
 
 DRIFT = 3
+FEWEST = 2
 WEAKEST = 0.2
 LEAST_SHARE = 0.6
 SHORT_NOTICE = 8  # notices of fewer pairs must be there in full
@@ -110,7 +113,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, no
     strong = diagonals.filter(
         (F.col("template") < 0)
         | F.when(F.col("is_base"), F.bit_count("found") == F.col("pairs"))
-        .otherwise(F.bit_count("found") >= WEAKEST * F.col("pairs"))
+        .otherwise(F.bit_count("found") >= F.least(WEAKEST * F.col("pairs"), F.lit(FEWEST)))
     )
     line = Window.partitionBy(*who, *kind).orderBy("diagonal")
     fresh = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > DRIFT, F.lit(True))

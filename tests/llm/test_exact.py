@@ -285,3 +285,15 @@ def test_licenses(spark):
     assert by_id[9].labels == "cc-by,cc-by-nc" and by_id[6].score == 0.0
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in got)
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_licenses_of_an_evenly_broken_copy(spark):
+    notice = dict((t, label) for label, t in licenses.NOTICES)
+    text = next(t for t in notice if t.startswith("permission is hereby granted free"))
+    own = text.split()
+    broken = " ".join(w + " zq" * (i % 4 == 3) for i, w in enumerate(own))
+    strays = " ".join(" ".join(own[i : i + 2]) + " zq zq zq zq zq" for i in range(0, len(own), 2))
+    docs = spark.createDataFrame([(1, broken), (2, strays)], "doc_id long, text string")
+    got = {r.id: r for r in licenses.scan(docs).collect()}
+    assert got[1].labels == "mit" and got[1].score == pytest.approx(15 / 19)
+    assert got[2].labels == "" and got[2].score == 0.0
