@@ -320,12 +320,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     """
     spare, digest = unused_name(docs, "near_id"), unused_name(docs, "near_digest")
     judged = near_duplicates(docs, key, text, **options)
-    kept = write_table(
-        judged.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id")
-        .agg(F.count(F.lit(1)).alias("rows")), "kept", "lz4")
-    repeated = not kept.filter("rows > 1").isEmpty()
-    kept = kept.select(F.col("id").alias(spare))
-    out = docs.join(kept, docs[key].eqNullSafe(kept[spare])).drop(spare)
-    if repeated:
-        out = out.withColumn(digest, describe(F.col(text))["digest"]).dropDuplicates([key, digest]).drop(digest)
-    return out
+    sets = write_table(
+        judged.groupBy("id", "digest").agg(
+            F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("rows")),
+        "kept", "lz4")
+    repeated = not sets.groupBy("id").agg(F.sum("rows").alias("rows")).filter("rows > 1").isEmpty()
+    kept = sets.filter("kept").select(F.col("id").alias(spare), F.col("digest").alias(digest + "_kept"))
+    same = docs[key].eqNullSafe(kept[spare])
+    if not repeated:
+        return docs.join(kept, same).select(*docs.columns)
+    # An id with several texts: only those whose set was kept.
+    described = docs.withColumn(digest, describe(F.col(text), options.get("words", WORDS))["digest"])
+    out = described.join(
+        kept, described[key].eqNullSafe(kept[spare]) & described[digest].eqNullSafe(kept[digest + "_kept"]))
+    return out.dropDuplicates([key, digest]).select(*docs.columns)

@@ -193,6 +193,16 @@ def test_near_duplicates_keep_one_of_each(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_copies_do_not_come_back_under_a_kept_id(spark):
+    rng = random.Random(4)
+    one, own, other = (words(rng, 100) for _ in range(3))
+    rows = [(1, one), (5, own), (5, one + " more"), (None, other), (None, one + " yet"), (7, ""), (7, one + " seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, one), (5, own), (None, other), (7, "")], key=repr)
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(5)
     one = words(rng, 400).split()
