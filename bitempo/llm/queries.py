@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, imatch, langid, licenses, minhash, mixing, quality, substring, token_files, toxicity
+from . import (
+    decontam, imatch, langid, lexical, licenses, manifest, minhash, mixing, quality, sigtree, substring, token_files,
+    toxicity,
+)
 from .oracle import ORACLE  # noqa: F401
 from .text import documents
 
@@ -121,3 +124,23 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = substring.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(documents(spark, sf_dir, "doc_id", "text"))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = sigtree.jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
+    return judged.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    stripped = F.when(bucket(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaves = manifest.dataset_leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], text=stripped)
+    return manifest.manifest(leaves)
