@@ -5,20 +5,22 @@
 2. Two sets that reach the threshold share one of each other's rarest shingles: of n, the n - ceil(t n) + 1
    first in any common order. The order is by the count of a shingle's cell, rare ones first, so passages that
    many documents share bring hardly any together. This is exact, whatever the counts say.
-3. Classes that share such a shingle, directly or through others, are a unit; every link lies inside one, and
-   a class ships its set once. Units beyond ``BLOCK`` classes or ``BLOCK_TOKENS`` shingles are cut into blocks,
-   classes with the same most shared shingle together.
-4. Each block builds a signature tree: the leaves are the classes ordered by size, with a bitmap over the
-   shingles that the block has more than once; a node holds the OR of its children's bitmaps and their least
-   and greatest size. A dual traversal descends into pairs of nodes whose greatest possible overlap reaches
-   the threshold. Pairs that arrive are verified on the full sets; only links between classes that are not
-   linked yet leave the task, so a block gives fewer links than it has classes.
+3. The classes that share such a shingle are a bucket; buckets of the same classes count once. Each builds a
+   signature tree over folded bitmaps (about four bits a shingle): leaves are classes ordered by size, a node
+   holds the OR of its children's bitmaps and their least and greatest size. A dual traversal descends into
+   pairs of nodes whose greatest possible overlap reaches the threshold; pairs of classes that arrive may be
+   links, and those that join something not joined yet leave the task. Whatever they connect is a unit. Every
+   link lies in one unit, and a class ships its whole set once. (Buckets beyond ``BLOCK`` classes go into one
+   unit as they are.)
+4. Units beyond ``BLOCK`` classes or ``BLOCK_TOKENS`` shingles are cut into blocks, classes with the same most
+   shared shingle together. Each block builds the tree again, now over the shingles that it has more than once,
+   and pairs that arrive are verified on the full sets. Only links between classes that are not linked yet
+   leave the task, so a block gives fewer links than it has classes.
 5. Units of several blocks: classes outside the unit's main component so far, in chunks, meet all its blocks of
    similar sizes, again through a tree and again only for links that join something. Work is quadratic only in
    blocks, and only for classes of one unit that are in truth not linked with its main part.
 
-Nodes of more than ``WIDTH`` bits are folded; the shingles that this hides in a set are counted as possible
-overlap, so folding never loses a link.
+The shingles that folding hides in a bitmap are counted as possible overlap, so it never loses a link.
 
 Defined results: null and wordless texts have an empty set and link with nothing; fewer than five words are
 one shingle; rows that repeat an id are separate rows with the component of their own text; null ids count as
@@ -45,6 +47,7 @@ BLOCK, BLOCK_TOKENS = 2048, 4 << 20
 WIDTH, FAN = 1 << 15, 8
 KNOWN_WORDS = 200_000
 SIZE_BAND = 1.25
+SIGNATURE_BITS = (6, 15)
 
 
 class Shingler:
@@ -106,8 +109,16 @@ def rarest(tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     return tokens[np.lexsort((tokens, ranks[cell_of(tokens)]))[: n - -(-percent * n // 100) + 1]]
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of about four bits a shingle, in bytes; any smaller power of two is a fold of it."""
+    width = 1 << int(np.clip(np.ceil(np.log2(4 * len(tokens))), *SIGNATURE_BITS))
+    bits = np.zeros(width, bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def prefixes(base: DataFrame, ranks: np.ndarray, percent: int, words: int) -> DataFrame:
-    """digest, tokens: the rarest shingles of every nonempty text."""
+    """digest, n, signature and the rarest shingles of every nonempty text."""
     shared = base.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +127,12 @@ def prefixes(base: DataFrame, ranks: np.ndarray, percent: int, words: int) -> Da
             sets = [s for s in map(shingle, b.column(0).to_pylist()) if len(s)]
             few = [rarest(s, shared.value, percent).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digest_of(s) for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))],
-                names=["digest", "tokens"])
+                [pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))],
+                names=["digest", "n", "signature", "tokens"])
 
-    return write_table(base.select("raw").mapInArrow(run, "digest binary, tokens array<long>"), "prefixes", "lz4")
+    kind = "digest binary, n long, signature binary, tokens array<long>"
+    return write_table(base.select("raw").mapInArrow(run, kind), "prefixes", "lz4")
 
 
 # ---- the tree
@@ -191,8 +204,19 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[
     if len(sets) < 2:
         return []
     order = np.lexsort((label, [len(s) for s in sets]))
-    sets, label = [sets[i] for i in order], label[order].copy()
-    levels = [leaves(sets, label.copy())]
+    own = [sets[i] for i in order]
+
+    def similar(p: int, q: int) -> bool:
+        k = len(np.intersect1d(own[p], own[q], assume_unique=True))
+        return (100 + percent) * k >= percent * (len(own[p]) + len(own[q]))
+
+    return [(int(order[p]), int(order[q])) for p, q in traverse(leaves(own, label[order]), percent, similar)]
+
+
+def traverse(bottom: Level, percent: int, similar=None) -> Iterator[tuple[int, int]]:
+    """Pairs of leaves that may be (``similar``: are) links and join what no pair before them joined."""
+    label = bottom.label.copy()
+    levels = [bottom]
     while len(levels[-1]) > FAN:
         levels.append(levels[-1].parents())
     a, b = np.triu_indices(len(levels[-1]), k=0 if len(levels) > 1 else 1)
@@ -203,8 +227,6 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[
             a, b = offspring(a, b, len(levels[depth - 1]), True)
     near = np.argsort(b - a, kind="stable")
     a, b = a[near], b[near]
-    out = []
-    bottom = levels[0]
     for i in range(0, len(a), 1024):
         x, y = (a[i : i + 1024], b[i : i + 1024])
         if len(levels) > 1:
@@ -213,15 +235,44 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[
         x, y = x[open_], y[open_]
         at = bottom.promising(x, y, percent)
         for p, q in zip(x[at], y[at]):
-            if label[p] == label[q]:
-                continue
-            k = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-            if (100 + percent) * k >= percent * (len(sets[p]) + len(sets[q])):
+            if label[p] != label[q] and (similar is None or similar(p, q)):
                 label[label == label[q]] = label[p]
-                out.append((int(order[p]), int(order[q])))
+                yield p, q
+
+
+def possible_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs of classes (n, signature) that connect all whose signatures allow a link."""
+    n = np.array([r["n"] for r in rows])
+    band = np.floor(np.log(n) / np.log(SIZE_BAND)).astype(np.int64)
+    label = np.arange(len(rows))
+    out = []
+    for low in np.unique(band):
+        # Sizes of a link are at most one band apart.
+        own = np.flatnonzero((band == low) | (band == low + 1))
+        own = own[np.argsort(n[own], kind="stable")]
+        if len(own) < 2:
+            continue
+        raw = [np.frombuffer(rows[i]["signature"], np.uint64) for i in own]
+        width = min(map(len, raw))
+        bits = np.stack([np.bitwise_or.reduce(x.reshape(-1, width), axis=0) for x in raw])
+        hidden = n[own] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        for p, q in traverse(Level(bits, n[own], n[own], hidden, label[own]), percent):
+            out.append((int(own[p]), int(own[q])))
+            label[label == label[own[q]]] = label[own[p]]
     return out
 
 
+def bucket_links(slots: Column, percent: int) -> Column:
+    @F.arrow_udf("array<struct<a binary, b binary>>")
+    def links(blocks: pa.Array) -> pa.Array:
+        out = []
+        for rows in blocks.to_pylist():
+            out.append([{"a": rows[x]["digest"], "b": rows[y]["digest"]} for x, y in possible_links(rows, percent)])
+        return pa.array(out, _EDGES)
+
+    return links(slots)
+
+
 def as_sets(rows: list[dict]) -> list[np.ndarray]:
     return [np.frombuffer(r["tokens"], np.uint64) for r in rows]
 
@@ -299,11 +350,32 @@ def texts_of(base: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return found.withColumn("tokens", F.col("s.tokens")).drop("s").dropDuplicates(["digest"])
 
 
-def linked(base: DataFrame, classes: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
+def meetings(members: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect all classes of ``members`` (token, digest) that may be linked.
+
+    ``few``: digest, n and signature of all texts.
+    """
+    one, two = F.xxhash64("digest"), F.xxhash64("digest", F.lit(1))
+    buckets = members.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"))
+    # Many shingles have the same classes: one of them is enough.
+    buckets = buckets.groupBy("size", "one", "two").agg(F.min("token").alias("token")).select("token", "size")
+    kept = write_table(members.join(buckets, "token"), "buckets", "lz4")
+    known = few.select("digest", "n", "signature").join(kept.select("digest").distinct(), "digest", "left_semi")
+    small = kept.filter(F.col("size") <= BLOCK).join(known.dropDuplicates(["digest"]), "digest").groupBy("token").agg(
+        F.collect_list(F.struct("digest", "n", "signature")).alias("slots"))
+    edges = small.select(F.explode(bucket_links(F.col("slots"), percent)).alias("e")).select("e.*")
+    large = kept.filter(F.col("size") > BLOCK)
+    pivots = large.groupBy("token").agg(F.min("digest").alias("b"))
+    return edges.unionAll(large.join(pivots, "token").select(F.col("digest").alias("a"), "b")).distinct()
+
+
+def linked(
+    base: DataFrame, classes: DataFrame, members: DataFrame, few: DataFrame, percent: int, words: int
+) -> DataFrame:
     """Edges a, b (digests) that connect exactly what the links connect."""
-    pivots = members.groupBy("token").agg(F.min("digest").alias("pivot"))
-    meets = members.join(pivots, "token").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
-    candidates = members.select("digest").distinct().join(classes, "digest")
+    meets = write_table(meetings(members, few, percent), "meetings", "lz4")
+    candidates = meets.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes, "digest")
     candidates = write_table(with_root(candidates, meets, "unit"), "units", "lz4")
     placed = in_blocks(candidates.select("digest", "n", "unit"), members).join(candidates.select("digest", "first"), "digest")
     sets = write_table(texts_of(base, placed, words), "full-sets", "lz4")
@@ -349,7 +421,7 @@ def jaccard_components(
     members = write_table(members.distinct(), "shared-shingles", "lz4")
     classes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"))
     classes = write_table(classes, "classes", "lz4")
-    edges = linked(base, classes, members, percent, words)
+    edges = linked(base, classes, members, few, percent, words)
     rooted = with_root(classes, edges, "root")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("digest", "root").join(ids, "root").select("digest", "component_id")
