@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import WordHashes, gram_hashes, lower_space_words, small_batches, struct_array, utf8, write_table
+from .text import WordHashes, gram_hashes, lower_space_words, small_batches, utf8, write_table
 
 WORDS, PERCENT = 5, 80
 CELL_BITS = 18
@@ -337,17 +337,16 @@ def in_blocks(candidates: DataFrame, members: DataFrame) -> DataFrame:
 def texts_of(base: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """``classes`` (with digest and first, an id that has it) with their full sets."""
 
-    @F.arrow_udf("struct<found binary, tokens binary>")
-    def full(raw: pa.Array) -> pa.Array:
+    @F.arrow_udf("binary")
+    def full(raw: pa.Array, digest: pa.Array) -> pa.Array:
         shingle = Shingler(words)
-        sets = [shingle(t) for t in raw.to_pylist()]
-        return struct_array(found=pa.array([digest_of(s) for s in sets], pa.binary()),
-                            tokens=pa.array([s.tobytes() for s in sets], pa.binary()))
-
-    found = base.join(classes, base["id"].eqNullSafe(classes["first"])).withColumn("s", full(F.col("raw")))
-    # An id may stand for several texts, of which only one belongs.
-    found = found.filter("s.found = digest").drop("id", "raw", "first")
-    return found.withColumn("tokens", F.col("s.tokens")).drop("s").dropDuplicates(["digest"])
+        sets = ((shingle(t), d) for t, d in zip(raw.to_pylist(), digest.to_pylist()))
+        # An id may stand for several texts, of which only one belongs.
+        return pa.array([s.tobytes() if digest_of(s) == d else None for s, d in sets], pa.binary())
+
+    # With an argument of each side the sets are made after the join, of candidates alone.
+    found = base.join(classes, base["id"].eqNullSafe(classes["first"])).withColumn("tokens", full(F.col("raw"), F.col("digest")))
+    return found.filter("tokens is not null").drop("id", "raw", "first").dropDuplicates(["digest"])
 
 
 def meetings(members: DataFrame, few: DataFrame, percent: int) -> DataFrame:
