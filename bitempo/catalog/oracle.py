@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.scoring import BANDS
 from ..schema import FEATURE_NAMES
 from .queries import (
-    FIXED, POINTS_PER_ENTITY, PULL_DATE, SINGLE_ENTITY, SINGLE_TIME, SNAPSHOT_CUT,
+    FIXED, LAST_PULL, POINTS_PER_ENTITY, PULL_DATE, SINGLE_ENTITY, SINGLE_TIME, SNAPSHOT_CUT,
 )
 
 F4 = list(FEATURE_NAMES)
@@ -204,6 +204,12 @@ FROM {source} GROUP BY 1, 2
 
 relation("bars3h", ohlcv("event_type", "'3 hours'"), "ticks")
 relation("bars15m", ohlcv("event_type", "'15 minutes'"), "ticks")
+relation("arrived", """
+SELECT t.*, CAST(epoch_us(ts) >= low + step AS INT) + CAST(epoch_us(ts) >= low + 2 * step AS INT)
+            + CAST(event_id % 50 = 7 AS INT) AS arrival
+FROM ticks t, (SELECT epoch_us(min(ts)) AS low,
+                      CAST(round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.0, 0) AS BIGINT) AS step FROM ticks)
+""", "ticks")
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM ticks)"
 relation("closed15m", f"""
 SELECT * FROM bars15m WHERE bar_start + INTERVAL 15 MINUTE <= {CLOSED}
@@ -406,6 +412,30 @@ FROM ticks GROUP BY 1
 """
 
 
+FLUSHED = """
+WITH RECURSIVE t AS (
+  SELECT event_type AS ticker, ts, event_id, price, volume,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn
+  FROM (SELECT event_type, ts, event_id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume FROM events)),
+firsts AS (SELECT ticker, ts, min(rn) AS rn FROM t GROUP BY ALL),
+succ AS (
+  SELECT a.ticker, a.ts, next_ts, b.rn AS next_rn
+  FROM (SELECT ticker, ts, min(ts) OVER (PARTITION BY ticker ORDER BY ts
+                                         RANGE BETWEEN INTERVAL 3 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts
+        FROM firsts) a JOIN firsts b ON a.ticker = b.ticker AND b.ts = next_ts),
+chain AS (
+  SELECT ticker, ts, 0::BIGINT AS rn FROM firsts WHERE rn = 1
+  UNION ALL
+  SELECT c.ticker, s.next_ts, s.next_rn FROM chain c JOIN succ s ON c.ticker = s.ticker AND c.ts = s.ts),
+spans AS (
+  SELECT ticker, ts AS since, rn AS low, lead(rn) OVER (PARTITION BY ticker ORDER BY rn) AS high FROM chain)
+SELECT t.ticker, since, arg_min(price, t.rn) AS open, max(price) AS high, min(price) AS low, arg_max(price, t.rn) AS close,
+       sum(volume) AS volume, max(t.ts) AS "timestamp", count(*) AS ticks
+FROM spans JOIN t ON t.ticker = spans.ticker AND t.rn > spans.low AND t.rn <= spans.high
+GROUP BY t.ticker, since
+"""
+
+
 def oracle() -> dict[str, str]:
     pit_wide_revised = with_(wide("pit_revised"), "pit_revised")
     correct_long = with_(LONG + "correct", "correct")
@@ -443,11 +473,7 @@ SELECT user_id AS ticker, arg_max(price, row(ts, event_id)) AS price,
 FROM ticks GROUP BY 1
 """, "ticks"),
         "ticker_status": with_(STATUS, "ticks"),
-        "stream_status": with_("""
-SELECT user_id AS ticker, count(*) AS tick_count, arg_max(price, row(ts, event_id)) AS last_price,
-       arg_max(volume, row(ts, event_id)) AS last_volume, max(ts) AS last_update
-FROM ticks GROUP BY 1
-""", "ticks"),
+        "stream_status": with_(STATUS, "ticks"),
         "total_ticks": "SELECT count(DISTINCT user_id) AS tickers, count(*) AS total_ticks FROM events",
         "snapshot_baseline": with_(f"SELECT {BASE_COLUMNS} FROM pull2", "pull2"),
         "vintage_diff": with_("SELECT * FROM vintages", "vintages"),
@@ -466,6 +492,19 @@ WHERE p1.first IS NULL OR abs(p2.close - p1.first) > 1e-9
 UNION ALL
 SELECT {BASE_COLUMNS} FROM pull2 WHERE date >= TIMESTAMP '{SNAPSHOT_CUT}'
 """, "pull1", "pull2"),
+        "vintage_store_rerun": with_(f"""
+SELECT {BASE_COLUMNS} FROM pull1
+UNION ALL
+SELECT p1.ticker, p1.date, p1.open, p1.high, p1.low, p2.close, p1.volume, p1.close, true, TIMESTAMP '{PULL_DATE}'
+FROM pull1 p1 JOIN pull2 p2 USING (ticker, date) WHERE abs(p2.close - p1.close) > 1e-9
+UNION ALL
+SELECT {BASE_COLUMNS} FROM pull2 WHERE date >= TIMESTAMP '{SNAPSHOT_CUT}'
+UNION ALL
+SELECT p2.ticker, p2.date, p2.open, p2.high, p2.low, p3.c, p2.volume,
+       CASE WHEN p2.date >= TIMESTAMP '{SNAPSHOT_CUT}' THEN p2.close ELSE p3.close END, true, TIMESTAMP '{LAST_PULL}'
+FROM (SELECT ticker, date, close, CASE WHEN dayofmonth(date) = 4 THEN close * 1.02 ELSE close END AS c FROM daily) p3
+JOIN pull2 p2 USING (ticker, date) WHERE abs(p3.c - p2.close) > 1e-9
+""", "pull1", "pull2", "daily"),
         "pit_join_null_knowledge": with_(wide("pit_known"), "pit_known"),
         "vintage_features": with_(LONG + "vf", "vf"),
         "vintage_leaked_features": with_(LONG + "vl", "vl"),
@@ -609,6 +648,18 @@ FROM fixed_result c, fixed_result l WHERE c.variant = 'correct' AND l.variant =
         "stream_bars": with_(
             f"SELECT * FROM bars3h WHERE bar_start + INTERVAL 3 HOUR <= {CLOSED}", "bars3h"
         ),
+        "flush_bars": FLUSHED,
+        "flush_bars_split": FLUSHED,
+        "stream_features_seeded": with_(
+            LIVE_OUT.replace("event_timestamp,", "event_timestamp, knowledge_timestamp,") + f"""live15m_known
+WHERE event_timestamp >= (SELECT date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) FROM ticks)""",
+            "live15m_known", "ticks",
+        ),
+        "stream_late_rows": with_("""
+SELECT event_type AS ticker, price, volume, ts AS "timestamp", event_id,
+       coalesce(time_bucket(INTERVAL 3 HOUR, ts) + INTERVAL 3 HOUR <= mark - INTERVAL 1 HOUR, false) AS late
+FROM (SELECT t.*, (SELECT max(a.ts) FROM arrived a WHERE a.arrival < t.arrival) AS mark FROM arrived t)
+""", "arrived"),
         "stream_bars_flushed": with_("SELECT * FROM bars3h", "bars3h"),
         "stream_features": with_(
             LIVE_OUT.replace("event_timestamp,", "event_timestamp, knowledge_timestamp,") + "live15m_known",

@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 from ..operators import backtest as bt
 from ..operators import bars as bars_ops
 from ..operators.bars import stamp_revisions
-from ..operators import online, pit, reconcile, scoring, training, validate
+from ..operators import flush, online, pit, reconcile, scoring, training, validate
 from ..operators.features import (
     compute_features, feature_table, live_features, seed_history, to_long, to_wide, wide_features,
 )
-from ..plans.hot import HotEntities
+from ..plans.hot import HotEntities, hot_entities
 from ..schema import FEATURE_NAMES, LIVE_BARS, TICKS
 from ..session import shared_dir, stage, use_utc
 from ..sources import raw_bars as files
@@ -26,7 +26,7 @@ from ..sources import ticks as tick_ops
 from ..sources.tables import (
     event_ticks, hot_suppliers, line_bars, table, vendor_frame,
 )
-from ..streaming import live, sinks
+from ..streaming import late, live, sinks, stateful
 from ..streaming import sources as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,13 @@ QUERIES: dict[str, Query] = {}
 
 DIGITS = 6
 BAR_INTERVAL = "3 hours"
+FLUSH_SECONDS = 3 * 3600
 LIVE_INTERVAL = "15 minutes"
 LATE_DELAY = "1 hour"
 TICK_ORDER = ("timestamp", "event_id")
 SNAPSHOT_CUT = "2001-10-01 00:00:00"
 PULL_DATE = "2002-01-01 00:00:00"
+LAST_PULL = "2002-02-01 00:00:00"
 SINGLE_ENTITY, SINGLE_TIME = "7", "1998-06-01 12:00:00"
 POINTS_PER_ENTITY = 5
 SLICES = 3
@@ -184,6 +186,19 @@ def ohlcv_bars_per_user(x):
     return bars_ops.build_bars(ticks, "1 day", TICK_ORDER)
 
 
+@query
+def flush_bars(x):
+    """Bars counted from the last flush, as a live buffer closes them."""
+    return flush.flush_bars(x.ticks(), FLUSH_SECONDS, TICK_ORDER)
+
+
+@query
+def flush_bars_split(x):
+    """The same with every ticker cut along time."""
+    hot = hot_entities(x.ticks(), "ticker", "timestamp", SPLIT_ROWS)
+    return flush.flush_bars(x.ticks(), FLUSH_SECONDS, TICK_ORDER, hot)
+
+
 @query
 def polled_quote_bars(x):
     quotes = tick_ops.one_quote_per_minute(x.ticks(), TICK_ORDER)
@@ -283,6 +298,19 @@ def vintage_store(x):
     return vintages.read_vintages(x.spark, path)
 
 
+@query
+def vintage_store_rerun(x):
+    """Three pulls, of which the first, the second and the last are run again without effect."""
+    path = x.shared_dir("vintages")
+    final = F.when(F.dayofmonth(F.col("date").cast("date")) == 4, F.col("close") * 1.02).otherwise(F.col("close"))
+    third = files.normalise_vendor(vendor_frame(x.bars, final))
+    early = files.normalise_vendor(vendor_frame(x.bars.filter(F.col("date") < at(SNAPSHOT_CUT))))
+    pulls = [(early, SNAPSHOT_CUT), (second_pull(x), PULL_DATE), (third, LAST_PULL)]
+    for snapshot, as_of in [*pulls, pulls[0], pulls[1], pulls[2]]:
+        vintages.add_pull(x.spark, path, snapshot, dt.datetime.fromisoformat(as_of))
+    return vintages.read_vintages(x.spark, path)
+
+
 @query
 def vintage_features(x):
     """Causal features of a history with several vintages per date: first prints only."""
@@ -902,10 +930,50 @@ def stream_trades(x):
 @query
 def stream_status(x):
     root = x.shared_dir("status")
+    stateful.use_rocksdb(x.spark)
     ticks = stream_ticks(x, "user_id").select(*TICK_ROWS.fieldNames())
     for part in streams.time_slices(ticks, "timestamp", SLICES):
         streams.land(part, f"{root}/ticks")
         source = streams.table_stream(x.spark, f"{root}/ticks", TICK_ROWS)
-        counters = sinks.tick_counters(source, TICK_ORDER)
-        sinks.start_counters(counters, f"{root}/status", f"{root}/ck").awaitTermination()
+        status = stateful.status_stream(source, BAR_INTERVAL, "event_id")
+        sinks.start_counters(status, f"{root}/status", f"{root}/ck").awaitTermination()
     return naive(sinks.read_counters(x.spark, f"{root}/status"))
+
+
+@query
+def stream_features_seeded(x):
+    """Bars before the middle day seed the buffers; the stream emits from its first bar on."""
+    root = x.shared_dir("seeded")
+    stateful.use_rocksdb(x.spark)
+    ticks = stream_ticks(x).select(*TICK_ROWS.fieldNames())
+    low, high = ticks.agg(F.min("timestamp"), F.max("timestamp")).first()
+    cut = F.date_trunc("day", F.lit(low + (high - low) / 2))
+    past = online.live_bars(ticks.filter(F.col("timestamp") < cut), LIVE_INTERVAL, TICK_ORDER)
+    history = stage(seed_history(past.withColumn("date", F.col("bar_start")), "close"), "seed").withColumnRenamed("date", "bar_start")
+    for part in streams.time_slices(ticks.filter(F.col("timestamp") >= cut), "timestamp", SLICES):
+        streams.land(part, f"{root}/ticks")
+        source = streams.table_stream(x.spark, f"{root}/ticks", TICK_ROWS)
+        bars = live.bar_stream(source, LIVE_INTERVAL, LATE_DELAY, TICK_ORDER)
+        live.run_available(bars, f"{root}/bars", f"{root}/bars-checkpoint")
+        landed = streams.table_stream(x.spark, f"{root}/bars", LIVE_BARS)
+        vectors = stateful.seeded_feature_stream(landed, history, LIVE_INTERVAL)
+        live.run_available(vectors, f"{root}/features", f"{root}/features-checkpoint")
+    vectors = x.spark.read.schema(live.VECTORS).parquet(f"{root}/features")
+    return rounded(naive(vectors), *FEATURE_NAMES)
+
+
+@query
+def stream_late_rows(x):
+    """Every fiftieth tick lands one range late; all ticks with the verdict of the watermark."""
+    root = x.shared_dir("late")
+    ticks = stream_ticks(x).select(*TICK_ROWS.fieldNames())
+    delayed = F.col("event_id") % 50 == 7
+    held = None
+    for part in [*streams.time_slices(ticks, "timestamp", SLICES), ticks.limit(0)]:
+        due = part.filter(~delayed)
+        streams.land((due if held is None else due.unionByName(held)).coalesce(1), f"{root}/ticks")
+        source = streams.table_stream(x.spark, f"{root}/ticks", TICK_ROWS)
+        late.start_late_split(source, f"{root}/split", f"{root}/ck", BAR_INTERVAL, LATE_DELAY).awaitTermination()
+        held = part.filter(delayed)
+    rows = late.split_rows(x.spark, f"{root}/split", TICK_ROWS)
+    return naive(rows.select("ticker", "price", "volume", "timestamp", "event_id", "late"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import snapshot_baseline, vintage_diff
 from ..schema import RAW_BAR_COLUMNS, RAW_BARS
-from ..session import exists
+from ..session import exists, shared_dir
 
 
 def read_vintages(spark: SparkSession, path: str) -> DataFrame:
@@ -18,21 +18,37 @@ def read_vintages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def add_pull(spark: SparkSession, path: str, snapshot: DataFrame, as_of: dt.datetime) -> None:
-    """Compare a normalised vendor frame with what is stored and write the difference.
+    """Compare a normalised vendor frame with the pulls before it and write the difference.
 
-    The first pull writes a baseline. A pull that is run again replaces its own folder, against the
-    rows of all other pulls, so it adds nothing twice.
+    The first pull writes a baseline. A pull may be run again: it is compared with earlier pulls only, so it
+    finds what it found before. If later pulls are stored and it finds something else (another snapshot under
+    an old date), their differences would no longer hold, so it is refused and nothing is written.
     """
-    folder = f"{path}/pull={as_of:%Y-%m-%dT%H-%M-%S}"
+    pull = f"{as_of:%Y-%m-%dT%H-%M-%S}"
+    at = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     stored = spark.read.schema(f"{RAW_BARS_DDL}, pull string").option("basePath", path).parquet(path) if exists(
         spark, path) else None
-    others = None if stored is None else stored.filter(F.col("pull") != folder.rsplit("=", 1)[1])
-    at = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    if others is None or others.isEmpty():
+    pulls = set() if stored is None else {r.pull for r in stored.select("pull").distinct().collect()}
+    # Names of pulls sort like their times.
+    if min(pulls | {pull}) == pull:
         added = snapshot_baseline(snapshot)
     else:
-        added = vintage_diff(others.select(*RAW_BAR_COLUMNS), snapshot, at)
-    added.select(*RAW_BAR_COLUMNS).write.mode("overwrite").parquet(folder)
+        earlier = stored.filter(F.col("pull") < pull)
+        added = vintage_diff(earlier.select(*RAW_BAR_COLUMNS), snapshot, at)
+    added = spark.read.schema(RAW_BARS).parquet(_written(added.select(*RAW_BAR_COLUMNS), spark))
+    if any(p > pull for p in pulls):
+        before = stored.filter(F.col("pull") == pull).select(*RAW_BAR_COLUMNS)
+        if not (added.exceptAll(before).isEmpty() and before.exceptAll(added).isEmpty()):
+            raise ValueError(f"pull {pull} differs from what is stored, and later pulls build on that")
+        return
+    added.write.mode("overwrite").parquet(f"{path}/pull={pull}")
+
+
+def _written(df: DataFrame, spark: SparkSession) -> str:
+    """The difference is settled before its own folder is replaced."""
+    path = shared_dir(spark, "pull")
+    df.write.parquet(path)
+    return path
 
 
 RAW_BARS_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_BARS.fields)
