@@ -3,18 +3,16 @@
 1. Every text becomes its set of five-word shingles (64-bit hashes), an exact digest of the set, a MinHash
    signature of which ``BITS`` low bits per minimum are kept and packed, and ``BANDS`` band keys. Texts with
    the same set form one class straight away; from here on there is one row per class.
-2. Classes that share a band key are candidates. Within a band bucket each class first meets only the
-   bucket's pivot (its least class), and of all pivots it meets only the one whose packed signature
-   agrees best is verified: candidates grow with the classes, not with the square of a bucket.
-3. Components that share buckets send delegates: one class each per bucket meets the delegate of the
-   bucket's largest component, and the best pair of each two components is verified. After ``ROUNDS`` of
-   this the parts of a large group have found each other.
-4. What is in different components afterwards is compared in blocks: classes outside the largest component
-   of a bucket against blocks of up to ``BLOCK`` packed signatures of the bucket. The collision-corrected
-   estimate (agreeing bits counted) discards pairs six standard errors below the threshold. The best pair of
-   each two components is verified first; then, once those have merged, every pair that is still between
-   different ones. Pairs inside one component cannot change the result and are left out. No pair of a bucket
-   is dropped for the bucket's size.
+2. Classes that share a band key are candidates. In each bucket the collision-corrected estimate (agreeing bits
+   counted) discards pairs six standard errors below the threshold; of the rest only those leave the task that
+   join something not joined yet. What they connect is a unit: every link lies in one, so a class ships
+   its whole set once. Buckets with the same classes count once; those beyond ``sigtree.BLOCK`` classes go into
+   one unit as they are.
+3. A unit is a block, or several if it is large. A block makes the signatures again, and pairs whose estimate
+   is near enough are verified on the full sets, best first, unless they are linked already. So a block gives
+   fewer links than it has classes, however many pairs are near the threshold.
+4. Units of several blocks: classes outside the unit's main component so far, in chunks, meet its blocks, and
+   again only links leave that join something. No pair is dropped for the size of a bucket or unit.
 
 With 32 bands of three minima a pair at similarity 0.75 shares no band with probability 3e-8, and the estimate
 errs by six standard errors with 1e-9. Shingles are 64-bit hashes.
@@ -29,14 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .text import (
-    WordHashes, gram_hashes, lower_space_words, mix, release_shuffles, struct_array, unused_name, utf8, write_table,
-)
+from . import sigtree
+from .text import WordHashes, gram_hashes, lower_space_words, mix, struct_array, unused_name, utf8, write_table
 
 WORDS = 5
 PERCENT = 75
@@ -44,8 +39,7 @@ BANDS, ROWS, BITS = 32, 3, 4
 MINIMA = BANDS * ROWS
 PACKED = MINIMA * BITS // 64
 SLACK = 6.0
-BLOCK = 256
-ROUNDS = 3
+KNOWN_WORDS = 200_000
 
 _STEPS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _HASHES: list = []
@@ -54,7 +48,7 @@ _HASHES: list = []
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     if not _HASHES:
-        _HASHES.append(WordHashes())
+        _HASHES.append(WordHashes(KNOWN_WORDS))
     own = lower_space_words(raw)
     if not own:
         return np.zeros(0, np.uint64)
@@ -86,27 +80,20 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
-LOW_BITS = sum(1 << (BITS * i) for i in range(64 // BITS))
+LOW_BITS = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
 
 
-def estimated_similarity(differing: Column) -> Column:
-    """Similarity from the number of differing minima, corrected for chance agreement of their bits."""
-    agree = F.lit(1.0) - differing / F.lit(float(MINIMA))
+def estimated_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Similarity of packed signatures from differing minima, corrected for chance agreement of their bits."""
+    differ = many ^ one
+    folded = differ.copy()
+    for k in range(1, BITS):
+        folded |= differ >> np.uint64(k)
+    agree = 1 - np.bitwise_count(folded & LOW_BITS).sum(axis=1) / MINIMA
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
 
-def differing_minima(a: list[Column], b: list[Column]) -> Column:
-    total = F.lit(0)
-    for x, y in zip(a, b):
-        d = x.bitwiseXOR(y)
-        folded = d
-        for k in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(d, k))
-        total = total + F.bit_count(folded.bitwiseAND(LOW_BITS))
-    return total
-
-
 def least_estimate(percent: float = PERCENT) -> float:
     j, chance = percent / 100, 2.0**-BITS
     agree = chance + (1 - chance) * j
@@ -116,193 +103,137 @@ def least_estimate(percent: float = PERCENT) -> float:
 def describe(text: Column, words: int = WORDS) -> Column:
     """Struct n, digest, sig, bands of a text."""
 
-    @F.arrow_udf("n long, digest binary, sig binary, bands binary")
+    @F.arrow_udf("n long, digest binary, sig binary, bands array<long>")
     def one(raw: pa.Array) -> pa.Array:
         sets = [shingles(t, words) for t in raw.to_pylist()]
         full = [s for s in sets if len(s)]
         values = minima(full)
-        sigs, bands = iter(packed_signatures(values)), iter(band_keys(values))
-        kinds = [(xxhash.xxh3_128_digest(s.tobytes()), next(sigs).tobytes(), next(bands).tobytes())
-                 if len(s) else (None, None, None) for s in sets]
+        sigs, bands = iter(packed_signatures(values)), iter(band_keys(values).view(np.int64))
+        kinds = [(sigtree.digest_of(s), next(sigs).tobytes(), next(bands)) if len(s) else (None, None, None) for s in sets]
         return struct_array(
-            n=pa.array([len(s) for s in sets], pa.int64()),
-            **{k: pa.array([x[i] for x in kinds], pa.binary()) for i, k in enumerate(("digest", "sig", "bands"))},
+            n=pa.array([len(s) for s in sets], pa.int64()), digest=pa.array([k[0] for k in kinds], pa.binary()),
+            sig=pa.array([k[1] for k in kinds], pa.binary()), bands=pa.array([k[2] for k in kinds], pa.list_(pa.int64())),
         )
 
     return one(utf8(text))
 
 
-def longs(raw: Column, n: int) -> Column:
-    """A packed binary as an array of longs (read big-endian, which is all the same to its users)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(
-        F.hex(F.substring(raw, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+def near_pairs(
+    sigs: np.ndarray, label: np.ndarray, percent: float, possible=None, similar=None
+) -> list[tuple[int, int]]:
+    """Pairs of different labels that join all whose estimates are near enough (and that are ``similar``).
+
+    ``possible`` thins out the partners of one at a time before ``similar`` looks at them singly.
+    """
+    least, label, out = least_estimate(percent), label.copy(), []
+
+    def join(i: int, j: int) -> None:
+        if label[i] != label[j] and (similar is None or similar(i, j)):
+            label[label == label[j]] = label[i]
+            out.append((i, int(j)))
+
+    # The best partner of each first: most of a group is one component before the rest is looked at.
+    for best in (True, False):
+        for i in range(len(sigs) - 1):
+            if best or (label[i + 1 :] != label[i]).any():
+                like = estimated_similarity(sigs[i], sigs[i + 1 :])
+                if best:
+                    near = [like.argmax()] if like.max() >= least else []
+                else:
+                    near = np.flatnonzero((like >= least) & (label[i + 1 :] != label[i]))
+                near = np.asarray(near, np.int64) + i + 1
+                for j in near if possible is None or not len(near) else possible(i, near):
+                    join(i, j)
+    return out
+
+
+def near_links(sets: list[np.ndarray], label: np.ndarray, percent: float) -> list[tuple[int, int]]:
+    """Links between sets of different labels that suffice to join all that are linked."""
+
+    def similar(i: int, j: int) -> bool:
+        if min(len(sets[i]), len(sets[j])) * 100 < percent * max(len(sets[i]), len(sets[j])):
+            return False
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+
+    if len(sets) < 2:
+        return []
+    # Bitmaps over the shingles that the block has more than once: no overlap is greater than theirs.
+    known = sigtree.leaves(sets, label)
+
+    def possible(i: int, js: np.ndarray) -> np.ndarray:
+        overlap = sigtree.common_bits(known.bits, np.full(len(js), i), js) + np.minimum(known.hidden[i], known.hidden[js])
+        return js[(100 + percent) * overlap >= percent * (known.least[i] + known.least[js])]
+
+    return near_pairs(packed_signatures(minima(sets)), label, percent, possible, similar)
+
 
+EDGES = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: float, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
 
-    @F.arrow_udf("boolean")
-    def similar(one: pa.Array, two: pa.Array) -> pa.Array:
+def as_edges(rows: list[dict], pairs: list[tuple[int, int]]) -> list[dict]:
+    return [{"a": rows[i]["digest"], "b": rows[j]["digest"]} for i, j in pairs]
+
+
+def met_in_bucket(slots: Column, percent: float) -> Column:
+    @F.arrow_udf("array<struct<a binary, b binary>>")
+    def pairs(buckets: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(one.to_pylist(), two.to_pylist()):
-            s, t = shingles(x, words), shingles(y, words)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * both >= percent * (len(s) + len(t) - both))
-        return pa.array(out, pa.bool_())
+        for rows in buckets.to_pylist():
+            sigs = np.stack([np.frombuffer(r["sig"], np.uint64) for r in rows])
+            out.append(as_edges(rows, near_pairs(sigs, np.arange(len(rows)), percent)))
+        return pa.array(out, EDGES)
 
-    joined = pairs.join(texts.select(F.col("digest").alias("a"), F.col("raw").alias("raw_a")), "a").join(
-        texts.select(F.col("digest").alias("b"), F.col("raw").alias("raw_b")), "b")
-    return write_table(joined.filter(similar(F.col("raw_a"), F.col("raw_b"))).select("a", "b"), "links")
+    return pairs(slots)
 
 
-def rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` with the root of their component."""
-    roots = components(links)
-    return classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "root", F.coalesce("root", "digest"))
+def links_within(slots: Column, percent: float) -> Column:
+    @F.arrow_udf("array<struct<a binary, b binary>>")
+    def links(blocks: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(blocks)):
+            rows = blocks[i].as_py()
+            out.append(as_edges(rows, near_links(sigtree.as_sets(rows), np.arange(len(rows)), percent)))
+        return pa.array(out, EDGES)
+
+    return links(slots)
+
+
+def links_across(asking: Column, slots: Column, percent: float) -> Column:
+    @F.arrow_udf("array<struct<a binary, b binary>>")
+    def links(asking: pa.Array, blocks: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(blocks)):
+            rows = list({r["digest"]: r for r in asking[i].as_py() + blocks[i].as_py()}.values())
+            number: dict[bytes, int] = {}
+            label = np.array([number.setdefault(r["root"], len(number)) for r in rows])
+            out.append(as_edges(rows, near_links(sigtree.as_sets(rows), label, percent)))
+        return pa.array(out, EDGES)
+
+    return links(asking, slots)
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: float = PERCENT, words: int = WORDS
 ) -> DataFrame:
     """Rows id, n_shingles, digest, component_id for all of ``docs``."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sets = write_table(base.select("id", describe(F.col("text"), words).alias("s")).select("id", "s.*"), "sets", "lz4")
-    classes = write_table(
-        sets.filter("n > 0").groupBy("digest", "n", "sig", "bands")
-        .agg(F.min("id").alias("first")), "classes", "lz4",
-    )
-    members = classes.select("digest", F.explode(longs(F.col("bands"), BANDS)).alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("digest").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    members = write_table(members.join(pivots.filter("size > 1"), "bucket"), "buckets", "lz4")
-    if members.isEmpty():
-        return _named(sets, classes.withColumn("root", F.col("digest")))
-
-    # The texts of all classes that are candidates of anything, one per class.
-    some = members.select("digest").distinct().join(classes.select("digest", "first"), "digest")
-    found = base.join(some, base["id"].eqNullSafe(some["first"])).select("digest", utf8(F.col("text")).alias("raw"))
-    # One text per class: an id may stand for several texts, of which only one belongs.
-    found = found.filter(has_digest(F.col("raw"), F.col("digest"), words))
-    texts = write_table(found.groupBy("digest").agg(F.first("raw").alias("raw")), "candidate-texts")
-    sigs = classes.select("digest", *(longs(F.col("sig"), PACKED)[i].alias(f"s{i}") for i in range(PACKED)))
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sigs.select(F.col("digest").alias(side), *(
-                F.col(f"s{i}").alias(f"{side}{i}") for i in range(PACKED))), side)
-        differing = differing_minima(*([F.col(f"{side}{i}") for i in range(PACKED)] for side in "ab"))
-        return pairs.withColumn("like", estimated_similarity(differing)).drop(
-            *(f"{side}{i}" for side in "ab" for i in range(PACKED)))
-
-    least = least_estimate(percent)
-    to_pivot = members.filter("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()
-    best = estimated(to_pivot).filter(F.col("like") >= least).groupBy("a").agg(
-        F.max(F.struct("like", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    links = verified(best, texts, percent, words)
-    now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
-
-    def meet(pairs: DataFrame) -> bool:
-        """Verify the best pair of each two components; whether any of them were linked."""
-        nonlocal links, now
-        pick = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(
-            F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b")
-        more = verified(pick, texts, percent, words)
-        if more.isEmpty():
-            return False
-        links = links.unionAll(more)
-        now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
-        release_shuffles(spark)
-        return True
-
-    for r in range(ROUNDS):
-        pairs = between(estimated(delegates(members, now, r)), now).filter(F.col("like") >= least)
-        if not meet(pairs):
-            break
-    meet(between(estimated(cross_pairs(members, sigs, now, least, best=True)), now))
-    pending = between(estimated(cross_pairs(members, sigs, now, least)), now)
-    meet(pending)
-    pending = between(pending, now)
-    if not pending.isEmpty():
-        links = links.unionAll(verified(pending.select("a", "b"), texts, percent, words))
-        now = write_table(rooted(classes.select("digest"), links), "roots", "lz4")
-    return _named(sets, classes.join(now, "digest"))
-
-
-def has_digest(raw: Column, digest: Column, words: int) -> Column:
-    @F.arrow_udf("boolean")
-    def same(texts: pa.Array, digests: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(shingles(t, words).tobytes()) == d
-                         for t, d in zip(texts.to_pylist(), digests.to_pylist())], pa.bool_())
-
-    return same(raw, digest)
-
-
-def delegates(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): a class of each component of a bucket, and one of the bucket's largest component."""
-    placed = members.select("bucket", "digest").join(roots, "digest")
-    sent = placed.groupBy("bucket", "root").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest")).alias("d")
-    ).select("bucket", "root", "n", F.col("d.digest").alias("digest"))
-    main = sent.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "digest")).alias("m"))
-    pairs = sent.join(main.filter("roots > 1"), "bucket").filter(F.col("root") != F.col("m.root"))
-    return pairs.select(F.least("digest", "m.digest").alias("a"), F.greatest("digest", "m.digest").alias("b")).distinct()
-
-
-def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different components so far."""
-    for side in "ab":
-        pairs = pairs.drop(f"r{side}").join(
-            roots.select(F.col("digest").alias(side), F.col("root").alias(f"r{side}")), side)
-    return write_table(pairs.filter("ra <> rb").select("a", "b", "like", "ra", "rb"), "pairs", "lz4")
-
-
-def cross_pairs(
-    members: DataFrame, sigs: DataFrame, roots: DataFrame, least: float, best: bool = False
-) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose signatures agree enough.
-
-    ``best``: of each asking class only its best pair with each other component of a block.
-    """
-    placed = members.select("bucket", "digest", "size").join(roots, "digest")
-    per_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_root.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("m")
-    ).filter("roots > 1").select("bucket", F.col("m.root").alias("main"))
-    placed = placed.join(mixed, "bucket").join(
-        sigs.select("digest", F.array(*(f"s{i}" for i in range(PACKED))).alias("sig")), "digest")
-    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / BLOCK))
-    blocks = placed.groupBy("bucket", block.alias("block")).agg(
-        F.collect_list("digest").alias("digests"), F.collect_list("root").alias("roots"),
-        F.flatten(F.collect_list("sig")).alias("sigs"))
-    asking = placed.filter("root <> main").select("bucket", "digest", "root", "sig")
-
-    @F.arrow_udf("array<binary>")
-    def close(digest: pa.Array, root: pa.Array, sig: pa.Array, digests: pa.Array, roots: pa.Array, sigs: pa.Array) -> pa.Array:
-        out = []
-        chance = 2.0**-BITS
-        for d, r, s, ds, rs, ss in zip(*(x.to_pylist() for x in (digest, root, sig, digests, roots, sigs))):
-            differ = np.asarray(ss, np.int64).view(np.uint64).reshape(len(ds), PACKED) ^ np.asarray(s, np.int64).view(np.uint64)
-            folded = differ.copy()
-            for k in range(1, BITS):
-                folded |= differ >> np.uint64(k)
-            count = np.bitwise_count(folded & np.uint64(LOW_BITS)).sum(axis=1)
-            like = (1 - count / MINIMA - chance) / (1 - chance)
-            order = np.flatnonzero(like >= least)
-            order = order[np.argsort(-like[order], kind="stable")]
-            met = {r}
-            own = []
-            for i in order:
-                if rs[i] not in met:
-                    own.append(ds[i])
-                    if best:
-                        met.add(rs[i])
-            out.append(own)
-        return pa.array(out, pa.list_(pa.binary()))
-
-    found = asking.join(blocks, "bucket").select(
-        F.col("digest").alias("a"), F.explode(close("digest", "root", "sig", "digests", "roots", "sigs")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    base = docs.select(F.col(key).alias("id"), utf8(F.col(text)).alias("raw"))
+    sets = write_table(base.select("id", describe(F.col("raw"), words).alias("s")).select("id", "s.*"), "sets", "lz4")
+    full = sets.filter("n > 0")
+    classes = write_table(full.groupBy("digest", "n").agg(F.min("id").alias("first")), "classes", "lz4")
+    # Least and greatest class of a band key differ where several have it.
+    spread = full.select(F.xxhash64("digest").alias("d"), F.explode("bands").alias("token"))
+    shared = spread.groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high")
+    members = full.select("digest", F.explode("bands").alias("token")).join(shared.select("token"), "token")
+    kept = sigtree.distinct_buckets(write_table(members.distinct(), "members", "lz4"))
+    sigs = full.select("digest", "sig").join(kept.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    small = kept.filter(F.col("size") <= sigtree.BLOCK).join(sigs, "digest").groupBy("token").agg(
+        F.collect_list(F.struct("digest", "sig")).alias("slots"))
+    met = small.select(F.explode(met_in_bucket(F.col("slots"), percent)).alias("e")).select("e.*")
+    edges = sigtree.linked(
+        base, classes, kept.select("token", "digest"), met.unionAll(sigtree.stars(kept)).distinct(), percent, words,
+        links_within, links_across)
+    return _named(sets, sigtree.with_root(classes, edges, "root"))
 
 
 def _named(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -319,18 +250,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     Rows that repeat a kept id with the same set collapse to one of them.
     """
     spare, digest = unused_name(docs, "near_id"), unused_name(docs, "near_digest")
+    own = unused_name(docs, "near_digest_kept")
     judged = near_duplicates(docs, key, text, **options)
     sets = write_table(
         judged.groupBy("id", "digest").agg(
             F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("rows")),
         "kept", "lz4")
     repeated = not sets.groupBy("id").agg(F.sum("rows").alias("rows")).filter("rows > 1").isEmpty()
-    kept = sets.filter("kept").select(F.col("id").alias(spare), F.col("digest").alias(digest + "_kept"))
+    kept = sets.filter("kept").select(F.col("id").alias(spare), F.col("digest").alias(own))
     same = docs[key].eqNullSafe(kept[spare])
     if not repeated:
         return docs.join(kept, same).select(*docs.columns)
     # An id with several texts: only those whose set was kept.
     described = docs.withColumn(digest, describe(F.col(text), options.get("words", WORDS))["digest"])
     out = described.join(
-        kept, described[key].eqNullSafe(kept[spare]) & described[digest].eqNullSafe(kept[digest + "_kept"]))
+        kept, described[key].eqNullSafe(kept[spare]) & described[digest].eqNullSafe(kept[own]))
     return out.dropDuplicates([key, digest]).select(*docs.columns)

@@ -349,31 +349,45 @@ def texts_of(base: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return found.filter("tokens is not null").drop("id", "raw", "first").dropDuplicates(["digest"])
 
 
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (token, digest) with the size of their bucket; of buckets with the same classes one is kept."""
+    one, two = F.xxhash64("digest"), F.xxhash64("digest", F.lit(1))
+    buckets = members.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"))
+    buckets = buckets.groupBy("size", "one", "two").agg(F.min("token").alias("token")).select("token", "size")
+    return write_table(members.join(buckets, "token"), "buckets", "lz4")
+
+
 def meetings(members: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     """Edges a, b that connect all classes of ``members`` (token, digest) that may be linked.
 
     ``few``: digest, n and signature of all texts.
     """
-    one, two = F.xxhash64("digest"), F.xxhash64("digest", F.lit(1))
-    buckets = members.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"))
-    # Many shingles have the same classes: one of them is enough.
-    buckets = buckets.groupBy("size", "one", "two").agg(F.min("token").alias("token")).select("token", "size")
-    kept = write_table(members.join(buckets, "token"), "buckets", "lz4")
+    kept = distinct_buckets(members)
     known = few.select("digest", "n", "signature").join(kept.select("digest").distinct(), "digest", "left_semi")
     small = kept.filter(F.col("size") <= BLOCK).join(known.dropDuplicates(["digest"]), "digest").groupBy("token").agg(
         F.collect_list(F.struct("digest", "n", "signature")).alias("slots"))
     edges = small.select(F.explode(bucket_links(F.col("slots"), percent)).alias("e")).select("e.*")
+    return edges.unionAll(stars(kept)).distinct()
+
+
+def stars(kept: DataFrame) -> DataFrame:
+    """Edges a, b that connect each bucket of more than ``BLOCK`` classes whole."""
     large = kept.filter(F.col("size") > BLOCK)
     pivots = large.groupBy("token").agg(F.min("digest").alias("b"))
-    return edges.unionAll(large.join(pivots, "token").select(F.col("digest").alias("a"), "b")).distinct()
+    return large.join(pivots, "token").select(F.col("digest").alias("a"), "b")
 
 
 def linked(
-    base: DataFrame, classes: DataFrame, members: DataFrame, few: DataFrame, percent: int, words: int
+    base: DataFrame, classes: DataFrame, members: DataFrame, meets: DataFrame, percent: int, words: int,
+    within=links_within, across=links_across,
 ) -> DataFrame:
-    """Edges a, b (digests) that connect exactly what the links connect."""
-    meets = write_table(meetings(members, few, percent), "meetings", "lz4")
+    """Edges a, b (digests) that connect exactly what the links connect.
+
+    ``members``: token, digest; ``meets``: edges a, b that connect all classes that may be linked. ``within``
+    and ``across`` make the columns of links of a block, and of a chunk against a block.
+    """
+    meets = write_table(meets, "meetings", "lz4")
     candidates = meets.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes, "digest")
     candidates = write_table(with_root(candidates, meets, "unit"), "units", "lz4")
     placed = in_blocks(candidates.select("digest", "n", "unit"), members).join(candidates.select("digest", "first"), "digest")
@@ -381,7 +395,7 @@ def linked(
     block = ["unit", "part", "piece"]
     grouped = sets.groupBy(*block).agg(F.collect_list(F.struct("digest", "tokens")).alias("slots"))
     links = write_table(
-        grouped.select(F.explode(links_within(F.col("slots"), percent)).alias("e")).select("e.*"), "links", "lz4")
+        grouped.select(F.explode(within(F.col("slots"), percent)).alias("e")).select("e.*"), "links", "lz4")
 
     large = sets.select(*block).distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
     if large.isEmpty():
@@ -401,7 +415,7 @@ def linked(
     against = rooted.groupBy(*block).agg(F.min("n").alias("least"), F.max("n").alias("most"), slots.alias("slots"))
     tiles = asking.join(against, "unit").filter(
         (100 * F.col("high") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("low")))
-    more = tiles.select(F.explode(links_across(F.col("asking"), F.col("slots"), percent)).alias("e")).select("e.*")
+    more = tiles.select(F.explode(across(F.col("asking"), F.col("slots"), percent)).alias("e")).select("e.*")
     return links.unionAll(write_table(more, "more-links", "lz4"))
 
 
@@ -420,7 +434,7 @@ def jaccard_components(
     members = write_table(members.distinct(), "shared-shingles", "lz4")
     classes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"))
     classes = write_table(classes, "classes", "lz4")
-    edges = linked(base, classes, members, few, percent, words)
+    edges = linked(base, classes, members, meetings(members, few, percent), percent, words)
     rooted = with_root(classes, edges, "root")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("digest", "root").join(ids, "root").select("digest", "component_id")

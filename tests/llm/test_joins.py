@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitempo.llm import lexical, manifest, sigtree
+from bitempo.llm import lexical, manifest, minhash, sigtree
 
 from .helpers import alnum_words, corpus, frame, lower, space_words, words
 
@@ -237,3 +237,39 @@ def test_manifest_of_one_and_of_nothing(spark):
     assert list(map(tuple, judged(spark, one).collect())) == plain_manifest(one, changed)
     assert judged(spark, []).count() == 0
 
+
+
+# ---- near-duplicates of large groups
+
+
+@pytest.mark.parametrize("block", [2048, 9])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    rows = families(7, 3, 60)
+    got = minhash.near_duplicates(frame(spark, rows)).select("id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=repr) == joined(rows, 75)
+
+
+def test_a_group_gives_fewer_links_than_it_has_classes():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    # Pairs lie on both sides of the threshold, so nearly all of them are candidates.
+    sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 1 << 62, 60).astype(np.uint64), base)) for _ in range(1500)]
+    links = minhash.near_links(sets, np.arange(len(sets)), 75)
+    assert len(links) < len(sets)
+    label = np.arange(len(sets))
+    for a, b in links:
+        label[label == label[b]] = label[a]
+    some = rng.integers(0, len(sets), (4000, 2))
+    for a, b in some:
+        k = len(np.intersect1d(sets[a], sets[b]))
+        if 175 * k >= 75 * (len(sets[a]) + len(sets[b])):
+            assert label[a] == label[b]
+
+
+def test_one_of_each_where_names_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (1, "d e f", 6), (2, "a b c", 7)], "doc_id long, text string, near_digest_kept long")
+    docs = docs.withColumn("near_id", F.lit(1)).withColumn("near_digest", F.lit(2))
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.near_digest_kept for r in kept.collect()) == [5, 6]
