@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,13 +35,13 @@ END_ID = 2
 MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 20
-PIECES_KEPT = 700_000
+PIECES_KEPT = 300_000
 JOINED = 4_000
 
 # A blank or other white space before a blank, or a character that tokenizers and Python class
-# differently: such texts are cut more carefully or not at all.
-RUNS = re.compile(r"\s ")
-ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]|<\\|")
+# differently: such texts are cut more carefully or not at all. (Both for Arrow's regular expressions.)
+RUNS = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
+ODD = r"[\x1c-\x1f\x{180e}\x{200b}\x{feff}]|<\|"
 PIECES = re.compile(r"\s*\S+|\s+")
 PLAIN = re.compile(r" ?\S+")
 
@@ -108,28 +109,85 @@ class PieceEncoder:
             self.add(group, ids, ends - starts, starts)
 
     def keys(self, text: str) -> list[str]:
-        if RUNS.search(text):
-            return [p[1:] if p[0] == " " and p[1:2] != " " else " " + p for p in PIECES.findall(text)]
-        first, *rest = text.split(" ")
-        if first:
-            rest.insert(0, " " + first)
-        return rest
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Pieces of a text with runs of white space."""
+        return [p[1:] if p[0] == " " and p[1:2] != " " else " " + p for p in PIECES.findall(text)]
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """Piece numbers, new pieces learned first."""
+        fresh = list(set(keys).difference(self.known))
+        if fresh:
+            self.learn(fresh)
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of texts cut at single blanks, and how many each text has.
+
+        Arrow cuts and numbers them, so Python sees each distinct piece of a batch once.
+        """
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts
+        distinct = coded.dictionary.to_pylist()
+        begins = [distinct[c] for c in code[first]]
+        own = self.numbers([" " + p for p in begins if p])
+        later = np.ones(len(code), bool)
+        later[first] = False
+        used = np.unique(code[later])
+        number = np.zeros(len(distinct), np.int64)
+        number[used] = self.numbers([distinct[c] for c in used])
+        out = number[code]
+        some = np.array([bool(p) for p in begins], bool)
+        out[first[some]] = own
+        keep = np.ones(len(code), bool)
+        keep[first[~some]] = False
+        return out[keep], counts - ~some
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one line (each with the end id, if one is given), and how many each has."""
         if len(self.known) > PIECES_KEPT:
             self.forget()
-        whole = {i for i, t in enumerate(texts) if t and ODD.search(t)}
-        keys = [self.keys(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        self.learn(list({k for own in keys for k in own}.difference(self.known)))
-        at = np.fromiter((p for own in keys for p in map(self.known.__getitem__, own)), np.int64)
-        sizes = self.size[at]
-        shift = self.start[at] - (np.cumsum(sizes) - sizes)
-        line = self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(own) for own in keys])] if texts else []
-        out = np.split(line, ends[:-1]) if texts else []
-        for i in whole:
-            out[i] = np.asarray(self.one(texts[i]), np.uint32)
-        return out
+        n = len(texts)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False) & ~odd
+        filled = pc.binary_length(texts).to_numpy() > 0
+        plain = np.flatnonzero(~odd & ~runs & filled)
+        at, counts = self.pieces(texts.take(pa.array(plain))) if len(plain) else (np.zeros(0, np.int64),) * 2
+        lines, sizes, owner = [], [], []
+
+        def add(rows: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
+            size = self.size[at]
+            shift = self.start[at] - (np.cumsum(size) - size)
+            lines.append(self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))])
+            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
+            sizes.append(np.diff(ends))
+            owner.append(rows)
+
+        add(plain, at, counts)
+        for i in np.flatnonzero(runs):
+            own = self.numbers(self.keys(texts[i].as_py()))
+            add(np.array([i]), own, np.array([len(own)]))
+        for i in np.flatnonzero(odd):
+            ids = np.asarray(self.one(texts[i].as_py()), np.uint32)
+            lines.append(ids)
+            sizes.append(np.array([len(ids)]))
+            owner.append(np.array([i]))
+        line, size, owner = np.concatenate(lines), np.concatenate(sizes), np.concatenate(owner)
+        more = 0 if end_id is None else 1
+        total = np.full(n, more, np.int64)
+        total[owner] += size
+        start = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+        out[np.repeat(start[owner] - (np.cumsum(size) - size), size) + np.arange(len(line))] = line
+        if more:
+            out[start + total - 1] = end_id
+        return out, total
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        line, sizes = self.encode(pa.array(texts, pa.string()))
+        return np.split(line, np.cumsum(sizes)[:-1]) if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -143,8 +201,10 @@ def token_ids(text: Column, definition, end_id: int = END_ID) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         text, kind = definition.value
-        end = np.array([end_id], kind).tobytes()
-        return pa.array([x.astype(kind).tobytes() + end for x in encoder(text).encode_all(texts.to_pylist())], pa.binary())
+        line, sizes = encoder(text).encode(texts, end_id)
+        line = line.astype(kind)
+        offsets = (np.concatenate(([0], np.cumsum(sizes))) * line.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(line)])
 
     return ids(text.cast("string"))
 
