@@ -242,6 +242,6 @@ def mixed_documents(
     )
     return (
         sized.join(wanted, match)
-        .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col("u_copies"))))
+        .withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), wanted["u_copies"])))
         .select(*(docs[c] for c in docs.columns))
     )

@@ -273,3 +273,12 @@ def test_one_of_each_where_names_clash(spark):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.near_digest_kept for r in kept.collect()) == [5, 6]
+
+
+def test_mixed_documents_where_names_clash(spark):
+    from bitempo.llm import mixing
+
+    docs = frame(spark).withColumn("u_copies", F.lit(7)).withColumn("u_id", F.lit("x")).withColumn("sources", F.lit(1))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and got.count() > 0
+    assert {r.u_copies for r in got.select("u_copies").distinct().collect()} == {7}
