@@ -39,6 +39,22 @@ def with_(final: str, *names: str) -> str:
     return f"WITH {ctes}\n{final.strip()}"
 
 
+SUBSCRIBED = """
+SELECT 'U' || user_id AS ticker, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume,
+       ts AS "timestamp", event_id
+FROM (SELECT *, arg_max(event_type, row(ts, event_id)) FILTER (event_type IN ('purchase', 'error'))
+                  OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS change
+      FROM events)
+WHERE change = 'purchase'
+"""
+BUSINESS_DAYS = """
+SELECT b.ticker, b.date, k.passed - a.passed AS open_days, CAST(s.d AS VARCHAR) AS settles, CAST(p.d AS VARCHAR) AS before
+FROM bars b
+JOIN days a ON a.d = CAST(b.date AS DATE)
+JOIN days k ON k.d = CAST(b.knowledge_date AS DATE)
+JOIN days s ON s.is_open AND s.passed = a.passed + 2
+JOIN days p ON p.is_open AND p.passed = a.passed - 1
+"""
 RELATIONS: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
 
@@ -186,6 +202,16 @@ FROM supplier
 """)
 relation("pit_quarters", picked("quarters", "revised", EVENT), "quarters", "revised")
 
+relation("days", """
+SELECT d, is_open, count(*) FILTER (is_open)
+         OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed
+      FROM (SELECT d, isodow(d) < 6 AND d NOT IN (
+                     SELECT CAST(l_shipdate AS DATE) FROM lineitem
+                     WHERE strftime(l_shipdate, '%m-%d') IN ('01-01', '07-04', '12-25')) AS is_open
+            FROM (SELECT CAST(unnest(generate_series((SELECT min(l_shipdate) - INTERVAL 40 DAY FROM lineitem),
+                    (SELECT max(l_shipdate) + INTERVAL 40 DAY FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS d))
+""")
+
 relation("ticks", """
 SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, value AS price,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, ts
@@ -467,6 +493,9 @@ WHERE CAST(user_id AS BIGINT) IN
         (SELECT c_custkey FROM customer WHERE c_mktsegment IS DISTINCT FROM 'MACHINERY')
   AND CAST(user_id AS BIGINT) NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
 """, "ticks"),
+        "subscribed_over_time": SUBSCRIBED,
+        "subscribed_over_time_split": SUBSCRIBED,
+        "business_day_gaps": with_(BUSINESS_DAYS, "bars", "days"),
         "latest_quote_per_ticker": with_("""
 SELECT user_id AS ticker, arg_max(price, row(ts, event_id)) AS price,
        arg_max(volume, row(ts, event_id)) AS volume, max(ts) AS "timestamp", count(*) AS tick_count
@@ -535,6 +564,8 @@ SELECT entity_id, request_time, feature_name, {r6('value')} AS value, event_time
         "pit_join_wide": with_(wide("pit"), "pit"),
         "pit_join_revised": pit_wide_revised,
         "pit_join_bucketed": pit_wide_revised,
+        "pit_join_stored": pit_wide_revised,
+        "pit_join_stored_large": pit_wide_revised,
         "pit_join_few": with_(wide("pit_quarters"), "pit_quarters"),
         "pit_single": with_(f"""
 SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,13 +14,15 @@ from pyspark.sql import types as T
 from ..operators import backtest as bt
 from ..operators import bars as bars_ops
 from ..operators.bars import stamp_revisions
-from ..operators import flush, online, pit, reconcile, scoring, training, validate
+from ..functions.business import BusinessCalendar
+from ..operators import flush, online, pit, reconcile, scoring, subscriptions, training, validate
 from ..operators.features import (
     compute_features, feature_table, live_features, seed_history, to_long, to_wide, wide_features,
 )
-from ..plans.hot import HotEntities, hot_entities
+from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities
 from ..schema import FEATURE_NAMES, LIVE_BARS, TICKS
 from ..session import shared_dir, stage, use_utc
+from ..sources import feature_store
 from ..sources import raw_bars as files
 from ..sources import vintages
 from ..sources import ticks as tick_ops
@@ -46,6 +49,8 @@ POINTS_PER_ENTITY = 5
 SLICES = 3
 # Chunk size that forces every entity to be split, to run the hot path on ordinary data.
 SPLIT_ROWS = 100
+# About what a supplier has stored, so that some are set apart and others not.
+STORE_ROWS = 2_200
 
 
 class Inputs:
@@ -163,6 +168,20 @@ def _raw_bars(x):
     return stamp_revisions(x.bars, hot=x.hot)
 
 
+@query
+def business_day_gaps(x):
+    """Open days from each bar to the day it was known, and the open days around it."""
+    day = F.col("l_shipdate").cast("date")
+    closed = F.date_format(day, "MM-dd").isin("01-01", "07-04", "12-25")
+    calendar = BusinessCalendar(x.table("lineitem").filter(closed).select(day.alias("holiday")))
+    return stamp_revisions(x.bars, hot=x.hot).select(
+        "ticker", "date",
+        calendar.gap(F.col("date"), F.col("knowledge_date")).alias("open_days"),
+        calendar.add(F.col("date"), 2).cast("string").alias("settles"),
+        calendar.add(F.col("date"), -1).cast("string").alias("before"),
+    )
+
+
 @query
 def raw_bars_split(x):
     return stamp_revisions(x.bars, hot=x.split)
@@ -236,6 +255,33 @@ def subscribed_ticks(x):
     return tick_ops.subscribed_ticks(ticks, added, removed)
 
 
+def membership_changes(x) -> DataFrame:
+    """A purchase subscribes its user, an error ends that; symbols come with blanks and in lower case."""
+    events = x.table("events").filter(F.col("event_type").isin("purchase", "error"))
+    return events.select(
+        F.concat(F.lit(" u"), F.col("user_id"), F.lit(" ")).alias("ticker"), F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("added"),
+    )
+
+
+def user_ticks(x) -> DataFrame:
+    return x.ticks("user_id").withColumn("ticker", F.concat(F.lit("U"), F.col("ticker")))
+
+
+@query
+def subscribed_over_time(x):
+    """Ticks of users at times when they were subscribed."""
+    return subscriptions.subscribed_over_time(user_ticks(x), membership_changes(x))
+
+
+@query
+def subscribed_over_time_split(x):
+    """The same with every symbol cut along time."""
+    ticks = user_ticks(x)
+    hot = hot_entities(ticks, "ticker", "timestamp", 5)
+    return subscriptions.subscribed_over_time(ticks, membership_changes(x), hot=hot)
+
+
 @query
 def latest_quote_per_ticker(x):
     return tick_ops.latest_quote_per_ticker(x.ticks("user_id"), TICK_ORDER)
@@ -447,6 +493,25 @@ def pit_join_bucketed(x):
     return rounded(pit.pit_join(x.requests, store, hot=hot), *FEATURE_NAMES)
 
 
+def stored_read(x, rows_per_task: int) -> DataFrame:
+    table = f"features_{uuid.uuid4().hex}"
+    buckets = int(x.spark.conf.get("spark.sql.shuffle.partitions"))
+    store = feature_store.write_store(x.revised, x.shared_dir("store"), table, buckets, rows_per_task)
+    return rounded(feature_store.stored_join(x.requests, store), *FEATURE_NAMES)
+
+
+@query
+def pit_join_stored(x):
+    """The revised store, bucketed by entity: the read moves requests only."""
+    return stored_read(x, ROWS_PER_TASK)
+
+
+@query
+def pit_join_stored_large(x):
+    """The same with a limit that sets many suppliers apart as large or often asked for."""
+    return stored_read(x, STORE_ROWS)
+
+
 @query
 def pit_join_few(x):
     """Quarterly reads of the revised store: few requests against a long history."""

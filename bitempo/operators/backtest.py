@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import TRADING_DAYS, position, trading_cost
 from ..plans.hot import HotEntities, own_rows, resolve_hot, split_rows
+from ..plans.ordered import rank_area
 from ..schema import VARIANTS
 from ..session import stage
 from .training import (
@@ -73,15 +73,9 @@ def accuracy(scored: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame) -> float:
-    """Exact area under the ROC curve, ties averaged.
-
-    Spark's evaluator sorts by score with range partitioning and adds up per partition; zero bins
-    means no down-sampling.
-    """
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="p_up", labelCol="label", metricName="areaUnderROC", numBins=0
-    )
-    return evaluator.evaluate(scored.select("p_up", F.col("label").cast("double").alias("label")))
+    """Exact area under the ROC curve, ties averaged; NaN unless both labels occur."""
+    area = rank_area(scored, "p_up", "label").first()["area"]
+    return float("nan") if area is None else area
 
 
 def backtest(

@@ -81,6 +81,11 @@ def merge(parts: Sequence[DataFrame]) -> DataFrame:
     return merged
 
 
+def _named(column: str, name: str) -> Column:
+    """A column under a name; without an alias where it has that name (a union's rules trip over one)."""
+    return F.col(column) if column == name else F.col(column).alias(name)
+
+
 def state_columns(facts: DataFrame) -> list[str]:
     return [c for c in facts.columns if c not in ("_entity_key", "_t")]
 
@@ -109,7 +114,7 @@ def states_at(
         parts = [_asked(part, spine, entity, request) for part in parts]
     rows = merge(parts).select("*", F.lit(_FACT).alias("_kind")).unionByName(
         spine.select(
-            F.col(entity).alias("_entity_key"),
+            _named(entity, "_entity_key"),
             F.col(request).alias("_t"),
             F.lit(_REQUEST).alias("_kind"),
             *keep,
@@ -187,7 +192,7 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
         F.lit(False),
     )
     answered = rows.select(
-        F.col("_entity_key").alias(entity),
+        _named("_entity_key", entity),
         F.col("_t").alias(request),
         *keep,
         "_kind",
