@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sigtree
-from .text import WordHashes, gram_hashes, lower_space_words, mix, struct_array, unused_name, utf8, write_table
+from .text import WordHashes, gram_hashes, held, lower_space_words, mix, struct_array, unused_name, utf8, write_table
 
 WORDS = 5
 PERCENT = 75
@@ -42,17 +42,15 @@ SLACK = 6.0
 KNOWN_WORDS = 200_000
 
 _STEPS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
-_HASHES: list = []
 
 
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    if not _HASHES:
-        _HASHES.append(WordHashes(KNOWN_WORDS))
     own = lower_space_words(raw)
     if not own:
         return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(_HASHES[0](own), min(words, len(own))))
+    hashes = held("minhash", lambda: WordHashes(KNOWN_WORDS))
+    return np.unique(gram_hashes(hashes(own), min(words, len(own))))
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:

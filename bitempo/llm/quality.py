@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, mix, struct_array, unused_name, utf8, write_table
+from .text import WordHashes, held, mix, struct_array, unused_name, utf8, write_table
 
 CELLS = 1 << 16
 SMOOTHING = 20.0
@@ -39,19 +39,14 @@ AGAIN = np.uint64(0x5EED)
 EXACT_KEYS = 10_000
 BINS = 1_000
 
-_HASHES: list = []
-
-
 def ngram_cells(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all tokens and token pairs of a batch, and the number of the text each belongs to."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
     words, sizes = [], np.zeros(len(texts), np.int64)
     for d, raw in enumerate(texts):
         own = TOKENS.findall(raw) if raw else []
         sizes[d] = len(own)
         words += own
-    h = _HASHES[0](words)
+    h = held("quality", WordHashes)(words)
     doc = np.repeat(np.arange(len(texts)), sizes)
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     pair = np.where(h[inner] == h[inner + 1], AGAIN, mix(mix(h[inner]) + h[inner + 1]))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import (
-    WordHashes, drop_table, gram_hashes, ragged, release_shuffles, space_words, struct_array, utf8, write_table,
+    WordHashes, drop_table, gram_hashes, held, ragged, release_shuffles, space_words, struct_array, utf8, write_table,
 )
 
 WINDOW = 20
@@ -47,8 +47,6 @@ PIECE = 256
 HOT = 10_000
 SHARD_WORDS = 1 << 20
 
-_HASHES: list = []
-
 
 # ---- pieces
 
@@ -65,8 +63,6 @@ def sliding_minimum(x: np.ndarray, n: int) -> np.ndarray:
 
 def pieces(texts: list[bytes | None], window: int = WINDOW, gram: int = GRAM):
     """Row, start, windows, minimizer and its occurrences in every piece of a batch of texts."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
     words, sizes = [], np.zeros(len(texts), np.int64)
     for d, raw in enumerate(texts):
         own = space_words(raw)
@@ -76,7 +72,7 @@ def pieces(texts: list[bytes | None], window: int = WINDOW, gram: int = GRAM):
     if len(words) < window:
         return none, none, none, none, none
     row = np.repeat(np.arange(len(texts)), sizes)
-    grams = gram_hashes(_HASHES[0](words), gram)
+    grams = gram_hashes(held("substring", WordHashes)(words), gram)
     least = sliding_minimum(grams, window - gram + 1)
     at = np.flatnonzero(row[: len(least)] == row[window - 1 :])
     if not len(at):

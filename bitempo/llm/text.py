@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,10 +53,10 @@ def utf8(text: Column) -> Column:
     return text.cast("string").cast("binary")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch brings into a Python worker, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -94,6 +97,23 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+_HELD: dict = {}
+
+
+def held(owner: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks, for one owner at a time.
+
+    Spark uses a worker again for the next stage. What the stage before it kept is freed when another owner
+    asks, so a chain of stages needs the memory of its largest one and not of all together.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (two multiply and shift rounds)."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
-from .text import write_table
+from .text import held, small_batches, write_table
 
 END_ID = 2
 MAX_LENGTH = 20
@@ -37,6 +37,9 @@ STRIDE = 128
 BLOCK_IDS = 1 << 20
 PIECES_KEPT = 300_000
 JOINED = 4_000
+LINES = 32
+# Bytes of an Arrow batch of texts: ids, piece numbers and their cuts take about 25 times as much.
+TEXT_BYTES = 2 << 20
 
 # A blank or other white space before a blank, or a character that tokenizers and Python class
 # differently: such texts are cut more carefully or not at all. (Both for Arrow's regular expressions.)
@@ -100,7 +103,10 @@ class PieceEncoder:
             length += len(piece)
         lines = ["\n".join(k[1:] if k[:1] == " " else " " + k for k in g) for g in groups if g]
         groups = [g for g in groups if g]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        # Encodings hold much more than ids: a few at a time.
+        parts = (self.tokenizer.encode_batch_fast(lines[i : i + LINES], add_special_tokens=False)
+                 for i in range(0, len(lines), LINES))
+        for group, encoding in zip(groups, chain.from_iterable(parts)):
             ids = np.asarray(encoding.ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
             if len(ends) != len(group):
@@ -190,9 +196,8 @@ class PieceEncoder:
         return np.split(line, np.cumsum(sizes)[:-1]) if texts else []
 
 
-@lru_cache(maxsize=2)
 def encoder(definition: str) -> PieceEncoder:
-    return PieceEncoder(definition)
+    return held(f"encoder {definition}", lambda: PieceEncoder(definition))
 
 
 def token_ids(text: Column, definition, end_id: int = END_ID) -> Column:
@@ -309,7 +314,10 @@ def tokenize(
     ordered = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
     ids = ordered.select("doc_id", token_ids(F.col("text"), shared, end_id).alias("ids"))
-    return write_table(ids.select(F.monotonically_increasing_id().alias("place"), "doc_id", "ids"), "token-ids")
+    small_batches(spark, TEXT_BYTES)
+    written = write_table(ids.select(F.monotonically_increasing_id().alias("place"), "doc_id", "ids"), "token-ids")
+    small_batches(spark)
+    return written
 
 
 def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
