@@ -16,6 +16,7 @@ order of their texts; an empty table gives a file without blocks; null doc ids c
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,10 +35,11 @@ from .text import held, small_batches, write_table
 END_ID = 2
 MAX_LENGTH = 20
 STRIDE = 128
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 PIECES_KEPT = 300_000
 JOINED = 4_000
 LINES = 32
+COUNTED = 1 << 18
 # Bytes of an Arrow batch of texts: ids, piece numbers and their cuts take about 25 times as much.
 TEXT_BYTES = 2 << 20
 
@@ -62,6 +64,8 @@ class PieceEncoder:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        # A task has one core, and every thread of the library would keep memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.line_end = self.one("\n")
         self.forget()
@@ -325,10 +329,15 @@ def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
         total = np.zeros(0, np.int64)
         for b in batches:
             raw = b.column(0)
-            ids = np.frombuffer(b"".join(raw.to_pylist()), kind)
-            more = np.bincount(ids, minlength=len(total))
-            more[: len(total)] += total
-            total = more
+            if not len(raw):
+                continue
+            # The ids of a batch lie one after the other; counting takes eight bytes an id, so it goes in parts.
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            ids = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+            for i in range(0, len(ids), COUNTED):
+                more = np.bincount(ids[i : i + COUNTED], minlength=len(total))
+                more[: len(total)] += total
+                total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
@@ -405,7 +414,8 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFram
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 ids = decoder.decode(row["bits"], row["offsets"], row["n_ids"])
                 sizes = np.asarray(row["n_tokens"], np.int64)
                 ends = np.cumsum(sizes)
