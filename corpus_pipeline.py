@@ -13,8 +13,12 @@ from bitempo.llm.queries import tokenizer_definition
 from bitempo.llm.text import small_batches, write_table
 
 
+# Bytes of text that the quality stage takes at once: it holds every token of them, about 25 times as much.
+QUALITY_BYTES = 2 << 20
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, QUALITY_BYTES)
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
