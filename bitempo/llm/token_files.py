@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
-from .text import held, small_batches, write_table
+from .text import held, write_table
 
 END_ID = 2
 MAX_LENGTH = 20
@@ -40,8 +40,6 @@ PIECES_KEPT = 300_000
 JOINED = 4_000
 LINES = 32
 COUNTED = 1 << 18
-# Bytes of an Arrow batch of texts: ids, piece numbers and their cuts take about 25 times as much.
-TEXT_BYTES = 2 << 20
 
 # A blank or other white space before a blank, or a character that tokenizers and Python class
 # differently: such texts are cut more carefully or not at all. (Both for Arrow's regular expressions.)
@@ -318,10 +316,7 @@ def tokenize(
     ordered = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text")
     ids = ordered.select("doc_id", token_ids(F.col("text"), shared, end_id).alias("ids"))
-    small_batches(spark, TEXT_BYTES)
-    written = write_table(ids.select(F.monotonically_increasing_id().alias("place"), "doc_id", "ids"), "token-ids")
-    small_batches(spark)
-    return written
+    return write_table(ids.select(F.monotonically_increasing_id().alias("place"), "doc_id", "ids"), "token-ids")
 
 
 def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
