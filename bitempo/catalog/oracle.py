@@ -228,6 +228,14 @@ FROM {source} GROUP BY 1, 2
 """
 
 
+relation("two_providers", """
+SELECT event_type, ts, price, volume, event_id FROM ticks WHERE event_id % 3 <> 0
+UNION ALL
+SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE - INTERVAL 1 MICROSECOND,
+       arg_max(price, row(ts, event_id)), arg_max(volume, row(ts, event_id)), arg_max(event_id, row(ts, event_id))
+FROM ticks WHERE event_id % 3 = 0 GROUP BY 1, 2
+""", "ticks")
+TWO_PROVIDERS = ohlcv("event_type", "'3 hours'", "two_providers")
 relation("bars3h", ohlcv("event_type", "'3 hours'"), "ticks")
 relation("bars15m", ohlcv("event_type", "'15 minutes'"), "ticks")
 relation("arrived", """
@@ -704,6 +712,20 @@ SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowled
 FROM live15m_log
 QUALIFY row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY knowledge_timestamp DESC) = 1
 """, "live15m_log"),
+        "stream_two_providers": with_(TWO_PROVIDERS, "two_providers"),
+        "two_provider_bars": with_(TWO_PROVIDERS, "two_providers"),
+        "stream_subscribed": SUBSCRIBED,
+        "stream_history": with_("""
+SELECT feature_name, count(*) AS writes, min(knowledge_timestamp) AS first_knowledge,
+       max(knowledge_timestamp) AS last_knowledge
+FROM revised GROUP BY 1
+""", "revised"),
+        "stream_latest_bucketed": with_(f"""
+SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp
+FROM revised
+QUALIFY row_number() OVER (PARTITION BY entity_id, feature_name
+                           ORDER BY knowledge_timestamp DESC, event_timestamp DESC) = 1
+""", "revised"),
         "stream_latest": with_(f"""
 SELECT entity_id, feature_name, {r6('value')} AS value, event_timestamp, knowledge_timestamp
 FROM revised

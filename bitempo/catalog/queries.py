@@ -29,7 +29,7 @@ from ..sources import ticks as tick_ops
 from ..sources.tables import (
     event_ticks, hot_suppliers, line_bars, table, vendor_frame,
 )
-from ..streaming import late, live, sinks, stateful
+from ..streaming import late, latest_table, live, membership, providers, sinks, stateful
 from ..streaming import sources as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,7 @@ LAST_PULL = "2002-02-01 00:00:00"
 SINGLE_ENTITY, SINGLE_TIME = "7", "1998-06-01 12:00:00"
 POINTS_PER_ENTITY = 5
 SLICES = 3
+LATEST_BUCKETS = 16
 # Chunk size that forces every entity to be split, to run the hot path on ordinary data.
 SPLIT_ROWS = 100
 # About what a supplier has stored, so that some are set apart and others not.
@@ -1042,3 +1043,85 @@ def stream_late_rows(x):
         held = part.filter(delayed)
     rows = late.split_rows(x.spark, f"{root}/split", TICK_ROWS)
     return naive(rows.select("ticker", "price", "volume", "timestamp", "event_id", "late"))
+
+
+@query
+def stream_latest_bucketed(x):
+    """The same replay into the bucketed table; the last batch is in the log only."""
+    root = x.shared_dir("bucketed")
+    log = stage(x.revised, "revised")
+    for part in streams.time_slices(log, "knowledge_timestamp", SLICES):
+        streams.land(part, f"{root}/landed")
+        source = streams.table_stream(x.spark, f"{root}/landed", log.schema)
+        latest_table.start_bucketed_log(source, f"{root}/online", f"{root}/ck", 2, LATEST_BUCKETS).awaitTermination()
+    return rounded(latest_table.read_latest(x.spark, f"{root}/online"), "value")
+
+
+@query
+def stream_history(x):
+    """What the bucketed table keeps of the log, compacted segments and open folders together."""
+    root = x.shared_dir("history")
+    log = stage(x.revised, "revised")
+    for part in streams.time_slices(log, "knowledge_timestamp", SLICES):
+        streams.land(part, f"{root}/landed")
+        source = streams.table_stream(x.spark, f"{root}/landed", log.schema)
+        latest_table.start_bucketed_log(source, f"{root}/online", f"{root}/ck", 2, LATEST_BUCKETS).awaitTermination()
+    return online.replay_counts(latest_table.read_history(x.spark, f"{root}/online"))
+
+
+def end_mark(ticks: DataFrame) -> DataFrame:
+    """A row of no ticker long after the last tick: it moves the watermark past all others."""
+    return ticks.agg(F.max("timestamp").alias("t")).select(
+        F.lit("").alias("ticker"), F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"),
+        (F.col("t") + F.expr("interval 10 days")).alias("timestamp"), F.lit("end").alias("source"),
+        F.lit(-1).cast("long").alias("event_id"))
+
+
+@query
+def stream_two_providers(x):
+    """Two thirds of the events as trades, every fortieth delivered again a range later; the rest as polls."""
+    root = x.shared_dir("providers")
+    ticks = stream_ticks(x).select(*TICK_ROWS.fieldNames())
+    polled = F.col("event_id") % 3 == 0
+    again = None
+    for part in [*streams.time_slices(ticks, "timestamp", SLICES), end_mark(ticks)]:
+        trades = part.filter(~polled)
+        streams.land(trades if again is None else trades.unionByName(again), f"{root}/trades")
+        streams.land(part.filter(polled | (F.col("source") == "end")), f"{root}/quotes")
+        again = trades.filter(F.col("event_id") % 40 == 1)
+        bars = providers.provider_bars(
+            streams.table_stream(x.spark, f"{root}/trades", TICK_ROWS, None),
+            streams.table_stream(x.spark, f"{root}/quotes", TICK_ROWS, None),
+            BAR_INTERVAL, LATE_DELAY, "2 hours", "event_id")
+        live.run_available(bars, f"{root}/bars", f"{root}/ck")
+    return naive(x.spark.read.schema(bars.schema).parquet(f"{root}/bars"))
+
+
+@query
+def two_provider_bars(x):
+    """The batch form over the same ticks."""
+    ticks = stream_ticks(x)
+    polled = F.col("event_id") % 3 == 0
+    trades = ticks.filter(~polled)
+    trades = trades.unionByName(trades.filter(F.col("event_id") % 40 == 1))
+    return naive(providers.provider_bars(trades, ticks.filter(polled), BAR_INTERVAL, LATE_DELAY, LATE_DELAY, "event_id"))
+
+
+@query
+def stream_subscribed(x):
+    """Ticks and changes as two streams; the changes of a range land after its ticks."""
+    root = x.shared_dir("membership")
+    stateful.use_rocksdb(x.spark)
+    ticks = user_ticks(x).withColumn("timestamp", F.col("timestamp").cast("timestamp")).select(*membership.TICKS_OUT.fieldNames())
+    changes = membership_changes(x).select("ticker", F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), "added")
+    turns = zip(streams.time_slices(ticks, "timestamp", SLICES), streams.time_slices(changes, "at", SLICES))
+    mark = end_mark(ticks).withColumn("ticker", F.lit("END"))
+    last = (mark.select(*ticks.columns), mark.select("ticker", F.col("timestamp").alias("at"), F.col("event_id").alias("seq"), F.lit(False).alias("added")))
+    for tick_part, change_part in [*turns, last]:
+        streams.land(tick_part, f"{root}/ticks")
+        streams.land(change_part, f"{root}/changes")
+        kept = membership.subscribed_stream(
+            streams.table_stream(x.spark, f"{root}/ticks", ticks.schema, None),
+            streams.table_stream(x.spark, f"{root}/changes", changes.schema, None), LATE_DELAY, LATE_DELAY)
+        live.run_available(kept, f"{root}/kept", f"{root}/ck")
+    return naive(x.spark.read.schema(kept.schema).parquet(f"{root}/kept"))
