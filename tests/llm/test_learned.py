@@ -71,6 +71,42 @@ def test_mix(spark):
     assert mixed.count() == sum(u.copies * u.rows for u in units)
 
 
+def many_sources(spark, shared):
+    """Forty sources, one of them null and one with a third of all words; ``shared`` adds documents of two or three."""
+    names = [None, *(f"site{i:02d}" for i in range(39))]
+    rows = [(i, [names[i % 40]], 1 + i * 7 % 23) for i in range(600)]
+    rows += [(1000 + i, ["site05"], 9) for i in range(300)]
+    if shared:
+        rows += [(2000 + i, ["site01", "site02"], 5 + i % 3) for i in range(40)]
+        rows += [(3000 + i, [None, "site02", "site03"], 4) for i in range(30)] + [(4000, [], 8), (4001, None, 8)]
+    return spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
+
+
+@pytest.mark.parametrize("shared, most", [(False, 39), (True, 12)])
+def test_many_source_sets_mix_as_on_the_driver(spark, shared, most):
+    docs = many_sources(spark, shared)
+    plain = mixing.mix(docs, "doc_id", "s", "n")
+    wide = mixing.mix(docs, "doc_id", "s", "n", most_patterns=most)
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    assert rows(wide.sources) == rows(plain.sources)
+    assert rows(wide.units.orderBy("id")) == rows(plain.units.orderBy("id"))
+
+
+def test_only_shared_source_sets_are_limited(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(many_sources(spark, True), "doc_id", "s", "n", most_patterns=4)
+
+
+@pytest.mark.parametrize("sizes", [[5], [0, 0], [1, 900, 1, 1, 50], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 900]])
+def test_targets_in_spark_equal_those_on_the_driver(spark, sizes):
+    totals = {f"s{i:02d}": n for i, n in enumerate(sizes)} | {None: 7}
+    got = mixing.spark_targets(spark.createDataFrame(list(totals.items()), "source string, n long"))
+    assert {r.source: r.target for r in got.collect()} == mixing.mix_targets(totals)
+
+
 def test_mix_of_overlapping_sources_and_of_nothing(spark):
     rows = [(i, ["a"] if i % 2 else ["b", "a", "a"], 10) for i in range(100)] + [(200, None, 5), (201, [], 5), (202, [None], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
