@@ -17,11 +17,11 @@ only the first of them can flush; an empty table gives no bars.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,12 +37,12 @@ PARTS = (
 
 def leaving(times: np.ndarray, step: int) -> np.ndarray:
     """For every tick, at which tick of the chunk a chain that flushes there leaves the chunk."""
-    after = np.searchsorted(times, times + step)
-    out = np.arange(len(times))
+    after = np.searchsorted(times, times + step).tolist()
+    out = list(range(len(times)))
     for i in range(len(times) - 1, -1, -1):
         if after[i] < len(times):
             out[i] = out[after[i]]
-    return out
+    return np.array(out, np.int64)
 
 
 def flushes(times: np.ndarray, since: int, step: int) -> list[int]:
@@ -55,22 +55,60 @@ def flushes(times: np.ndarray, since: int, step: int) -> list[int]:
     return out
 
 
-def segments(chunk: pd.DataFrame, step: int) -> pd.DataFrame:
+def segments(chunk: Mapping[str, np.ndarray], step: int) -> dict[str, np.ndarray]:
     """One row per bar, or part of a bar, of a chunk in time order (``since``: last flush before it)."""
-    times = chunk["at"].to_numpy(np.int64)
-    since = int(chunk["since"].iloc[0])
+    times = np.asarray(chunk["at"], np.int64)
+    since = int(chunk["since"][0])
     ends = flushes(times, since, step)
     starts = np.array([0, *(i + 1 for i in ends)])
     starts = starts[starts < len(times)]
     stops = np.append(starts[1:], len(times)) - 1
-    price, volume = chunk["price"].to_numpy(float), chunk["volume"].to_numpy(float)
-    return pd.DataFrame({
-        "ticker": chunk["ticker"].iloc[0], "chunk": chunk["chunk"].iloc[0],
-        "since": [since, *times[ends].tolist()][: len(starts)],
+    price, volume = np.asarray(chunk["price"], float), np.asarray(chunk["volume"], float)
+    return {
+        "ticker": np.repeat(chunk["ticker"][:1], len(starts)), "chunk": np.repeat(chunk["chunk"][:1], len(starts)),
+        "since": np.append(since, times[ends])[: len(starts)],
         "open": price[starts], "high": np.fmax.reduceat(price, starts), "low": np.fmin.reduceat(price, starts),
         "close": price[stops], "volume": np.add.reduceat(np.nan_to_num(volume), starts),
         "last": times[stops], "ticks": stops - starts + 1, "closed": np.isin(stops, ends),
-    })
+    }
+
+
+def whole_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """The chunks that end with each batch, of rows sorted by ticker and chunk; holds one open chunk."""
+    begun: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([piece[c] for piece in begun]) for c in begun[0]} if len(begun) > 1 else begun[0]
+
+    for batch in batches:
+        if batch.empty:
+            continue
+        columns = {c: batch[c].to_numpy() for c in batch}
+        ticker, chunk = columns["ticker"], columns["chunk"]
+        cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (ticker[1:] != ticker[:-1])) + 1
+        done = []
+        for start, stop in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if begun and (begun[0]["ticker"][0], begun[0]["chunk"][0]) != (ticker[start], chunk[start]):
+                done.append(joined())
+                begun = []
+            begun.append({c: v[start:stop] for c, v in columns.items()})
+        if done:
+            yield done
+    if begun:
+        yield [joined()]
+
+
+def per_chunk(rows: DataFrame, sort: Sequence[Column], work, schema: str) -> DataFrame:
+    """``work`` on every chunk of ``rows`` (ticker, chunk, ...): many small chunks pass in one batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunks in whole_chunks(batches):
+            parts = [part for part in map(work, chunks) if part is not None]
+            if parts:
+                yield pd.DataFrame({c: np.concatenate([part[c] for part in parts]) for c in parts[0]})
+
+    together = rows.repartition("ticker", "chunk").sortWithinPartitions("ticker", "chunk", *sort)
+    return together.mapInPandas(run, schema)
 
 
 def flush_bars(
@@ -89,7 +127,7 @@ def flush_bars(
     rows = split.select(
         "ticker", F.col("_chunk").cast("long").alias("chunk"), epoch_micros(split, "timestamp").alias("at"),
         F.col("price").cast("double").alias("price"), F.col("volume").cast("double").alias("volume"), *ties)
-    sort = ["at", *(f"tie{i}" for i in range(len(ties)))]
+    sort = [F.col("at"), *(F.col(f"tie{i}").asc_nulls_last() for i in range(len(ties)))]
     carried = rows.groupBy("ticker", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     if hot is not None:
         rows = stage(rows, "flush-ticks")
@@ -98,11 +136,8 @@ def flush_bars(
     else:
         carried = carried.select("ticker", "chunk", F.col("first").alias("since"))
 
-    def bars_of(chunk: pd.DataFrame) -> pd.DataFrame:
-        return segments(chunk.sort_values(sort, kind="stable"), step)
-
     known = rows.join(carried, ["ticker", "chunk"])
-    parts = known.groupBy("ticker", "chunk").applyInPandas(bars_of, PARTS)
+    parts = per_chunk(known, sort, lambda chunk: segments(chunk, step), PARTS)
     whole = parts.groupBy("ticker", "since").agg(
         F.min_by("open", "chunk").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "chunk").alias("close"), F.sum("volume").alias("volume"), F.max("last").alias("last"),
@@ -120,26 +155,29 @@ def last_flush_before(rows: DataFrame, bounds: DataFrame, step: int) -> DataFram
     leave = rows.join(bounds, ["ticker", "chunk"]).filter(F.col("at") > F.col("last") - step).select("ticker", "at")
     begin = bounds.groupBy("ticker").agg(F.min("first").alias("at"))
     asking = leave.unionByName(begin).distinct()
-    ahead = Window.partitionBy("ticker").orderBy("due", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards: a frame that ends at its row is kept running, one that begins there is built anew for every row.
+    ahead = Window.partitionBy("ticker").orderBy(F.desc("due"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = asking.select("ticker", (F.col("at") + step).alias("due"), F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("chunk")
                          ).unionByName(bounds.select("ticker", F.col("last").alias("due"), F.lit(1).alias("kind"),
                                                      F.lit(None).cast("long").alias("at"), "chunk"))
-    routed = both.withColumn("chunk", F.first("chunk", ignorenulls=True).over(ahead)).filter("kind = 0 and chunk is not null")
+    routed = both.withColumn("chunk", F.last("chunk", ignorenulls=True).over(ahead)).filter("kind = 0 and chunk is not null")
     routed = stage(routed.select("ticker", "chunk", "at"), "flush-routed")
 
-    def pointers(ticks: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if ticks.empty or asking.empty:
-            return pd.DataFrame({"ticker": np.array([], object), "at": np.array([], np.int64), "next": np.array([], np.int64)})
-        times = np.sort(ticks["at"].to_numpy(np.int64))
+    def pointers(chunk: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        asks = chunk["asks"].astype(bool)
+        times, at = chunk["at"][~asks], chunk["at"][asks]
+        if not len(times) or not len(at):
+            return None
         out = leaving(times, step)
-        at = asking["at"].to_numpy(np.int64)
-        return pd.DataFrame({"ticker": asking["ticker"].tolist(), "at": at, "next": times[out[np.searchsorted(times, at + step)]]})
+        return {"ticker": chunk["ticker"][asks], "at": at, "next": times[out[np.searchsorted(times, at + step)]]}
 
-    jump = rows.select("ticker", "chunk", "at").groupBy("ticker", "chunk").cogroup(
-        routed.groupBy("ticker", "chunk")
-    ).applyInPandas(pointers, "ticker string, at long, next long")
+    asked = rows.select("ticker", "chunk", "at", F.lit(False).alias("asks")).unionByName(
+        routed.select("ticker", "chunk", "at", F.lit(True).alias("asks")))
+    jump = per_chunk(asked, [F.col("at")], pointers, "ticker string, at long, next long")
     jump, reached = stage(jump, "flush-jumps"), stage(begin, "flush-reached")
-    most = bounds.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    # A pointer leads into a later chunk and to a later flush: neither happens more often than that.
+    spans = F.floor((F.max("last") - F.min("first")) / step) + 1
+    most = bounds.groupBy("ticker").agg(F.least(F.count(F.lit(1)), spans).alias("n")).agg(F.max("n")).first()[0] or 1
     for _ in range(most.bit_length()):
         further = reached.join(jump, ["ticker", "at"]).select("ticker", F.col("next").alias("at"))
         reached = stage(reached.unionByName(further).distinct(), "flush-reached")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitempo.catalog.queries import TICK_ROWS
 from bitempo.operators.bars import snapshot_baseline
+from bitempo.operators import flush
 from bitempo.operators.flush import flush_bars, flushes, leaving
 from bitempo.operators.online import live_bars, ticker_status
 from bitempo.plans.hot import hot_entities
@@ -64,6 +65,27 @@ def test_flush_bars(spark, rows_per_task, with_open):
     assert flush_bars(ticks.limit(0), 600, ORDER, None).count() == 0
 
 
+def test_small_chunks_take_few_rounds_and_linear_frames(spark, monkeypatch):
+    """Two hundred chunks within a few intervals: as many doublings as flushes ask for, no frame built per row."""
+    rows = [("a", 1.0 + i, 1.0, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i), i) for i in range(400)]
+    ticks = spark.createDataFrame(rows, "ticker string, price double, volume double, timestamp timestamp_ntz, event_id long")
+    staged = []
+    kept = flush.stage
+
+    def watched(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        staged.append((name, "unboundedfollowing" in plan))
+        return kept(df, name)
+
+    monkeypatch.setattr(flush, "stage", watched)
+    key = ["ticker", "since"]
+    got = by_keys(flush_bars(ticks, 600, ORDER, hot_entities(ticks, "ticker", "timestamp", 2)), *key)
+    assert got.equals(by_keys(flush_bars(ticks, 600, ORDER, None), *key)) and len(got) == 4
+    assert not any(quadratic for _, quadratic in staged)
+    # 2,793 seconds hold five flushes at most: three rounds and the first table.
+    assert sum(name == "flush-jumps" for name, _ in staged) == 4
+
+
 def test_chains_leave_where_they_flush_last():
     times = np.cumsum(np.random.default_rng(1).integers(0, 40, 300))
     out = leaving(times, 100)
