@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import snapshot_baseline, vintage_diff
 from ..schema import RAW_BAR_COLUMNS, RAW_BARS
-from ..session import exists, shared_dir
+from ..session import exists, stage
 
 
 def read_vintages(spark: SparkSession, path: str) -> DataFrame:
@@ -35,20 +35,26 @@ def add_pull(spark: SparkSession, path: str, snapshot: DataFrame, as_of: dt.date
     else:
         earlier = stored.filter(F.col("pull") < pull)
         added = vintage_diff(earlier.select(*RAW_BAR_COLUMNS), snapshot, at)
-    added = spark.read.schema(RAW_BARS).parquet(_written(added.select(*RAW_BAR_COLUMNS), spark))
-    if any(p > pull for p in pulls):
-        before = stored.filter(F.col("pull") == pull).select(*RAW_BAR_COLUMNS)
-        if not (added.exceptAll(before).isEmpty() and before.exceptAll(added).isEmpty()):
-            raise ValueError(f"pull {pull} differs from what is stored, and later pulls build on that")
+    added = added.select(*RAW_BAR_COLUMNS)
+    place = f"{path}/pull={pull}"
+    if pull not in pulls and max(pulls | {pull}) == pull:
+        # Nothing is replaced and nothing builds on it yet.
+        added.write.mode("overwrite").parquet(place)
+        return
+    # The difference is settled before its own folder is touched, and that only if it holds something else.
+    added = stage(added, "pull")
+    before = stored.filter(F.col("pull") == pull).select(*RAW_BAR_COLUMNS)
+    if same_rows(added, before):
         return
-    added.write.mode("overwrite").parquet(f"{path}/pull={pull}")
+    if any(p > pull for p in pulls):
+        raise ValueError(f"pull {pull} differs from what is stored, and later pulls build on that")
+    added.write.mode("overwrite").parquet(place)
 
 
-def _written(df: DataFrame, spark: SparkSession) -> str:
-    """The difference is settled before its own folder is replaced."""
-    path = shared_dir(spark, "pull")
-    df.write.parquet(path)
-    return path
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether both hold the same rows equally often, in one aggregation."""
+    sided = left.withColumn("_more", F.lit(1)).unionByName(right.withColumn("_more", F.lit(-1)))
+    return sided.groupBy(*left.columns).agg(F.sum("_more").alias("_more")).filter("_more != 0").isEmpty()
 
 
 RAW_BARS_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_BARS.fields)

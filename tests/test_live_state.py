@@ -206,3 +206,27 @@ def test_a_pull_that_is_run_again_changes_nothing(spark, tmp_path, again):
         vintages.add_pull(spark, path, vendor(spark, PULLS[0]), dates[2])
         after = vintages.read_vintages(spark, path).filter("knowledge_date = timestamp_ntz'2020-04-01 00:00:00'")
         assert [(r.close, r.first_print_close) for r in after.collect()] == [(10.0, 10.0)]
+
+
+def test_a_pull_is_written_once(spark, tmp_path, monkeypatch):
+    """A new pull goes straight to its folder; one that finds what is stored leaves the files alone."""
+    path, staged = f"file://{tmp_path}/store", []
+    kept = vintages.stage
+    monkeypatch.setattr(vintages, "stage", lambda df, name: staged.append(name) or kept(df, name))
+    columns = "ticker string, date timestamp_ntz, open double, high double, low double, close double, adj_close double, volume long"
+    rows = [(t, dt.datetime(2024, 1, d), 1.0, 1.0, 1.0, 1.0, float(d), 5) for t in ("a", None) for d in (1, 2, 2)]
+    first = spark.createDataFrame(rows, columns)
+    second = first.withColumn("adj_close", F.col("adj_close") + 1)
+    for snapshot, day in ((first, 5), (second, 6)):
+        vintages.add_pull(spark, path, snapshot, dt.datetime(2024, 1, day))
+    assert not staged
+    files = sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "store").rglob("*.parquet"))
+    for snapshot, day in ((first, 5), (second, 6)):
+        vintages.add_pull(spark, path, snapshot, dt.datetime(2024, 1, day))
+    assert len(staged) == 2
+    assert sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "store").rglob("*.parquet")) == files
+    # The newest pull may be replaced, an older one not; one more copy of a row is a difference.
+    with pytest.raises(ValueError, match="later pulls"):
+        vintages.add_pull(spark, path, first.unionByName(first.limit(1)), dt.datetime(2024, 1, 5))
+    vintages.add_pull(spark, path, first, dt.datetime(2024, 1, 6))
+    assert vintages.read_vintages(spark, path).filter("ticker = 'a'").count() == 3
