@@ -157,12 +157,15 @@ def compute_features(
 
 
 def to_wide(long: DataFrame, index: Sequence[str]) -> DataFrame:
-    """Pivot long values to one column per feature (explicit list: no extra pass for names)."""
-    return (
-        long.groupBy(*index)
-        .pivot("feature_name", list(FEATURE_NAMES))
-        .agg(F.first("value", ignorenulls=True))
-    )
+    """Pivot long values to one column per feature, in one aggregate.
+
+    The rows of one index meet before the shuffle; ``pivot`` would move every long row first.
+    """
+    def value(feature: str) -> Column:
+        own = F.when(F.col("feature_name") == feature, F.col("value"))
+        return F.first(own, ignorenulls=True).alias(feature)
+
+    return long.groupBy(*index).agg(*(value(f) for f in FEATURE_NAMES))
 
 
 def live_features(
