@@ -143,9 +143,14 @@ def wide_features(
 
 
 def to_long(wide: DataFrame, features: Sequence[str] = FEATURE_NAMES) -> DataFrame:
-    """Canonical long rows; absent values give no row."""
+    """Canonical long rows; absent values give no row.
+
+    Each row emits its values as an array: unlike ``unpivot`` this keeps the rows' partitioning, so what is
+    grouped by entity afterwards does not move again.
+    """
     ids = ["entity_id", "event_timestamp", "knowledge_timestamp"]
-    melted = wide.select(*ids, *features).unpivot(ids, list(features), "feature_name", "value")
+    each = F.array(*(F.struct(F.lit(f).alias("feature_name"), F.col(f).alias("value")) for f in features))
+    melted = wide.select(*ids, F.inline(each))
     return melted.filter(F.col("value").isNotNull()).select(*FEATURE_COLUMNS)
 
 

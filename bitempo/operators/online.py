@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import order_key
-from ..plans.asof import facts_from_long, states_at
+from ..plans.asof import facts_in_orders, states_at
 from ..plans.hot import HotEntities
 from ..schema import FEATURE_COLUMNS, FEATURE_NAMES
 from .bars import build_bars
@@ -44,9 +44,10 @@ def online_asof(
     log: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
     hot: HotEntities | str | None = "auto",
+    gather: bool = False,
 ) -> DataFrame:
     """What serving would have returned at each request: last known entry, not last event."""
-    return pit_join(spine, log, features, order="knowledge", hot=hot)
+    return pit_join(spine, log, features, order="knowledge", hot=hot, gather=gather)
 
 
 def vector_to_log(vectors: DataFrame, knowledge: Column | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def order_divergence(
     They differ when an old day is revised after a newer day became known. Both reads share one
     pass over the history.
     """
-    facts = [facts_from_long(log, features, o, f"__{o}") for o in ("event", "knowledge")]
+    facts = facts_in_orders(log, features, {f"__{o}": o for o in ("event", "knowledge")})
     states = states_at(spine, facts, hot=hot)
     pair = F.array(
         *(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.asof import any_known, facts_from_long, facts_from_wide, guarded_value, states_at
+from ..plans.asof import any_known, facts_in_orders, guarded_value, states_at
 from ..plans.hot import HotEntities
 from ..schema import FEATURE_NAMES
 
@@ -22,6 +22,7 @@ def pit_join(
     entity: str = "entity_id",
     request: str = "request_time",
     asked_only: bool = False,
+    gather: bool = False,
 ) -> DataFrame:
     """Feature vector of each request: per feature the latest fact knowable at that time.
 
@@ -30,9 +31,10 @@ def pit_join(
     Requests with nothing knowable give no row; duplicate requests give one row unless ``keep``
     names spine columns to carry along. Values never expire. Facts without a knowledge time were never
     known; requests without entity or time give no row. ``store`` is the long table, or a wide one
-    (recognised by its columns). Set ``asked_only`` where the spine names few of the store's entities.
+    (recognised by its columns). Set ``asked_only`` where the spine names few of the store's entities, ``gather``
+    where a long store is partitioned by entity or its rows move more than once.
     """
-    states = _states(spine, store, features, order, keep, hot, entity, request, asked_only)
+    states = _states(spine, store, features, order, keep, hot, entity, request, asked_only, gather)
     return _vectors(states, features, keep, entity, request)
 
 
@@ -45,9 +47,10 @@ def pit_join_long(
     entity: str = "entity_id",
     request: str = "request_time",
     asked_only: bool = False,
+    gather: bool = False,
 ) -> DataFrame:
     """As ``pit_join``, one row per (request, feature) with both timestamps of the fact."""
-    states = _states(spine, store, features, order, (), hot, entity, request, asked_only)
+    states = _states(spine, store, features, order, (), hot, entity, request, asked_only, gather)
     times = ("event", "knowledge")
     each = F.array(
         *(
@@ -63,14 +66,9 @@ def pit_join_long(
     return rows.filter(F.col("knowledge_timestamp").isNotNull())
 
 
-def _facts(store: DataFrame, features: Sequence[str], order: str, suffix: str = "") -> DataFrame:
-    adapt = facts_from_long if "feature_name" in store.columns else facts_from_wide
-    return adapt(store, features, order, suffix)
-
-
-def _states(spine, store, features, order, keep, hot, entity, request, asked_only) -> DataFrame:
+def _states(spine, store, features, order, keep, hot, entity, request, asked_only, gather) -> DataFrame:
     store = store if entity == "entity_id" else store.withColumnRenamed(entity, "entity_id")
-    facts = _facts(store, features, order)
+    facts = facts_in_orders(store, features, {"": order}, gather=gather)
     return states_at(spine, facts, entity, request, keep, hot, asked_only)
 
 

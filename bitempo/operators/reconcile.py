@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import MATCH_TOLERANCE, values_match
-from ..plans.asof import facts_from_long, facts_from_wide, states_at
+from ..plans.asof import facts_in_orders, states_at
 from ..plans.hot import HotEntities, resolve_hot, split_rows
 from ..schema import FEATURE_NAMES
 
@@ -53,6 +53,7 @@ def reconcile(
     tol: float = MATCH_TOLERANCE,
     features: Sequence[str] = FEATURE_NAMES,
     hot: HotEntities | str | None = "auto",
+    gather: bool = False,
 ) -> DataFrame:
     """Three reads per check point and feature, and whether they agree.
 
@@ -65,10 +66,12 @@ def reconcile(
         "offline_leaked": (leaked, "event"),
         "online": (online_log, "knowledge"),
     }
-    parts = []
-    for name, (store, order) in sources.items():
-        adapt = facts_from_long if "feature_name" in store.columns else facts_from_wide
-        parts.append(adapt(store, features, order, f"__{name}"))
+    # A store that serves several reads (the log, where it is the correct store itself) passes once.
+    stores = {id(store): store for store, _ in sources.values()}
+    parts = [
+        facts_in_orders(store, features, {f"__{n}": o for n, (s, o) in sources.items() if s is store}, gather=gather)
+        for store in stores.values()
+    ]
     states = states_at(spine, parts, hot=hot, asked_only=True)
     each = F.array(
         *(

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import knowable_value
 from ..session import stage
-from .hot import HotEntities, hot_rows, resolve_hot, with_bucket
+from .hot import HotEntities, hot_rows, in_tasks, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
 _CARRY, _FACT, _REQUEST = 0, 1, 2
@@ -36,39 +36,39 @@ def _fact(order: str, event: Column, knowledge: Column, value: Column) -> Column
     return F.struct(*(times[k].alias(k) for k in ORDERS[order]), checked.alias("value"))
 
 
-def facts_from_long(
-    store: DataFrame,
-    features: Sequence[str],
-    order: str = "event",
-    suffix: str = "",
-    entity: str = "entity_id",
+def facts_in_orders(
+    store: DataFrame, features: Sequence[str], orders: dict[str, str], entity: str = "entity_id",
+    gather: bool = False,
 ) -> DataFrame:
-    """Facts from the canonical long table: one state column ``feature + suffix`` per feature."""
-    event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
-    fact = _fact(order, event, knowledge, F.col("value"))
-    known = knowledge.isNotNull() & F.col(entity).isNotNull()
-    return store.filter(known & F.col("feature_name").isin(list(features))).select(
-        F.col(entity).alias("_entity_key"),
-        knowledge.alias("_t"),
-        *(F.when(F.col("feature_name") == f, fact).alias(f + suffix) for f in features),
-    )
+    """Facts of a long or wide store with state columns for several orders (``suffix: order``).
 
-
-def facts_from_wide(
-    wide: DataFrame,
-    features: Sequence[str],
-    order: str = "event",
-    suffix: str = "",
-    entity: str = "entity_id",
-) -> DataFrame:
-    """Facts from rows that hold all features of one (entity, event): a quarter of the rows."""
+    ``gather`` first brings the long rows of one (entity, event, knowledge) into one row: in place for a store
+    partitioned by entity, else by a shuffle more. Of repeated facts the greatest value stays, as in the
+    running maximum.
+    """
     event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
-    return wide.filter(knowledge.isNotNull() & F.col(entity).isNotNull()).select(
+    rows = store.filter(knowledge.isNotNull() & F.col(entity).isNotNull())
+    values = {f: F.col(f) for f in features}
+    if "feature_name" in store.columns:
+        present = {f: F.col("feature_name") == f for f in features}
+        rows = rows.filter(F.col("feature_name").isin(list(features)))
+        values = {f: F.col("value") for f in features}
+        if gather:
+            rows = rows.groupBy(entity, "event_timestamp", "knowledge_timestamp").agg(
+                *(F.max(F.when(c, F.col("value"))).alias(f) for f, c in present.items()),
+                # A stored NULL is a fact too.
+                *(F.max(F.when(c, True)).alias(f"_has_{f}") for f, c in present.items()),
+            )
+            present = {f: F.col(f"_has_{f}") for f in features}
+            values = {f: F.col(f) for f in features}
+    else:
+        present = {f: F.col(f).isNotNull() for f in features}
+    return rows.select(
         F.col(entity).alias("_entity_key"),
         knowledge.alias("_t"),
         *(
-            F.when(F.col(f).isNotNull(), _fact(order, event, knowledge, F.col(f))).alias(f + suffix)
-            for f in features
+            F.when(present[f], _fact(order, event, knowledge, values[f])).alias(f + suffix)
+            for suffix, order in orders.items() for f in features
         ),
     )
 
@@ -184,6 +184,7 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
         rows = with_bucket(rows, "_entity_key", "_t", hot, "left").unionByName(
             carry, allowMissingColumns=True
         )
+        rows = in_tasks(rows, hot, *key)
     # The carry row has no time and so sorts first; at one instant facts precede requests.
     ordered = Window.partitionBy(*key).orderBy("_t", "_kind")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -191,17 +192,17 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
         (F.lag("_kind").over(ordered) == _REQUEST) & (F.lag("_t").over(ordered) == F.col("_t")),
         F.lit(False),
     )
+    # The key keeps its one name up to here: two names of it would hide that both sides are partitioned alike.
     answered = rows.select(
-        _named("_entity_key", entity),
+        "_entity_key",
         F.col("_t").alias(request),
         *keep,
         "_kind",
         repeated.alias("_repeated"),
         *(F.max(s).over(so_far).alias(s) for s in states),
     )
-    return answered.filter((F.col("_kind") == _REQUEST) & ~F.col("_repeated")).drop(
-        "_kind", "_repeated"
-    )
+    asked = answered.filter((F.col("_kind") == _REQUEST) & ~F.col("_repeated"))
+    return asked.drop("_kind", "_repeated").withColumnRenamed("_entity_key", entity)
 
 
 def any_known(states: Sequence[str]) -> Column:

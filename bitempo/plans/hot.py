@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import epoch_seconds
-from ..session import stage
+from ..session import stage, tasks_for
 
 ROWS_PER_TASK = 1_000_000
 BUCKETS_PER_CHUNK = 32
@@ -38,6 +38,7 @@ class HotEntities:
 
     entities: DataFrame  # _entity, _chunk_rows, _width (seconds per bucket)
     dense: DataFrame | None  # _dense_entity, _dense_bucket, _fine_width: buckets to cut further
+    tasks: int | None = None  # for shuffles of the measured rows
 
 
 def hot_entities(
@@ -65,7 +66,8 @@ def hot_entities(
     entities = stage(listed, "hot-entities")
     if entities.isEmpty():
         return None
-    even = HotEntities(entities, None)
+    tasks = tasks_for(rows.sparkSession, rows.select(entity).count())
+    even = HotEntities(entities, None, tasks)
     parts = F.ceil(n * BUCKETS_PER_CHUNK / F.col("_chunk_rows"))
     dense = stage(
         with_bucket(hot_rows(rows.select(entity, time), entity, even), entity, time, even, "inner", "_width")
@@ -76,7 +78,7 @@ def hot_entities(
         .select("_dense_entity", "_dense_bucket", F.ceil(F.col("_width") / parts).cast("long").alias("_fine_width")),
         "hot-bursts",
     )
-    return even if dense.isEmpty() else HotEntities(entities, dense)
+    return even if dense.isEmpty() else HotEntities(entities, dense, tasks)
 
 
 def resolve_hot(
@@ -91,6 +93,11 @@ def hot_rows(rows: DataFrame, entity: str, hot: HotEntities) -> DataFrame:
     return rows.join(hot.entities, F.col(entity) == F.col("_entity"), "left_semi")
 
 
+def in_tasks(rows: DataFrame, hot: HotEntities, *keys: str) -> DataFrame:
+    """Rows moved by ``keys`` into as many tasks as their number asks for."""
+    return rows.repartition(hot.tasks, *keys) if hot.tasks else rows
+
+
 def with_bucket(
     rows: DataFrame, entity: str, time: str, hot: HotEntities, how: str, *extra: str
 ) -> DataFrame:
@@ -232,12 +239,13 @@ def split_rows(
         (F.col(entity) == F.col("_map_entity")) & (F.col("_bucket") == F.col("_map_bucket")),
         "left",
     )
-    return placed.select(
+    pieces = placed.select(
         *(F.col(c) for c in rows.columns),
         F.coalesce("_map_chunk", F.lit(0)).alias("_chunk"),
         F.coalesce("_map_own", F.lit(True)).alias("_own"),
         *CHUNK_FACTS,
     )
+    return in_tasks(pieces, hot, entity, "_chunk")
 
 
 def is_split() -> Column:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MIN_TASK_ROWS = 10_000
+MAX_TASK_ROWS = 250_000
+
 
 def build_session(app: str = "bitempo", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume: UTC, AQE with skew-join handling.
@@ -50,6 +53,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/bitempo/{name}-{uuid.uuid4().hex}"
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a shuffle of ``rows``: the session's number, fewer for few rows, more for very many.
+
+    A fixed number lets the rows of a task grow with the table; this one keeps them bounded.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, -(-rows // MIN_TASK_ROWS)), -(-rows // MAX_TASK_ROWS))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

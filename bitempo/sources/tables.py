@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import packed, signed_to_unsigned
 from ..operators.bars import daily_bars
 from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities
+from ..session import tasks_for
 
 
 # Stored columns of the tables in use (given schemas need no footer-reading job).
@@ -44,10 +45,22 @@ def line_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars without revision dates."""
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for a shuffle of the line items or of what is made of them."""
+    return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
+
+
+def line_bars(spark: SparkSession, sf_dir: str, hot: HotEntities | None = None) -> DataFrame:
+    """Daily bars without revision dates.
+
+    Nearly every print is a bar of its own, so nothing is combined before the shuffle. Without large suppliers
+    the prints move by supplier, once: bars and the windows over them follow in the same tasks.
+    """
     cols = ("ticker", "date", "price", "volume", "o")
-    return daily_bars(line_prints(spark, sf_dir), *(F.col(c) for c in cols))
+    prints = line_prints(spark, sf_dir)
+    if hot is None:
+        prints = prints.repartition(line_tasks(spark, sf_dir), "ticker")
+    return daily_bars(prints, *(F.col(c) for c in cols))
 
 
 def hot_suppliers(
