@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pit import pit_join
 from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities, hot_rows
+from ..session import stage
 
 ORDINARY, LARGE = "ordinary", "large"
 
@@ -43,7 +44,8 @@ def write_store(
     are moved to their bucket before they are written.
     """
     times = F.col("entity_id").isNotNull() & F.col("knowledge_timestamp").isNotNull()
-    rows = features.filter(times)
+    # Written first: counting, ranging and both writes pass over the rows.
+    rows = stage(features.filter(times), "store-rows")
     hot = hot_entities(rows, "entity_id", "knowledge_timestamp", rows_per_task)
     large = None
     if hot is not None:
@@ -78,7 +80,7 @@ def stored_join(spine: DataFrame, store: FeatureStore, order: str = "event", **o
     is_named = F.col("entity_id") == F.col("_entity")
     facts = store.ordinary if store.large is None else store.ordinary.unionByName(store.large)
     split = pit_join(
-        spine.join(named, is_named, "left_semi"), facts.join(named, is_named, "left_semi"), order=order, **options)
+        spine.join(named, is_named, "left_semi"), facts.join(named, is_named, "left_semi"), order=order, gather=True, **options)
     rest = spine.join(named, is_named, "left_anti")
     return _in_buckets(rest, store, order, options).unionByName(split)
 
@@ -87,7 +89,7 @@ def _in_buckets(spine: DataFrame, store: FeatureStore, order: str, options: dict
     # As many partitions as buckets and by the same hash, so the union of both is partitioned already. That is
     # seen only where each side has the key once: under its inner name until the end.
     asked = spine.withColumnRenamed("entity_id", "_entity_key").repartition(store.buckets, "_entity_key")
-    read = pit_join(asked, store.ordinary, order=order, hot=None, entity="_entity_key", **options)
+    read = pit_join(asked, store.ordinary, order=order, hot=None, entity="_entity_key", gather=True, **options)
     return read.withColumnRenamed("_entity_key", "entity_id")
 
 
