@@ -29,6 +29,7 @@ from ..session import stage, tasks_for
 
 ROWS_PER_TASK = 1_000_000
 BUCKETS_PER_CHUNK = 32
+MOST_LISTED = 500_000
 FINE_PARTS = 1 << 20  # above any number of parts a bucket is cut into
 
 
@@ -36,9 +37,10 @@ FINE_PARTS = 1 << 20  # above any number of parts a bucket is cut into
 class HotEntities:
     """The entities to split and how finely: written tables."""
 
-    entities: DataFrame  # _entity, _chunk_rows, _width (seconds per bucket)
+    entities: DataFrame  # _entity, _entity_rows, _chunk_rows, _width (seconds per bucket)
     dense: DataFrame | None  # _dense_entity, _dense_bucket, _fine_width: buckets to cut further
     tasks: int | None = None  # for shuffles of the measured rows
+    spots: int | None = None  # at most so many buckets in all
 
 
 def hot_entities(
@@ -59,6 +61,7 @@ def hot_entities(
         .filter((n > rows_per_task) & F.col("_entity").isNotNull())
         .select(
             "_entity",
+            n.alias("_entity_rows"),
             F.lit(rows_per_task).cast("long").alias("_chunk_rows"),
             F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("long").alias("_width"),
         )
@@ -67,7 +70,10 @@ def hot_entities(
     if entities.isEmpty():
         return None
     tasks = tasks_for(rows.sparkSession, rows.select(entity).count())
-    even = HotEntities(entities, None, tasks)
+    # Even buckets, and those that bursts are cut into; a bucket holds at least one row.
+    cuts = 2 * F.ceil(F.col("_entity_rows") * BUCKETS_PER_CHUNK / F.col("_chunk_rows")) + 2
+    spots = entities.agg(F.sum(F.least("_entity_rows", cuts)).alias("s")).first()["s"]
+    even = HotEntities(entities, None, tasks, spots)
     parts = F.ceil(n * BUCKETS_PER_CHUNK / F.col("_chunk_rows"))
     dense = stage(
         with_bucket(hot_rows(rows.select(entity, time), entity, even), entity, time, even, "inner", "_width")
@@ -78,7 +84,7 @@ def hot_entities(
         .select("_dense_entity", "_dense_bucket", F.ceil(F.col("_width") / parts).cast("long").alias("_fine_width")),
         "hot-bursts",
     )
-    return even if dense.isEmpty() else HotEntities(entities, dense, tasks)
+    return even if dense.isEmpty() else HotEntities(entities, dense, tasks, spots)
 
 
 def resolve_hot(
@@ -98,6 +104,11 @@ def in_tasks(rows: DataFrame, hot: HotEntities, *keys: str) -> DataFrame:
     return rows.repartition(hot.tasks, *keys) if hot.tasks else rows
 
 
+def by_buckets(buckets: DataFrame, hot: HotEntities, *keys: str) -> DataFrame:
+    """One row per bucket (or a few), moved by ``keys`` into as many tasks as their number asks for."""
+    return buckets.repartition(tasks_for(buckets.sparkSession, hot.spots), *keys) if hot.spots else buckets
+
+
 def with_bucket(
     rows: DataFrame, entity: str, time: str, hot: HotEntities, how: str, *extra: str
 ) -> DataFrame:
@@ -131,6 +142,7 @@ def _chunk_map(
             (F.var_pop(v) * F.count(v)).alias("_m2"),
         )
     )
+    counts = by_buckets(counts, hot, "_e")
     everything = Window.partitionBy("_e")
     ordered = everything.orderBy("_bucket")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -234,6 +246,10 @@ def split_rows(
         )
     chunks = _chunk_map(rows, entity, time, hot, before, after, moments_of)
     bucketed = with_bucket(rows, entity, time, hot, "left")
+    if hot.spots and hot.spots > MOST_LISTED:
+        # Too many buckets to send to every task: both sides move, in pieces that do not grow with the table.
+        bucketed = in_tasks(bucketed, hot, entity, "_bucket")
+        chunks = in_tasks(chunks, hot, "_map_entity", "_map_bucket")
     placed = bucketed.join(
         chunks,
         (F.col(entity) == F.col("_map_entity")) & (F.col("_bucket") == F.col("_map_bucket")),
