@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.online import latest_values
 from ..schema import FEATURE_COLUMNS, FEATURES
-from ..session import exists
+from ..session import exists, small_splits
 from .sinks import LOGGED
 
 BUCKETS = 256
@@ -176,6 +176,7 @@ def start_bucketed_log(
     features: DataFrame, path: str, checkpoint: str, fold_every: int = 10, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Write a stream of long feature rows to the log and the bucketed latest table."""
+    small_splits(features.sparkSession)
     return (
         features.writeStream.foreachBatch(bucketed_sink(path, fold_every, buckets))
         .option("checkpointLocation", checkpoint)

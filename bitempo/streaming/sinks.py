@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalar import order_key
 from ..operators.online import latest_values, update_events
 from ..schema import FEATURE_COLUMNS, FEATURES
-from ..session import exists
+from ..session import exists, small_splits
 
 LOGGED = T.StructType([*FEATURES.fields, T.StructField("batch", T.LongType())])
 
@@ -77,6 +77,7 @@ def start_log(
     features: DataFrame, path: str, checkpoint: str, snapshot_every: int = 10
 ) -> StreamingQuery:
     """Write a stream of long feature rows to log and latest values."""
+    small_splits(features.sparkSession)
     return (
         features.writeStream.foreachBatch(log_sink(path, snapshot_every))
         .option("checkpointLocation", checkpoint)
