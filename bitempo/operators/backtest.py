@@ -18,6 +18,7 @@ from .training import (
     TRAIN_FRACTION, FixedScorer, Scorer, aligned_matrix, fit_logistic, pick_variant, split_cut, time_split,
 )
 
+SCORED = ("entity_id", "request_time", "label", "ret", "p_up")  # what evaluation reads
 BACKTEST = T.StructType(
     [
         T.StructField("variant", T.StringType()),
@@ -98,7 +99,8 @@ def backtest(
     results = []
     for variant in VARIANTS:
         train, test = time_split(pick_variant(aligned, variant), cut=cut)
-        scored = stage(fit(train).transform(test), f"scored-{variant}")
+        scored = fit(train).transform(test).select(*SCORED)
+        scored = stage(scored, f"scored-{variant}")
         sharpe = pooled_sharpe(strategy_pnl(scored, hot)).first()
         quality = accuracy(scored).first()
         results.append(

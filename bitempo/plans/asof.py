@@ -27,7 +27,7 @@ from ..session import stage
 from .hot import HotEntities, hot_rows, in_tasks, resolve_hot, with_bucket
 
 ORDERS = {"event": ("event", "knowledge"), "knowledge": ("knowledge", "event")}
-_CARRY, _FACT, _REQUEST = 0, 1, 2
+_CARRY, _FACT, _REQUEST, _BOTH = 0, 1, 2, 3
 
 
 def _fact(order: str, event: Column, knowledge: Column, value: Column) -> Column:
@@ -142,7 +142,8 @@ def own_states(
 ) -> DataFrame:
     """As ``states_at`` with a request at the event time of every row of a wide ``table``.
 
-    Each row emits its fact and, if ``where`` holds, its request, so the table is evaluated once.
+    Each row emits its fact and, if ``where`` holds, its request, so the table is evaluated once. Where both
+    have one time they stay one row; every request sees all facts of its instant.
     """
     event, knowledge = F.col("event_timestamp"), F.col("knowledge_timestamp")
     facts = {f: F.when(F.col(f).isNotNull(), _fact("event", event, knowledge, F.col(f)))
@@ -155,13 +156,14 @@ def own_states(
         *(F.when(F.lit(False), c).alias(f) for f, c in facts.items()),
     )
     asked = F.lit(True) if where is None else where
-    both = F.when(asked, F.array(fact, ask)).otherwise(F.array(fact))
+    at_once = F.array(fact.withField("_kind", F.lit(_BOTH)))
+    both = F.when(asked & (event == knowledge), at_once).when(asked, F.array(fact, ask)).otherwise(F.array(fact))
     rows = table.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_entity_key"), *keep, F.inline(both))
     rows = rows.filter(F.col("_t").isNotNull())
-    return _answer(rows, list(features), entity, request, keep, hot)
+    return _answer(rows, list(features), entity, request, keep, hot, by_time=True)
 
 
-def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
+def _answer(rows, states, entity, request, keep, hot, by_time=False) -> DataFrame:
     """Running maxima over ``_entity_key, _t, _kind, *states, *keep``, read at the requests."""
     hot = resolve_hot(hot, rows, "_entity_key", "_t")
     key = ["_entity_key"]
@@ -188,8 +190,11 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
     # The carry row has no time and so sorts first; at one instant facts precede requests.
     ordered = Window.partitionBy(*key).orderBy("_t", "_kind")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if by_time:
+        # A row that is fact and request sees the other facts of its instant too.
+        so_far = Window.partitionBy(*key).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     repeated = F.lit(False) if keep else F.coalesce(
-        (F.lag("_kind").over(ordered) == _REQUEST) & (F.lag("_t").over(ordered) == F.col("_t")),
+        (F.lag("_kind").over(ordered) >= _REQUEST) & (F.lag("_t").over(ordered) == F.col("_t")),
         F.lit(False),
     )
     # The key keeps its one name up to here: two names of it would hide that both sides are partitioned alike.
@@ -201,7 +206,7 @@ def _answer(rows, states, entity, request, keep, hot) -> DataFrame:
         repeated.alias("_repeated"),
         *(F.max(s).over(so_far).alias(s) for s in states),
     )
-    asked = answered.filter((F.col("_kind") == _REQUEST) & ~F.col("_repeated"))
+    asked = answered.filter((F.col("_kind") >= _REQUEST) & ~F.col("_repeated"))
     return asked.drop("_kind", "_repeated").withColumnRenamed("_entity_key", entity)
 
 
