@@ -7,7 +7,9 @@ the knowledge day. Frames are row frames: gaps between trading days do not matte
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ MOMENTUM_BARS = 10
 ZSCORE_MIN_BARS = 20
 LIVE_BUFFER_BARS = 50
 LIVE_MIN_BARS = 21
+BLOCK_BARS = 10  # the buffer is a whole number of these
 RETURN_LOOKAHEAD = 2
 MOMENTUM_LOOKAHEAD = 1
 
@@ -173,6 +176,45 @@ def to_wide(long: DataFrame, index: Sequence[str]) -> DataFrame:
     return long.groupBy(*index).agg(*(value(f) for f in FEATURE_NAMES))
 
 
+def _block_moments(value: str, w) -> dict[str, Column]:
+    """Sums of the last ``BLOCK_BARS`` rows, from which ``_with_buffer_moments`` adds up a buffer."""
+    block = w.rowsBetween(1 - BLOCK_BARS, Window.currentRow)
+    n = F.count(value).over(block)
+    return {
+        "_n": n, "_sum": F.sum(value).over(block), "_m2": F.var_pop(value).over(block) * n,
+        "_low": F.min(value).over(block), "_high": F.max(value).over(block),
+    }
+
+
+def _with_buffer_moments(rows: DataFrame, w) -> DataFrame:
+    """Add ``_mean`` and ``_spread`` (sample deviation) of the buffer, from one block in every ``BLOCK_BARS`` rows.
+
+    A frame as long as the buffer would be summed again for every row. Equal values deviate by exactly zero.
+    """
+    names, places = ("_n", "_sum", "_m2", "_low", "_high"), range(LIVE_BUFFER_BARS // BLOCK_BARS)
+
+    def block(name: str, k: int) -> str:
+        return f"{name}{k}" if k else name
+
+    def total(of: Callable[[int], Column]) -> Column:
+        return reduce(add, (F.coalesce(of(k), F.lit(0.0)) for k in places))
+
+    blocks = rows.select(
+        "*", *(F.lag(c, k * BLOCK_BARS).over(w).alias(block(c, k)) for k in places if k for c in names))
+    n = total(lambda k: F.col(block("_n", k)).cast("double")).alias("_all_n")
+    low, high = F.least(*(block("_low", k) for k in places)), F.greatest(*(block("_high", k) for k in places))
+    sums = blocks.select("*", n, total(lambda k: F.col(block("_sum", k))).alias("_all_sum"),
+                         ((low == high) & ~F.isnan(low)).alias("_equal"))
+    means = sums.withColumn("_mean", F.try_divide("_all_sum", "_all_n"))
+
+    def around_mean(k: int) -> Column:
+        away = F.try_divide(block("_sum", k), block("_n", k)) - F.col("_mean")
+        return F.col(block("_m2", k)) + F.col(block("_n", k)) * away * away
+
+    spread = F.when(F.col("_equal"), F.lit(0.0)).otherwise(F.sqrt(total(around_mean) / (F.col("_all_n") - 1)))
+    return means.withColumn("_spread", F.when(F.col("_all_n") > 1, spread))
+
+
 def live_features(
     bars: DataFrame,
     close: str = "close",
@@ -191,23 +233,21 @@ def live_features(
     hot = resolve_hot(hot, inputs, "ticker", "_time")
     split = split_rows(inputs, "ticker", "_time", hot, before=LIVE_BUFFER_BARS - 1)
     w = Window.partitionBy("ticker", "_chunk").orderBy("_time")
-    buffer = w.rowsBetween(1 - LIVE_BUFFER_BARS, Window.currentRow)
-    with_returns = split.withColumn(
-        "_lr", F.ln("_close") - F.lag(F.ln("_close"), 1).over(w)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with_returns = split.select(
+        "*", (F.ln("_close") - F.lag(F.ln("_close"), 1).over(w)).alias("_lr"),
+        *(c.alias(name) for name, c in _block_moments("_volume", w).items()),
     )
-    spread = F.stddev_samp("_volume").over(buffer)
-    computed = with_returns.select(
+    computed = _with_buffer_moments(with_returns, w).select(
         F.col("ticker").alias("entity_id"),
         F.col("_time").alias("event_timestamp"),
         _volatility("_lr", w.rowsBetween(1 - VOLATILITY_BARS, 0)).alias("rolling_5d_volatility"),
         change(F.col("_close"), F.lag("_close", RETURN_BARS).over(w)).alias("rolling_20d_return"),
-        F.when(spread > 0, (F.col("_volume") - F.avg("_volume").over(buffer)) / spread).alias(
-            "volume_zscore"
-        ),
+        F.when(F.col("_spread") > 0, (F.col("_volume") - F.col("_mean")) / F.col("_spread")).alias("volume_zscore"),
         change(F.col("_close"), F.lag("_close", MOMENTUM_BARS).over(w)).alias(
             "price_momentum_10d"
         ),
-        F.count(F.lit(1)).over(buffer).alias("_bars"),
+        F.count(F.lit(1)).over(so_far).alias("_bars"),
         "_own",
     )
     return (
