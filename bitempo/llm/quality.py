@@ -20,34 +20,65 @@ result; without target texts every log weight is 0 and, with prior 1, everything
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, held, mix, struct_array, unused_name, utf8, write_table
+from .text import held, mix, struct_array, unused_name, utf8, write_table
 
 CELLS = 1 << 16
 SMOOTHING = 20.0
 TARGET_ROWS = 20_000
-TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
+# Kinds of bytes: word characters (ASCII letters and digits, all beyond ASCII), other signs, white space.
+WORD, SIGN, BLANK = range(3)
+_CODES = np.arange(256)
+_KINDS = np.where((_CODES >= 0x80) | np.isin(_CODES, list(b"0123456789")) | (((_CODES | 32) >= 0x61) & ((_CODES | 32) <= 0x7A)),
+                  WORD, SIGN).astype(np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = BLANK
+PART_BYTES = 1 << 20
 AGAIN = np.uint64(0x5EED)
 EXACT_KEYS = 10_000
 BINS = 1_000
 
-def ngram_cells(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all tokens and token pairs of a batch, and the number of the text each belongs to."""
-    words, sizes = [], np.zeros(len(texts), np.int64)
-    for d, raw in enumerate(texts):
-        own = TOKENS.findall(raw) if raw else []
-        sizes[d] = len(own)
-        words += own
-    h = held("quality", WordHashes)(words)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+
+def ngram_cells(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Cells of all tokens and token pairs, and the number of the text each belongs to, for one part of a batch
+    after the other: numbers take some hundred bytes a token. numpy cuts the tokens and Arrow numbers them, so
+    Python sees each distinct one of a part once.
+    """
+    held("quality", object)  # frees what an earlier stage kept
+    texts = pc.fill_null(texts, b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + PART_BYTES, "right")) - 1)
+        yield slice(i, j), *_part_cells(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        i = j
+
+
+def _part_cells(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KINDS[data]
+    begins = np.ones(len(data) + 1, bool)
+    begins[1:-1] = kind[1:] != kind[:-1]
+    begins[ends] = True
+    first = np.flatnonzero(begins)
+    places = pa.py_buffer(first.astype(np.int32))
+    coded = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, places, pa.py_buffer(data)]).dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    first = first[:-1]
+    tokens = kind[first] != BLANK
+    h = digests[coded.indices.to_numpy()[tokens]]
+    doc = np.searchsorted(ends, first[tokens], "right") - 1
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     pair = np.where(h[inner] == h[inner + 1], AGAIN, mix(mix(h[inner]) + h[inner + 1]))
     cells = np.concatenate((mix(h), pair)) % np.uint64(CELLS)
@@ -74,10 +105,10 @@ def learn(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
         for b in batches:
-            cells, doc = ngram_cells(b.column(0).to_pylist())
             target = np.array([bool(x) for x in b.column(1).to_pylist()], bool)
-            total[0] += np.bincount(cells, minlength=CELLS)
-            total[1] += np.bincount(cells[target[doc]], minlength=CELLS)
+            for part, cells, doc in ngram_cells(b.column(0)):
+                total[0] += np.bincount(cells, minlength=CELLS)
+                total[1] += np.bincount(cells[target[part][doc]], minlength=CELLS)
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], names=["cell", "raw", "target"]
@@ -104,9 +135,11 @@ def log_weight(text: Column, model: QualityModel, spark) -> Column:
 
     @F.arrow_udf("log_weight double, n_grams long")
     def weigh(raw: pa.Array) -> pa.Array:
-        cells, doc = ngram_cells(raw.to_pylist())
-        sums = np.bincount(doc, shared.value[cells], len(raw))
-        return struct_array(log_weight=pa.array(sums), n_grams=pa.array(np.bincount(doc, minlength=len(raw))))
+        sums, n_grams = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        for part, cells, doc in ngram_cells(raw):
+            sums[part] = np.bincount(doc, shared.value[cells], part.stop - part.start)
+            n_grams[part] = np.bincount(doc, minlength=part.stop - part.start)
+        return struct_array(log_weight=pa.array(sums), n_grams=pa.array(n_grams))
 
     return weigh(utf8(text))
 

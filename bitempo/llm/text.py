@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -100,6 +101,13 @@ class WordHashes:
 _HELD: dict = {}
 
 
+def _return_memory() -> None:
+    """Give freed memory back to the system, where the C library can (glibc); else it stays with the worker."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def held(owner: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps between its tasks, for one owner at a time.
 
@@ -110,6 +118,7 @@ def held(owner: str, make: Callable[[], object]) -> object:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _return_memory()
         _HELD[owner] = make()
     return _HELD[owner]
 
