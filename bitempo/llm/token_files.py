@@ -17,10 +17,9 @@ order of their texts; an empty table gives a file without blocks; null doc ids c
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +36,96 @@ MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 PIECES_KEPT = 300_000
-JOINED = 4_000
+JOINED = 400
 LINES = 32
 COUNTED = 1 << 18
 
-# A blank or other white space before a blank, or a character that tokenizers and Python class
-# differently: such texts are cut more carefully or not at all. (Both for Arrow's regular expressions.)
-RUNS = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
-ODD = r"[\x1c-\x1f\x{180e}\x{200b}\x{feff}]|<\|"
-PIECES = re.compile(r"\s*\S+|\s+")
-PLAIN = re.compile(r" ?\S+")
+# The byte-level pattern is  's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?P+|\s+(?!\S)|\s+  with L letters, N numbers and P
+# other signs. Kinds of bytes for it: those, the apostrophe Q, signs Y that are no white space and otherwise
+# unknown, the blank S, other white space W of ASCII, and Z for what may be white space.
+L, N, P, Q, Y, S, W, Z = range(8)
+_KINDS = np.full(256, P, np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = L
+_KINDS[0x30:0x3A] = N
+_KINDS[0x27] = Q
+_KINDS[0x80:] = Y
+_KINDS[0x20] = S
+_KINDS[0x09:0x0E] = W
+_KINDS[0x1C:0x20] = Z
+# First bytes of nothing but letters, but for the two signs in SIGNS: Latin, Cyrillic, Chinese, Korean.
+_KINDS[[*range(0xC3, 0xC8), 0xD0, 0xD1, *range(0xE5, 0xE9), 0xEB, 0xEC]] = L
+SIGNS = (0xC397, 0xC3B7)
+# First bytes of white space beyond ASCII and of signs that are taken for it here and there; their second ones.
+BLANKS = {0xC2: (0x85, 0xA0), 0xE1: (0x9A, 0xA0), 0xE2: (0x80, 0x81), 0xE3: (0x80,), 0xEF: (0xBB,)}
+# Between which kinds no match of the pattern goes on, and where only if white space is a single sign.
+_CUT, _CUT_AFTER_ONE = np.zeros(64, bool), np.zeros(64, bool)
+_CUT[[8 * a + b for a in (L, N, P, Q, Y) for b in (S, W)]] = True
+_CUT[[8 * a + b for a, b in ((L, N), (L, P), (L, Q), (N, L), (N, P), (N, Q), (P, L), (P, N), (Q, N))]] = True
+_CUT_AFTER_ONE[[8 * W + b for b in (L, N, P, Q, Y)]] = True
+# Pieces that can stand on a line of their own (for Arrow's regular expressions).
+PLAIN = r"^ ?[^\s\x0b\x1c-\x1f\x{85}\pZ\x{180e}\x{200b}-\x{200f}\x{feff}]+$"
+
+
+def strings(keys: pa.Array) -> list[str]:
+    return keys.to_numpy(zero_copy_only=False).tolist()
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8 texts; bytes of a character are of one kind."""
+    out = _KINDS[data]
+    more = np.flatnonzero(data >= 0x80)
+    if not len(more):
+        return out
+    lead = more[data[more] >= 0xC0]
+    first, second = data[lead], data[lead + 1]
+    pair = first.astype(np.int64) << 8 | second
+    out[lead[np.isin(pair, SIGNS)]] = Y
+    out[lead[np.isin(pair, [a << 8 | b for a, own in BLANKS.items() for b in own])]] = Z
+    later = more[data[more] < 0xC0]
+    for _ in range(3):
+        out[later] = out[later - 1]
+    return out
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin that lie one after the other; ``ends``: of the texts."""
+    kind = kinds(data)
+    pair = kind[:-1] << 3 | kind[1:]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = _CUT[pair]
+    begins[0] = begins[ends] = True
+    begins[1:-1] |= _CUT_AFTER_ONE[pair] & begins[:-2]
+    return np.flatnonzero(begins[:-1])
 
 
 class PieceEncoder:
     """Encodes texts piece by piece and remembers the ids of pieces.
 
-    The byte-level pattern never joins a non-blank character with white space after it, so a text may be
-    cut there and the pieces encoded one by one, with the same ids as in one go. Pieces not seen before
-    go to the tokenizer many at a time, a line each: a line end is a token of its own before a piece.
+    Texts are cut where no match of the byte-level pattern goes on whatever stands around (``cuts``), so the pieces
+    have the same ids one by one as in one go. Words and the signs after them are pieces of their own. numpy cuts
+    and Arrow numbers the pieces, so Python sees each distinct piece of a batch once.
 
-    A piece that begins with one blank is kept under the rest of it; any other under a blank and itself.
+    Pieces not seen before go to the tokenizer many at a time, a line each: a line end is a token of its own
+    before a piece. When too many are known, those of the last batch stay. Texts that may hold an added token,
+    and all texts of a tokenizer with another pattern, are encoded whole.
     """
 
     def __init__(self, definition: str):
+        import json
+
         from tokenizers import Tokenizer
 
         # A task has one core, and every thread of the library would keep memory of its own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.line_end = self.one("\n")
+        parts = json.loads(definition)
+        pattern = parts.get("pre_tokenizer") or {}
+        self.cuts = (
+            pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True)
+            and not pattern.get("add_prefix_space") and not parts.get("normalizer")
+            and all(t["content"].startswith("<|") for t in parts.get("added_tokens") or [])
+        )
         self.forget()
 
     def one(self, text: str) -> list[int]:
@@ -74,9 +134,27 @@ class PieceEncoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(PIECES_KEPT, np.int64)
-        self.size = np.zeros(PIECES_KEPT, np.int64)
+        self.start = np.zeros(PIECES_KEPT, np.int32)
+        self.size = np.zeros(PIECES_KEPT, np.int32)
         self.used = 0
+        self.recent = np.zeros(0, np.int64)
+
+    def keep_recent(self) -> None:
+        """Forget all pieces but those of the last batch."""
+        keys = list(self.known)  # in the order of their numbers
+        keys = [keys[i] for i in self.recent]
+        sizes = self.size[self.recent]
+        ids = self.ids_of(self.recent)
+        self.forget()
+        self.add(keys, ids, sizes, np.cumsum(sizes) - sizes)
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces, one after the other."""
+        size = self.size[numbers]
+        shift = self.start[numbers] - (np.cumsum(size, dtype=np.int32) - size)
+        at = np.repeat(shift, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> None:
         k, n = len(self.known), len(keys)
@@ -89,95 +167,67 @@ class PieceEncoder:
         self.used += len(ids)
         self.known.update(zip(keys, range(k, k + n)))
 
-    def learn(self, keys: list[str]) -> None:
-        groups: list[list[str]] = [[]]
-        length = 0
-        for key in keys:
-            piece = key[1:] if key[:1] == " " else " " + key
-            if len(self.line_end) != 1 or not PLAIN.fullmatch(piece):
-                ids = np.asarray(self.one(piece), np.uint32)
-                self.add([key], ids, np.array([len(ids)]), np.array([0]))
-                continue
-            if length > JOINED:
-                groups.append([])
-                length = 0
-            groups[-1].append(key)
-            length += len(piece)
-        lines = ["\n".join(k[1:] if k[:1] == " " else " " + k for k in g) for g in groups if g]
-        groups = [g for g in groups if g]
+    def learn(self, keys: pa.Array) -> None:
+        """Encode new distinct pieces."""
+        plain = pc.match_substring_regex(keys, PLAIN)
+        if len(self.line_end) != 1:
+            plain = pc.and_(plain, False)
+        for key in keys.filter(pc.invert(plain)).to_pylist():
+            ids = np.asarray(self.one(key), np.uint32)
+            self.add([key], ids, np.array([len(ids)]), np.array([0]))
+        keys = keys.filter(plain)
+        if not len(keys):
+            return
+        places = pa.array(np.append(np.arange(0, len(keys), JOINED), len(keys)), pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(places, keys), "\n").to_pylist()
+        found = []
         # Encodings hold much more than ids: a few at a time.
-        parts = (self.tokenizer.encode_batch_fast(lines[i : i + LINES], add_special_tokens=False)
-                 for i in range(0, len(lines), LINES))
-        for group, encoding in zip(groups, chain.from_iterable(parts)):
-            ids = np.asarray(encoding.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
-            if len(ends) != len(group):
-                raise ValueError("this tokenizer does not keep a line end apart")
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            self.add(group, ids, ends - starts, starts)
-
-    def keys(self, text: str) -> list[str]:
-        """Pieces of a text with runs of white space."""
-        return [p[1:] if p[0] == " " and p[1:2] != " " else " " + p for p in PIECES.findall(text)]
-
-    def numbers(self, keys: list[str]) -> np.ndarray:
-        """Piece numbers, new pieces learned first."""
-        fresh = list(set(keys).difference(self.known))
-        if fresh:
-            self.learn(fresh)
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        for i in range(0, len(lines), LINES):
+            for encoding in self.tokenizer.encode_batch_fast(lines[i : i + LINES], add_special_tokens=False):
+                found += [np.asarray(encoding.ids, np.uint32), np.asarray(self.line_end, np.uint32)]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.line_end[0])
+        if len(ends) != len(keys):
+            raise ValueError("this tokenizer does not keep a line end apart")
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        self.add(strings(keys), ids, ends - starts, starts)
+
+    def numbers(self, keys: pa.Array) -> np.ndarray:
+        """Piece numbers of distinct pieces, new ones learned first."""
+        own = strings(keys)
+        places = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            self.learn(keys.take(pa.array(fresh)))
+            places[fresh] = [self.known[own[i]] for i in fresh]
+        return places
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of texts cut at single blanks, and how many each text has.
-
-        Arrow cuts and numbers them, so Python sees each distinct piece of a batch once.
-        """
-        cut = pc.split_pattern(texts, " ")
-        coded = cut.flatten().dictionary_encode()
-        code = coded.indices.to_numpy()
-        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
-        first = np.cumsum(counts) - counts
-        distinct = coded.dictionary.to_pylist()
-        begins = [distinct[c] for c in code[first]]
-        own = self.numbers([" " + p for p in begins if p])
-        later = np.ones(len(code), bool)
-        later[first] = False
-        used = np.unique(code[later])
-        number = np.zeros(len(distinct), np.int64)
-        number[used] = self.numbers([distinct[c] for c in used])
-        out = number[code]
-        some = np.array([bool(p) for p in begins], bool)
-        out[first[some]] = own
-        keep = np.ones(len(code), bool)
-        keep[first[~some]] = False
-        return out[keep], counts - ~some
+        """Ids of texts in one line, and how many each has."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begins = cuts(data, ends[1:])
+        places = pa.py_buffer(np.append(begins, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.string(), len(begins), [None, places, pa.py_buffer(data)]).dictionary_encode()
+        self.recent = self.numbers(coded.dictionary)
+        number = self.recent[coded.indices.to_numpy()]
+        before = np.concatenate(([0], np.cumsum(self.size[number], dtype=np.int64)))
+        return self.ids_of(number), np.diff(before[np.searchsorted(begins, ends)])
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one line (each with the end id, if one is given), and how many each has."""
         if len(self.known) > PIECES_KEPT:
-            self.forget()
+            self.keep_recent()
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        runs = pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False) & ~odd
-        filled = pc.binary_length(texts).to_numpy() > 0
-        plain = np.flatnonzero(~odd & ~runs & filled)
-        at, counts = self.pieces(texts.take(pa.array(plain))) if len(plain) else (np.zeros(0, np.int64),) * 2
-        lines, sizes, owner = [], [], []
-
-        def add(rows: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
-            size = self.size[at]
-            shift = self.start[at] - (np.cumsum(size) - size)
-            lines.append(self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))])
-            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
-            sizes.append(np.diff(ends))
-            owner.append(rows)
-
-        add(plain, at, counts)
-        for i in np.flatnonzero(runs):
-            own = self.numbers(self.keys(texts[i].as_py()))
-            add(np.array([i]), own, np.array([len(own)]))
-        for i in np.flatnonzero(odd):
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.cuts else np.ones(n, bool)
+        cut = np.flatnonzero(~whole)
+        line, size = self.pieces(texts if len(cut) == n else texts.take(pa.array(cut)))
+        lines, sizes, owner = [line], [size], [cut]
+        for i in np.flatnonzero(whole):
             ids = np.asarray(self.one(texts[i].as_py()), np.uint32)
             lines.append(ids)
             sizes.append(np.array([len(ids)]))
@@ -188,7 +238,9 @@ class PieceEncoder:
         total[owner] += size
         start = np.cumsum(total) - total
         out = np.empty(int(total.sum()), np.uint32)
-        out[np.repeat(start[owner] - (np.cumsum(size) - size), size) + np.arange(len(line))] = line
+        at = np.repeat(start[owner] - (np.cumsum(size) - size), size)
+        at += np.arange(len(line))
+        out[at] = line
         if more:
             out[start + total - 1] = end_id
         return out, total
