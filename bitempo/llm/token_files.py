@@ -36,6 +36,7 @@ MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 PIECES_KEPT = 300_000
+PART_BYTES = 3 << 20
 JOINED = 400
 LINES = 32
 COUNTED = 1 << 18
@@ -119,12 +120,12 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.line_end = self.one("\n")
-        parts = json.loads(definition)
-        pattern = parts.get("pre_tokenizer") or {}
+        pattern = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
         self.cuts = (
             pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True)
-            and not pattern.get("add_prefix_space") and not parts.get("normalizer")
-            and all(t["content"].startswith("<|") for t in parts.get("added_tokens") or [])
+            and not pattern.get("add_prefix_space") and not self.tokenizer.normalizer
+            and all(t.content.startswith("<|") for t in added)
         )
         self.forget()
 
@@ -218,7 +219,14 @@ class PieceEncoder:
         return self.ids_of(number), np.diff(before[np.searchsorted(begins, ends)])
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one line (each with the end id, if one is given), and how many each has."""
+        """Ids of all texts in one line (each with the end id, if one is given), and how many each has.
+
+        A batch goes in parts: numbers take some ten bytes for each of the text.
+        """
+        if texts.nbytes > PART_BYTES and len(texts) > 1:
+            half = len(texts) // 2
+            parts = [self.encode(texts.slice(0, half), end_id), self.encode(texts.slice(half), end_id)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
         if len(self.known) > PIECES_KEPT:
             self.keep_recent()
         n = len(texts)
