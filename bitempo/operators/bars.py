@@ -89,8 +89,10 @@ def latest_prints(bars: DataFrame) -> DataFrame:
 
 
 def _one_vintage(bars: DataFrame, pick) -> DataFrame:
-    row = pick(F.struct(*RAW_BAR_COLUMNS), F.struct("knowledge_date", "revised", "close"))
-    return bars.groupBy("ticker", "date").agg(row.alias("r")).select("r.*")
+    # The key stays outside: what is partitioned by it is known to be so afterwards.
+    rest = [c for c in RAW_BAR_COLUMNS if c not in ("ticker", "date")]
+    row = pick(F.struct(*rest), F.struct("knowledge_date", "revised", "close"))
+    return bars.groupBy("ticker", "date").agg(row.alias("r")).select("ticker", "date", "r.*")
 
 
 def snapshot_baseline(vendor: DataFrame) -> DataFrame:

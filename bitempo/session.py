@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 MIN_TASK_ROWS = 10_000
 MAX_TASK_ROWS = 50_000
 SPLIT_BYTES = 16 << 20
+# Shuffle files of an action are deleted at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "bitempo", master: str | None = None, **conf: str) -> SparkSession:
@@ -89,3 +93,54 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For actions on frames that nobody runs again: what they shuffled goes when they end.
+
+    Otherwise it stays until the driver's collector finds it unreferenced, and several actions add up.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+def write_buckets(df: DataFrame, path: str, buckets: int, keys: Sequence[str]) -> DataFrame:
+    """Write ``df`` in hash buckets of ``keys``, replacing what is there, and read it back.
+
+    Joins and groups know what is read as partitioned by ``keys`` and do not move it. Rows that are partitioned
+    so already do not move for the write.
+    """
+    spark, name = df.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, *keys)
+    placed.write.mode("overwrite").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    rows = spark.table(name)
+    # The name goes, the files stay.
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@contextmanager
+def bucket_folders(
+    spark: SparkSession, path: str, columns: str, buckets: int, keys: Sequence[str], folder: str
+) -> Iterator[DataFrame]:
+    """All rows that ``write_buckets`` put into folders ``<folder>=<value>`` of ``path``, partitioned by ``keys``.
+
+    ``columns`` is the schema as DDL, with the folders' column at its end. The rows can be read inside the block,
+    while the catalog has a name for them.
+    """
+    name = f"buckets_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({folder}) "
+              f"CLUSTERED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    try:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +52,19 @@ def line_tasks(spark: SparkSession, sf_dir: str) -> int:
     return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
 
 
-def line_bars(spark: SparkSession, sf_dir: str, hot: HotEntities | None = None) -> DataFrame:
+def line_bars(
+    spark: SparkSession, sf_dir: str, hot: HotEntities | None = None, by: Sequence[str] = ("ticker",)
+) -> DataFrame:
     """Daily bars without revision dates.
 
     Nearly every print is a bar of its own, so nothing is combined before the shuffle. Without large suppliers
-    the prints move by supplier, once: bars and the windows over them follow in the same tasks.
+    the prints move by supplier, once: bars and the windows over them follow in the same tasks. What needs no
+    windows can have them moved ``by`` other columns of a bar's key.
     """
     cols = ("ticker", "date", "price", "volume", "o")
     prints = line_prints(spark, sf_dir)
     if hot is None:
-        prints = prints.repartition(line_tasks(spark, sf_dir), "ticker")
+        prints = prints.repartition(line_tasks(spark, sf_dir), *by)
     return daily_bars(prints, *(F.col(c) for c in cols))
 
 
