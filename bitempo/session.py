@@ -95,6 +95,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As ``stage`` for frames that are all run inside the block: the folder goes with it."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    try:
+        df.write.mode("overwrite").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """For actions on frames that nobody runs again: what they shuffled goes when they end.

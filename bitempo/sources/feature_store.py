@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pit import pit_join
-from ..plans.hot import ROWS_PER_TASK, HotEntities, hot_entities, hot_rows
-from ..session import stage
+from ..plans.hot import MOST_LISTED, ROWS_PER_TASK, HotEntities, hot_entities
+from ..schema import FEATURE_NAMES
+from ..session import freed_shuffles, stage, staged, tasks_for
 
 ORDINARY, LARGE = "ordinary", "large"
 
@@ -31,8 +32,14 @@ class FeatureStore:
     rows_per_task: int
 
 
-def _other_rows(rows: DataFrame, entity: str, hot: HotEntities) -> DataFrame:
-    return rows.join(hot.entities, F.col(entity) == F.col("_entity"), "left_anti")
+def _listed(entities: DataFrame) -> DataFrame:
+    """Names of entities. They are sent to every task, so that what they are looked up for stays, unless very many."""
+    names = entities.select("_entity")
+    return F.broadcast(names) if names.count() <= MOST_LISTED else names
+
+
+def _named(rows: DataFrame, names: DataFrame, how: str = "left_semi") -> DataFrame:
+    return rows.join(names, F.col("entity_id") == F.col("_entity"), how)
 
 
 def write_store(
@@ -44,24 +51,26 @@ def write_store(
     are moved to their bucket before they are written.
     """
     times = F.col("entity_id").isNotNull() & F.col("knowledge_timestamp").isNotNull()
-    # Written first: counting, ranging and both writes pass over the rows.
-    rows = stage(features.filter(times), "store-rows")
-    hot = hot_entities(rows, "entity_id", "knowledge_timestamp", rows_per_task)
-    large = None
-    if hot is not None:
-        large = hot_rows(rows, "entity_id", hot)
-        large.repartitionByRange("entity_id", "knowledge_timestamp").write.mode("overwrite").parquet(f"{path}/{LARGE}")
-        large = features.sparkSession.read.schema(features.schema).parquet(f"{path}/{LARGE}")
-        rows = _other_rows(rows, "entity_id", hot)
-    (
-        rows.repartition(buckets, "entity_id")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "entity_id")
-        .sortBy("entity_id", "knowledge_timestamp")
-        .option("path", f"{path}/{ORDINARY}")
-        .saveAsTable(table)
-    )
-    return FeatureStore(table, buckets, features.sparkSession.table(table), large, rows_per_task)
+    spark, large = features.sparkSession, None
+    # Written first: counting, ranging and both writes pass over the rows. Nobody needs them afterwards.
+    with freed_shuffles(spark), staged(features.filter(times), "store-rows") as rows:
+        hot = hot_entities(rows, "entity_id", "knowledge_timestamp", rows_per_task)
+        ordinary = rows
+        if hot is not None:
+            names = _listed(hot.entities)
+            apart = _named(rows, names).repartitionByRange("entity_id", "knowledge_timestamp")
+            apart.write.mode("overwrite").parquet(f"{path}/{LARGE}")
+            large = spark.read.schema(features.schema).parquet(f"{path}/{LARGE}")
+            ordinary = _named(rows, names, "left_anti")
+        (
+            ordinary.repartition(buckets, "entity_id")
+            .write.mode("overwrite")
+            .bucketBy(buckets, "entity_id")
+            .sortBy("entity_id", "knowledge_timestamp")
+            .option("path", f"{path}/{ORDINARY}")
+            .saveAsTable(table)
+        )
+    return FeatureStore(table, buckets, spark.table(table), large, rows_per_task)
 
 
 def stored_join(spine: DataFrame, store: FeatureStore, order: str = "event", **options) -> DataFrame:
@@ -76,13 +85,32 @@ def stored_join(spine: DataFrame, store: FeatureStore, order: str = "event", **o
         apart.append(store.large.select(F.col("entity_id").alias("_entity")).distinct())
     if not apart:
         return _in_buckets(spine, store, order, options)
-    named = apart[0] if len(apart) == 1 else apart[0].union(apart[1]).distinct()
-    is_named = F.col("entity_id") == F.col("_entity")
-    facts = store.ordinary if store.large is None else store.ordinary.unionByName(store.large)
-    split = pit_join(
-        spine.join(named, is_named, "left_semi"), facts.join(named, is_named, "left_semi"), order=order, gather=True, **options)
-    rest = spine.join(named, is_named, "left_anti")
-    return _in_buckets(rest, store, order, options).unionByName(split)
+    both = apart[0] if len(apart) == 1 else apart[0].union(apart[1]).distinct()
+    names = _listed(stage(both, "store-apart"))
+    # All that is kept apart is named; of the ordinary part, what is asked for too often.
+    facts = [] if store.large is None else [store.large]
+    if busy is not None:
+        facts.append(_named(store.ordinary, _listed(busy.entities)))
+    facts = facts[0] if len(facts) == 1 else facts[0].unionByName(facts[1])
+    split = _split_read(_named(spine, names), facts, order, options)
+    return _in_buckets(_named(spine, names, "left_anti"), store, order, options).unionByName(split)
+
+
+def _split_read(spine: DataFrame, facts: DataFrame, order: str, options: dict) -> DataFrame:
+    """The ordinary read of what no bucket holds, cut along time where an entity is too large for a task.
+
+    Elsewhere both sides move once, by entity; long rows gather and are read where they arrive.
+    """
+    times = facts.select("entity_id", F.col("knowledge_timestamp").alias("_t"))
+    hot = hot_entities(times.union(spine.select("entity_id", "request_time")), "entity_id", "_t")
+    if hot is not None:
+        return pit_join(spine, facts, order=order, hot=hot, gather=True, **options)
+    versions = len(options.get("features", FEATURE_NAMES)) if "feature_name" in facts.columns else 1
+    tasks = tasks_for(facts.sparkSession, -(-facts.count() // versions))
+    asked, known = (
+        side.withColumnRenamed("entity_id", "_entity_key").repartition(tasks, "_entity_key") for side in (spine, facts))
+    read = pit_join(asked, known, order=order, hot=None, entity="_entity_key", gather=True, **options)
+    return read.withColumnRenamed("_entity_key", "entity_id")
 
 
 def _in_buckets(spine: DataFrame, store: FeatureStore, order: str, options: dict) -> DataFrame:
